@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import stored
-from tidemark.llm.text import document_keys, five_word_hashes, five_word_shingles, let, words
+from tidemark.llm.text import document_keys, five_word_hashes, five_word_shingles, keyed, let, unkeyed, words
 
 #: Rows up to which a table of longs is broadcast (at most about 64 MB built); larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -46,8 +46,8 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, id
     candidates = stored(hashed.join(_small(probes), "h").select("k1", "k2", "item_key").distinct(), "candidates")
 
     named = _small(stored(candidates.select("k1", "k2").distinct(), "candidate-documents"))
-    keyed = docs.select(*document_keys(id_col, text_col), F.col(id_col).alias("id"), lower.alias("text"))
-    held = keyed.join(named, ["k1", "k2"], "left_semi").select("k1", "k2", "id", F.explode(five_word_shingles(words(F.col("text")))).alias("s")).distinct()
+    texts = docs.select(*document_keys(id_col, text_col), F.col(id_col).alias("id"), lower.alias("text"))
+    held = texts.join(named, ["k1", "k2"], "left_semi").select("k1", "k2", "id", F.explode(five_word_shingles(words(F.col("text")))).alias("s")).distinct()
     wanted = bench.select("item_key", "item_id", five_word_shingles(F.col("w")).alias("all")).select("item_key", "item_id", F.size("all").alias("n_item"), F.explode("all").alias("s"))
     shared = held.join(wanted, "s").groupBy("k1", "k2", "id", "item_key", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     enough = shared.where(F.col("n_shared") >= F.col("n_item") * F.lit(containment) - F.lit(1e-9))
@@ -57,6 +57,4 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, id
 def without_contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that :func:`contaminated` finds."""
     bad = _small(stored(contaminated(docs, items, containment, id_col, text_col).select("k1", "k2").distinct(), "contaminated"))
-    k1, k2 = document_keys(id_col, text_col)
-    keyed = docs.select("*", k1.alias("_k1"), k2.alias("_k2"))
-    return keyed.join(bad, [F.col("_k1") == F.col("k1"), F.col("_k2") == F.col("k2")], "left_anti").select(docs.columns)
+    return unkeyed(keyed(docs, id_col, text_col).join(bad, ["k1", "k2"], "left_anti"), docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,6 +28,16 @@ def document_keys(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(id_col, text_col).alias("k1"), F.xxhash64(F.lit(77), F.col(text_col), F.col(id_col)).alias("k2")]
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, k1, k2): each row as one struct beside its keys, so that no name of its columns can clash in a join."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *document_keys(id_col, text_col))
+
+
+def unkeyed(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The struct's columns again, with some replaced."""
+    return rows.select(*((changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in columns))
+
+
 def five_word_hashes(tokens: Column) -> Column:
     """64-bit hashes of the five-word shingles in order; under five words: one hash of the whole; none: none."""
 
