@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import stored
 
-#: Entries of a worker's word cache, and the longest word kept in it; other words are encoded each time.
-CACHE_WORDS, CACHE_BYTES = 300_000, 48
+#: Parts of words that a worker keeps the ids of, and the text tokenized together, in bytes.
+CACHE_WORDS, CHUNK = 600_000, 8_000_000
 
 
 class Match(NamedTuple):
@@ -82,49 +85,131 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Match]:
     return out
 
 
+class WordIds:
+    """The ids of texts, from a tokenizer that drops white space and never joins across it: those of the words in order.
+
+    Most words are Latin letters with or without ASCII marks behind: the tokenizer lower-cases such a word and cuts it
+    between letters and marks, and nothing else. Those two parts go many at a time to a copy of the tokenizer without
+    the general steps, and the last token of a part, known by its ending, shows where the next one starts. All other
+    words go to the whole tokenizer. Found parts are kept; past ``limit`` of them those met once only are let go.
+    """
+
+    SIMPLE = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]{1,200})(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+
+    def __init__(self, path: str, limit: int = CACHE_WORDS) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.bare, self.limit = Tokenizer.from_file(path), Tokenizer.from_file(path), limit
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, vocabulary = getattr(self.whole.model, "end_of_word_suffix", None), self.whole.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.is_part = re.compile(self.SIMPLE.replace("*)$", "*)$|^[!-&(-/:-@\\[-`{-~]+$")).match
+        self.index, self.flat = {"": 0}, np.zeros(0, "<u4")
+        self.start, self.size, self.met = np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, 2)
+        self.simple = bool(suffix) and self._agree()
+
+    def _agree(self) -> bool:
+        """Whether this tokenizer does treat simple words so; one that doesn't gets all words whole."""
+        sample = [("The", ""), ("Überß", ""), ("éa", ","), ("x", "..."), ("word", ".***")]
+        bare = lambda part: self.bare.encode(part, add_special_tokens=False).ids
+        return all(self.whole.encode(a + b, add_special_tokens=False).ids == bare(a.lower()) + bare(b) for a, b in sample)
+
+    def _learn(self, parts: list[str]) -> None:
+        easy, rest = [], []
+        for part in parts:
+            (easy if self.simple and self.is_part(part) else rest).append(part)
+        groups = [easy[i : i + 64] for i in range(0, len(easy), 64)]
+        got = [e.ids for e in self.bare.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)]
+        got += [e.ids for e in self.whole.encode_batch_fast(rest, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(got), "<u4")
+        n_easy = sum(map(len, got[: len(groups)]))
+        ends = np.concatenate((np.nonzero(self.last[ids[:n_easy]])[0] + 1, n_easy + np.cumsum([len(x) for x in got[len(groups) :]], dtype=np.int64)))
+        begins = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if len(ends) else ends
+        self.index.update(zip([*easy, *rest], range(len(self.start), len(self.start) + len(ends)), strict=True))
+        self.start = np.concatenate((self.start, len(self.flat) + begins))
+        self.size = np.concatenate((self.size, ends - begins))
+        self.met = np.concatenate((self.met, np.zeros(len(ends), np.int64)))
+        self.flat = np.concatenate((self.flat, ids))
+
+    def _forget(self) -> None:
+        keep = self.met > 1
+        if keep.sum() > self.limit // 2:
+            keep[1:] = False
+        names = [name for name, kept in zip(self.index, keep.tolist(), strict=True) if kept]
+        size = self.size[keep]
+        ends = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.start[keep] - ends + size, size) + np.arange(size.sum())]
+        self.index, self.start, self.size, self.met = dict(zip(names, range(len(names)), strict=True)), ends - size, size, np.full(len(names), 2)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The place of each word's two parts among the known ones; what isn't known yet is learnt."""
+        if not self.simple:
+            parts = [words, pa.array([""]).take(pa.array(np.zeros(len(words), np.int64)))]
+        else:
+            found = pc.extract_regex(words, self.SIMPLE)
+            parts = [pc.if_else(found.is_valid(), pc.utf8_lower(found.field("letters")), words), pc.if_else(found.is_valid(), found.field("marks"), "")]
+        out = []
+        for coded in (p.dictionary_encode() for p in parts):
+            names = coded.dictionary.to_pylist()
+            if missing := [n for n in names if n not in self.index]:
+                self._learn(missing)
+            at = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+            self.met[at] += 1
+            out.append(at[coded.indices.to_numpy()])
+        return np.stack(out, axis=1)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` in a row, and where each text's begin and the last one's end; a null is an empty text."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        if len(self.index) > self.limit:
+            self._forget()
+        at = self._places(coded.dictionary)[coded.indices.to_numpy()].ravel()
+        size = self.size[at]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        ids = self.flat[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, ends[2 * (split.offsets.to_numpy() - split.offsets[0].as_py())]
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``CHUNK`` bytes of text, or one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + CHUNK, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32) of each document's ids plus ``end_id``, cut every ``capacity`` ids.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in order; frequent
-    words come from a bounded cache. A null text counts as empty: one piece with ``end_id`` alone.
+    A null text counts as empty: one piece with ``end_id`` alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encode = Tokenizer.from_file(tokenizer).encode_batch_fast
-        cache: dict[bytes, bytes] = {}
+        tokens = WordIds(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
-        width = 4 * capacity
-
-        def ids(text: bytes) -> bytes:
-            tokens = text.split()
-            missing = [w for w in dict.fromkeys(tokens) if w not in cache]
-            if not missing:
-                return b"".join([cache[w] for w in tokens] + [end])
-            encoded = encode([w.decode() for w in missing], add_special_tokens=False)
-            new = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, encoded, strict=True)}
-            out = b"".join([cache.get(w) or new.get(w, b"") for w in tokens] + [end])
-            if len(cache) < CACHE_WORDS:
-                cache.update((w, x) for w, x in new.items() if len(w) <= CACHE_BYTES)
-            return out
-
-        for batch in batches:
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                data = ids(text.as_py() or b"")
-                for at in range(0, len(data), width):
-                    part = data[at : at + width]
-                    row.append(i)
-                    piece.append(at // width)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
+        for whole in batches:
+            for batch in _slices(whole, 1):
+                ids, bounds = tokens(batch.column(1))
+                n = np.diff(bounds) + 1  # with the end id
+                cut = -(-n // capacity)
+                row = np.repeat(np.arange(batch.num_rows), cut)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(cut) - cut, cut)
+                start = piece * capacity
+                length = np.minimum(capacity, n[row] - start)
+                data, low = ids.tobytes(), 4 * (bounds[row] + start)
+                high = np.minimum(low + 4 * length, 4 * bounds[row + 1])
+                crc = [zlib.crc32(data[a:b]) if b - a == 4 * k else zlib.crc32(end, zlib.crc32(data[a:b])) for a, b, k in zip(low.tolist(), high.tolist(), length.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=["id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return given.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
