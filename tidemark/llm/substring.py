@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import stored
-from tidemark.llm.text import document_keys
+from tidemark.llm.text import document_keys, keyed, unkeyed
 
 #: Words of an anchor. A window of w words holds w - ANCHOR + 1 anchors' places and keeps the least of their hashes.
 ANCHOR = 12
@@ -110,7 +110,7 @@ def _extend(window: int, anchor: int):
                 starts.append(at.astype(np.int32))
                 first.append(_window_hashes(x, window)[at].view(np.int64))
                 second.append(_window_hashes(x, window, 1)[at].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("text"), pa.array(starts, pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int64()))], names=["k1", "k2", "text", "starts", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("whole"), pa.array(starts, pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int64()))], names=["k1", "k2", "whole", "starts", "h1", "h2"])
 
     return run
 
@@ -139,24 +139,29 @@ def repeated_windows(docs: DataFrame, window: int = 35, anchor: int = ANCHOR, id
     """(all documents, cut documents): ``k1, k2, id, n_words, sha256`` of each row, and ``k1, k2, n_removed, kept`` of
     each document that loses words.
 
+    Documents of the same words lose all of them; one of each group goes on, to be met by others, and counts twice.
     Seeds: anchors that occur twice or more. Equal windows keep equal least anchors, so every repeated window holds a
     seed as its least anchor. Extension: each seed is extended both ways to the windows it is the least anchor of; a
     window is repeated if its 128-bit hash is found twice. Overlapping repeated windows merge to maximal runs. Counts
     are combined before the shuffle and joined back, so that no group of copies meets in one task, and no pairs arise.
     """
     found = stored(anchors(docs, window, anchor, id_col, text_col), "anchors")
-    seeds = found.select("k1", "k2", F.explode("anchors").alias("anchor"))
-    twice = seeds.groupBy("anchor").count().where("count > 1").select("anchor")
-    seeded = seeds.join(twice, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("seeds"))
+    groups = stored(found.where(F.col("n_words") >= window).groupBy("sha256").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2")).alias("lead")), "same-words")
+    leads = groups.select("lead.k1", "lead.k2", (F.col("n") > 1).alias("whole"))
+    copies = found.select("k1", "k2", "n_words", "sha256").join(groups.where("n > 1").select("sha256"), "sha256").select("k1", "k2", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"))
+
+    seeds = stored(found.select("k1", "k2", "anchors").join(leads, ["k1", "k2"]).select("k1", "k2", "whole", F.explode("anchors").alias("anchor")), "seeds")
+    times = F.sum(F.when(F.col("whole"), 2).otherwise(1))
+    twice = seeds.groupBy("anchor").agg(times.alias("times")).where("times > 1").select("anchor")
+    seeded = stored(seeds.join(twice, "anchor").groupBy("k1", "k2").agg(F.first("whole").alias("whole"), F.collect_set("anchor").alias("seeds")), "seeded")
     texts = docs.select(*document_keys(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
-    held = texts.join(seeded.hint("shuffle_hash"), ["k1", "k2"])
-    long_lists = "k1 long, k2 long, text binary, starts array<int>, h1 array<long>, h2 array<long>"
-    wide = stored(held.mapInArrow(_extend(window, anchor), long_lists).withColumn("row", F.monotonically_increasing_id()), "windows")
-    places = wide.select("row", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("row", "w.starts", "w.h1", "w.h2")
-    again = places.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    hits = places.join(again, ["h1", "h2"]).groupBy("row").agg(F.collect_list("starts").alias("found"))
-    cut = wide.select("row", "k1", "k2", "text").join(hits.hint("shuffle_hash"), "row").drop("row").mapInArrow(_cut_out(window), "k1 long, k2 long, n_removed long, kept string")
-    return found.drop("anchors"), cut
+    lists = "k1 long, k2 long, whole boolean, starts array<int>, h1 array<long>, h2 array<long>"
+    wide = stored(texts.join(seeded.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_extend(window, anchor), lists), "windows")
+    places = wide.select("k1", "k2", "whole", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("k1", "k2", "whole", "w.starts", "w.h1", "w.h2")
+    again = places.groupBy("h1", "h2").agg(times.alias("times")).where("times > 1").select("h1", "h2")
+    hits = stored(places.where("not whole").drop("whole").join(again, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("starts").alias("found")), "repeated-windows")
+    cut = texts.join(hits.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_cut_out(window), "k1 long, k2 long, n_removed long, kept string")
+    return found.drop("anchors"), cut.unionAll(copies)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,6 +182,5 @@ def without_repeats(docs: DataFrame, window: int = 35, anchor: int = ANCHOR, id_
     """``docs`` with the texts left by :func:`remove_repeats`, words joined by one space where any was removed."""
     _, cut = repeated_windows(docs, window, anchor, id_col, text_col)
     kept = cut.select("k1", "k2", "kept").dropDuplicates(["k1", "k2"])
-    keyed = docs.select("*", *(k.alias(f"_{n}") for n, k in zip(("k1", "k2"), document_keys(id_col, text_col), strict=True)))
-    joined = keyed.join(kept, [F.col("_k1") == F.col("k1"), F.col("_k2") == F.col("k2")], "left")
-    return joined.withColumn(text_col, F.coalesce("kept", text_col)).select(docs.columns)
+    joined = keyed(docs, id_col, text_col).join(kept, ["k1", "k2"], "left")
+    return unkeyed(joined, docs.columns, **{text_col: F.coalesce("kept", F.col("row").getField(text_col))})
