@@ -217,5 +217,9 @@ def spelled(spans: Column) -> Column:
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and digest of the base spans, and all spans."""
     found = find(docs, id_col, text_col)
-    counts = [F.size(F.filter("base", lambda b, k=k: b["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+
+    def count(k: int) -> Column:  # a lambda of two arguments would be given the index
+        return F.size(F.filter("base", lambda b: b["k"] == k)).cast("long")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select(id_col, *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
