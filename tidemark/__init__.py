@@ -1,0 +1 @@
+"""After-the-fact evaluation of investment strategies over Spark DataFrames."""
