@@ -15,7 +15,7 @@ def spark():
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
     made = (
         SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.sql.shuffle.partitions", "4").config("spark.ui.showConsoleProgress", "false")
         .config("spark.default.parallelism", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -23,21 +23,21 @@ def _active(weight: str, benchmark_weight: str | None) -> Column:
 
 
 def _covariance(covariance: DataFrame, factors: Sequence[str], date_col: str) -> DataFrame:
-    """(date, f1, f2, cov), a missing cell being 0; a long table may hold one half, which is mirrored."""
+    """(date, _row, _col, cov), a missing cell being 0; a long table may hold one half, which is mirrored."""
     require_columns(covariance, [date_col], "covariance")
     day = F.to_date(date_col).alias(date_col)
     rest = [c for c in covariance.columns if c != date_col]
     if len(rest) == 3 and not set(factors) <= set(rest):
         a, b, v = rest
-        half = covariance.select(day, F.col(a).alias("f1"), F.col(b).alias("f2"), clean(F.col(v)).alias("cov"))
-        both = half.unionAll(half.select(date_col, F.col("f2").alias("f1"), F.col("f1").alias("f2"), "cov"))
-        given = both.groupBy(date_col, "f1", "f2").agg(F.first("cov", True).alias("cov"))
+        half = covariance.select(day, F.col(a).alias("_row"), F.col(b).alias("_col"), clean(F.col(v)).alias("cov"))
+        both = half.unionAll(half.select(date_col, F.col("_col").alias("_row"), F.col("_row").alias("_col"), "cov"))
+        given = both.groupBy(date_col, "_row", "_col").agg(F.first("cov", True).alias("cov"))
     else:
         names = [c for c in rest if c not in factors]
         if len(names) != 1 or not set(factors) <= set(rest):
             raise ValidationError(f"a covariance matrix needs a column of factor names and the columns {list(factors)}; it has {rest}")
-        given = covariance.select(day, F.col(names[0]).alias("f1"), *factors).unpivot([date_col, "f1"], list(factors), "f2", "cov")
-    return given.where(F.col("f1").isin(list(factors)) & F.col("f2").isin(list(factors))).withColumn("cov", F.coalesce(clean(F.col("cov")), F.lit(0.0)))
+        given = covariance.select(day, F.col(names[0]).alias("_row"), *factors).unpivot([date_col, "_row"], list(factors), "_col", "cov")
+    return given.where(F.col("_row").isin(list(factors)) & F.col("_col").isin(list(factors))).withColumn("cov", F.coalesce(clean(F.col("cov")), F.lit(0.0)))
 
 
 def _exposure_rows(data: DataFrame, factors: Sequence[str], weight: str, benchmark_weight: str | None, date_col: str, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -62,8 +62,8 @@ def _marginal(data: DataFrame, covariance: DataFrame, factors: Sequence[str], we
     rows = _exposure_rows(data, factors, weight, benchmark_weight, date_col, {"_s2": a * a * (d if specific_is_variance else d * d)})
     x = rows.unpivot([date_col, "_s2"], list(factors), "factor", "x")
     cov = _covariance(covariance, factors, date_col)
-    inner = cov.join(x.select(date_col, F.col("factor").alias("f2"), F.col("x").alias("x2")), [date_col, "f2"])
-    fx = inner.groupBy(date_col, F.col("f1").alias("factor")).agg(F.sum(F.col("cov") * F.col("x2")).alias("fx"))
+    inner = cov.join(x.select(date_col, F.col("factor").alias("_col"), F.col("x").alias("x2")), [date_col, "_col"])
+    fx = inner.groupBy(date_col, F.col("_row").alias("factor")).agg(F.sum(F.col("cov") * F.col("x2")).alias("fx"))
     dated = x.join(cov.select(date_col).distinct(), date_col, "left_semi")
     return dated.join(fx, [date_col, "factor"], "left").select(date_col, "factor", "x", F.coalesce("fx", F.lit(0.0)).alias("fx"), F.col("_s2").alias("s2"))
 
