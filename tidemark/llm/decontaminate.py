@@ -6,16 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import stored
-from tidemark.llm.text import document_keys, five_word_hashes, five_word_shingles, keyed, let, unkeyed, words
-
-#: Rows up to which a table of longs is broadcast (at most about 64 MB built); larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, a stored table, marked for broadcast if it has few enough rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
+from tidemark.llm.text import document_keys, five_word_hashes, five_word_shingles, keyed, let, small, unkeyed, words
 
 def sketch(hashes: Column, containment: float) -> Column:
     """The least hashes of an item, as many as its size class needs.
@@ -43,9 +34,9 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, id
     bench = items.select(F.col(item_col).alias("item_id"), F.xxhash64(item_text, item_col).alias("item_key"), words(F.lower(F.col(item_text))).alias("w")).dropDuplicates(["item_key"])
     probes = stored(bench.select("item_key", F.explode(sketch(five_word_hashes(F.col("w")), containment)).alias("h")), "sketches")
     hashed = docs.select(*document_keys(id_col, text_col), F.explode(five_word_hashes(words(lower))).alias("h"))
-    candidates = stored(hashed.join(_small(probes), "h").select("k1", "k2", "item_key").distinct(), "candidates")
+    candidates = stored(hashed.join(small(probes), "h").select("k1", "k2", "item_key").distinct(), "candidates")
 
-    named = _small(stored(candidates.select("k1", "k2").distinct(), "candidate-documents"))
+    named = small(stored(candidates.select("k1", "k2").distinct(), "candidate-documents"))
     texts = docs.select(*document_keys(id_col, text_col), F.col(id_col).alias("id"), lower.alias("text"))
     held = texts.join(named, ["k1", "k2"], "left_semi").select("k1", "k2", "id", F.explode(five_word_shingles(words(F.col("text")))).alias("s")).distinct()
     wanted = bench.select("item_key", "item_id", five_word_shingles(F.col("w")).alias("all")).select("item_key", "item_id", F.size("all").alias("n_item"), F.explode("all").alias("s"))
@@ -56,5 +47,5 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, id
 
 def without_contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that :func:`contaminated` finds."""
-    bad = _small(stored(contaminated(docs, items, containment, id_col, text_col).select("k1", "k2").distinct(), "contaminated"))
+    bad = small(stored(contaminated(docs, items, containment, id_col, text_col).select("k1", "k2").distinct(), "contaminated"))
     return unkeyed(keyed(docs, id_col, text_col).join(bad, ["k1", "k2"], "left_anti"), docs.columns)

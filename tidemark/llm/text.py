@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 _SPACE_CHARS = " \t\n\x0b\f\r"
 _ALL = 1 << 30
+#: Rows up to which a table of longs is broadcast (at most about 64 MB built); larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a stored table, marked for broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
