@@ -88,3 +88,67 @@ def largest_contributions(contributions: DataFrame, *, n: int = 10, at: str | No
     else:
         rows = rows.crossJoin(F.broadcast(contributions.agg(F.max(date_col).alias("_last")))).where(f"{date_col} = _last").drop("_last")  # one row
     return rows.orderBy(F.abs("cctr").desc(), "factor").limit(n)
+
+
+def exposure_bars(summary: DataFrame, *, limit: float = 2.0) -> DataFrame:
+    """(term, mean, t_stat_nw, significant) of an exposure summary, largest mean first."""
+    require_columns(summary, ["term", "mean", "t_stat_nw"], "exposure_bars")
+    return summary.select("term", "mean", "t_stat_nw", (F.abs("t_stat_nw") >= limit).alias("significant")).orderBy(F.col("mean").desc(), "term")
+
+
+def cumulative_spread(spread: DataFrame, *, date_col: str | None = None) -> DataFrame:
+    """(date, cumulative_return) of a long-short series."""
+    return performance.cumulative_returns(spread, date_col=date_col)
+
+
+def annual_returns(returns: DataFrame, benchmark: DataFrame | None = None, *, date_col: str | None = None) -> DataFrame:
+    """(year, ret[, benchmark]): returns compounded by calendar year, beside the benchmark's."""
+    date_col, _ = resolve_columns(date_col)
+    by_year = lambda df, name: performance.aggregate_returns(df, "year", date_col=date_col).select(F.year(date_col).alias("year"), F.col("ret").alias(name))
+    own = by_year(returns, "ret")
+    return own if benchmark is None else own.join(by_year(benchmark, "benchmark"), "year", "full")
+
+
+def rolling(returns: DataFrame, metric: str, window: int = 12, benchmark: DataFrame | None = None, **kwargs) -> DataFrame:
+    """(date, value) of a rolling metric by name; those against a benchmark need one."""
+    absolute = {"volatility": performance.rolling_volatility, "sharpe": performance.rolling_sharpe}
+    relative = {"beta": performance.rolling_beta, "tracking_error": performance.rolling_tracking_error, "information_ratio": performance.rolling_information_ratio}
+    if metric in absolute:
+        out = absolute[metric](returns, window, **kwargs)
+    elif metric in relative and benchmark is not None:
+        out = relative[metric](returns, benchmark, window, **kwargs)
+    else:
+        raise ValidationError(f"metric must be one of {[*absolute, *relative]}, the last three with a benchmark; not {metric!r}")
+    return out.withColumnRenamed(f"rolling_{metric}", "value")
+
+
+def distribution_marks(returns: DataFrame, *, level: float = 0.05, ret: str = "ret") -> DataFrame:
+    """(mean, value_at_risk): the lines drawn over a histogram of returns."""
+    require_columns(returns, [ret], "distribution_marks")
+    x = clean(F.col(ret))
+    return returns.agg(F.avg(x).alias("mean"), F.percentile(x, F.lit(level)).alias("value_at_risk"))
+
+
+def with_mean_line(data: DataFrame, *, value: str) -> DataFrame:
+    """``data`` with the mean of a column in ``mean``."""
+    require_columns(data, [value], "with_mean_line")
+    return data.crossJoin(F.broadcast(data.agg(F.avg(clean(F.col(value))).alias("mean"))))  # one row
+
+
+def is_stackable(allocations: DataFrame, *, value: str = "allocation") -> DataFrame:
+    """(stackable): whether no part is negative, so that parts can be stacked."""
+    require_columns(allocations, [value], "is_stackable")
+    return allocations.agg((F.coalesce(F.min(clean(F.col(value))), F.lit(0.0)) >= 0).alias("stackable"))
+
+
+def effect_heatmap(effects: DataFrame, *, effect: str = "allocation", date_col: str | None = None) -> DataFrame:
+    """(date, segment, value) of one effect."""
+    date_col, _ = resolve_columns(date_col)
+    require_columns(effects, [date_col, "segment", effect], "effect_heatmap")
+    return effects.select(date_col, "segment", F.col(effect).alias("value"))
+
+
+def effect_bars(summary: DataFrame) -> DataFrame:
+    """A Brinson summary without its Total row."""
+    require_columns(summary, ["segment", "total"], "effect_bars")
+    return summary.where("segment <> 'Total'")
