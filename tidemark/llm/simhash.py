@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.store import stored
+from tidemark.llm.text import document_keys, keyed, small, unkeyed
 
 #: Fingerprints that the trees' vantage points and radii are fitted to; every fingerprint is indexed.
 SAMPLE = 20_000
@@ -202,12 +203,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with the document of the smallest id of each component; of equal rows (id and text) one stays.
+    """``docs`` with one row of each component: that of the smallest id, a null id last; of rows equal in id and text one stays.
 
-    Rows without an id can't be named by one and all stay.
+    Rows go by their two keys, so the texts of those that stay are not compared, and shuffled once at most.
     """
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, bits)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    same = F.xxhash64(text_col).alias("_same_text")
-    rest = docs.select("*", same).join(kept, id_col, "left_semi").dropDuplicates([id_col, "_same_text"])
-    return rest.select(docs.columns).unionAll(docs.where(F.col(id_col).isNull()))
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "k1", "k2")
+    named = docs.select(id_col, text_col, *document_keys(id_col, text_col)).select(order.alias("place"), F.col(text_col).alias("text"))
+    found = stored(near_duplicates(named, "place", "text", bits), "kept-places")
+    gone = stored(found.where(F.col("place") != F.col("component_id")).select("place.k1", "place.k2").distinct(), "near-copies")
+    same = stored(found.where(F.col("place") == F.col("component_id")).groupBy("place.k1", "place.k2").count().where("count > 1").select("k1", "k2"), "equal-rows")
+    left = keyed(docs, id_col, text_col).join(small(gone), ["k1", "k2"], "left_anti")
+    if not same.isEmpty():
+        left = left.join(small(same), ["k1", "k2"], "left_anti").unionAll(left.join(small(same), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    return unkeyed(left, docs.columns)
