@@ -92,6 +92,17 @@ select c.doc_id, c.item_id, c.n_shared, n.n_item from c join n on n.item_id is n
 where c.n_shared >= n.n_item * 0.8 - 1e-9
 """
 
+_OP4 = f"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') w from documents),
+g as (select r, i, md5(array_to_string(w[i:i+34], ' ')) s from (select r, w, unnest(range(1, len(w) - 33)) i from d where len(w) >= 35)),
+h as (select r, i from g qualify count(*) over (partition by s) > 1),
+u as (select distinct r, p from (select r, unnest(range(i, i + 35)) p from h)),
+x as (select r, unnest(w) x, unnest(range(1, len(w) + 1)) p from d),
+k as (select r, string_agg(x, ' ' order by p) t from x where not exists (select 1 from u where u.r = x.r and u.p = x.p) group by r),
+n as (select r, count(*)::bigint n from u group by r)
+select doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join n using (r) left join k using (r)
+"""
+
 _FAILS = f"""(len(regexp_replace(l, '[^#*$%&|<>]+', '', 'g')) * 10 > len(l)
  or (len(regexp_extract_all(l, '{_WORD}')) >= 4 and len(regexp_extract_all(regexp_replace(l, '[\\x20\\x09-\\x0D]', '  ', 'g') || '  ', '[!?]{{2,}}[ ]')) * 2 > len(regexp_extract_all(l, '{_WORD}')))
  or (len(regexp_replace(l, '[^|]+', '', 'g')) >= 2 and len(regexp_extract_all(l, '{_WORD}')) - len(regexp_replace(l, '[^|]+', '', 'g')) <= 4 * (len(regexp_replace(l, '[^|]+', '', 'g')) + 1))
@@ -124,4 +135,4 @@ select conv_id, n_turns, sha256(s) rendered_sha256, len(s)::bigint n_chars from
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op7_quality": _OP7, "op10_chat_format": _OP10}
+    return {"op2_decontaminate": _OP2, "op4_substring_dedup": _OP4, "op7_quality": _OP7, "op10_chat_format": _OP10}
