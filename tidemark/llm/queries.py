@@ -124,6 +124,30 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
  not base_failed and n_clean_words >= n_words * {quality.KEEP_SHARE} kept, n_clean_words from f
 """
 
+_TERMS = r"list_filter(list_transform(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}.-]+', ' ', 'g'), ' '), lambda w: trim(w, '.-')), lambda w: w <> '')"
+_KINDS = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES)
+_OP9 = rf"""
+with f as (select row_number() over () r, doc_id id, concat_ws('/', source, lang, cast(floor(doc_id / 64) as bigint)::varchar, doc_id::varchar) path, coalesce(text, '') t from documents),
+l as (select r, line, len(regexp_extract_all(line, '{_WORD}')) nw from (select r, unnest(list_filter(string_split_regex(t, '\r?\n'), lambda x: regexp_matches(x, '{licenses.SIGNAL}'))) line from f)),
+dl as (select distinct line from l),
+kinds as (select * from (values {_KINDS}) k(license, line)),
+bag as (select line, term, count(*) tf from (select line, unnest({_TERMS.format("line")}) term from dl) group by all),
+known as (select license, term, count(*) tf from (select license, unnest({_TERMS.format("line")}) term from kinds) group by all),
+idf as (select term, ln((select count(*) + {len(licenses.TEMPLATES)} + 1 from dl)::double / (count(*) + 1)) + 1 idf from (select term from bag union all select term from known) group by term),
+b as (select line, term, tf * idf w from bag join idf using (term)),
+v as (select license, term, tf * idf v from known join idf using (term)),
+n as (select b.line, v.license, sum(w * v) / (any_value(s.size) * any_value(h.len)) c from b join v using (term) join (select license, sqrt(sum(v * v)) size from v group by 1) s on s.license = v.license join (select line, sqrt(sum(w * w)) len from b group by 1) h on h.line = b.line group by 1, 2),
+scored as (select line, license, c from n where c >= {licenses.MIN_COSINE} qualify row_number() over (partition by line order by round(c, 9) desc, license) = 1),
+m as (select l.r, l.nw, license, c from l join scored using (line)),
+own as (select m.r, license, c, len(regexp_extract_all(f.t, '{_WORD}')) - sum(nw) over (partition by m.r) <= 20 is_file from m join f using (r) qualify row_number() over (partition by m.r order by round(c, 9) desc, license) = 1),
+j as (select f.r, id, path, array_to_string(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1), '/') dir, license, c, is_file from f left join own using (r)),
+src as (select dir above, license, id from j where is_file qualify row_number() over (partition by dir order by round(c, 9) desc, id) = 1),
+up as (select dir, k, array_to_string(list_slice(string_split(dir, '/'), 1, k), '/') above from (select dir, unnest(range(0, len(string_split(dir, '/')) + 1)) k from (select distinct dir from j))),
+near as (select dir, license, id from up join src using (above) qualify row_number() over (partition by dir order by k desc) = 1)
+select j.id doc_id, path, coalesce(j.license, near.license) license, round(c, 6) cosine, case when j.license is not null then 'own' when near.license is not null then 'inherited' else 'none' end how,
+ case when j.license is not null then j.id else near.id end from_id from j left join near using (dir)
+"""
+
 _OP10 = """
 with t as (select distinct conv_id, turn, role, text from conversations where conv_id is not null),
 c as (select conv_id, list({'r': role, 't': text} order by turn nulls first, role nulls first, text nulls first) x from t group by conv_id),
@@ -135,4 +159,4 @@ select conv_id, n_turns, sha256(s) rendered_sha256, len(s)::bigint n_chars from
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op4_substring_dedup": _OP4, "op7_quality": _OP7, "op10_chat_format": _OP10}
+    return {"op2_decontaminate": _OP2, "op4_substring_dedup": _OP4, "op7_quality": _OP7, "op9_license_scan": _OP9, "op10_chat_format": _OP10}
