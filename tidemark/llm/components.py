@@ -11,16 +11,27 @@ from tidemark.llm.store import dropped, stored
 MAX_ROUNDS = 60
 
 
+def _moved(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Each edge with the least of its ``u``. Both sides are plain exchanges, so that a hub's rows can be split over tasks."""
+    return edges.join(least, "u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Larger neighbours of a node hang on the least of it and its neighbours."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    out = stored(_moved(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+    dropped(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    """Smaller neighbours of a node, and the node itself, hang on the least of them."""
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    moved = _moved(edges, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = stored(moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    dropped(least)
+    return out
 
 
 def _is_forest(edges: DataFrame) -> bool:
@@ -42,7 +53,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     for _ in range(MAX_ROUNDS):
         if _is_forest(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        after = stored(_small_star(_large_star(now)), "edges")
+        large = _large_star(now)
+        after = _small_star(large)
         dropped(now)
+        dropped(large)
         now = after
     raise RuntimeError("components did not settle")
