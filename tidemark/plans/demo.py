@@ -51,9 +51,12 @@ class Demo:
             "size": F.log(F.col("cents").cast("double") / 100),
             "lines": F.col("n").cast("double"),
         }).withColumns({"F1": z("factor2"), "F2": z("size"), "F3": z("lines"), "specific_risk": F.lit(SPECIFIC_RISK)})
-        dated = base.join(date_grid(self.monthly), "date")
-        later = [dated.select("bid", (F.col("t") - k).alias("t"), F.col("ret").alias(n)) for k, n in ((1, "fwd_ret"), (2, "fwd_ret_2"))]
-        return dated.join(later[0], ["bid", "t"], "left").join(later[1], ["bid", "t"], "left").select("date", "bid", "factor", "factor2", "ret", "fwd_ret", "fwd_ret_2", "weight", "bench_weight", "sector", "size", *FACTORS, "specific_risk")
+        dated = base.join(F.broadcast(date_grid(self.months)), "date")  # one row a month
+        ahead = Window.partitionBy("bid").orderBy("t")
+        at = lambda k: F.lead("t", k).over(ahead)
+        ret = lambda k: F.lead("ret", k).over(ahead)
+        later = {"fwd_ret": F.when(at(1) == F.col("t") + 1, ret(1)), "fwd_ret_2": F.when(at(1) == F.col("t") + 2, ret(1)).when(at(2) == F.col("t") + 2, ret(2))}
+        return dated.withColumns(later).select("date", "bid", "factor", "factor2", "ret", "fwd_ret", "fwd_ret_2", "weight", "bench_weight", "sector", "size", *FACTORS, "specific_risk")
 
     @cached_property
     def series(self) -> DataFrame:
@@ -71,7 +74,8 @@ class Demo:
 
     @cached_property
     def months(self) -> DataFrame:
-        return self.monthly.select("date").distinct()
+        """The panel's dates, from one column of the source."""
+        return self.table("lineitem").select(F.last_day(F.to_date("l_shipdate")).alias("date")).distinct()
 
     @cached_property
     def covariance(self) -> DataFrame:

@@ -296,7 +296,7 @@ def _(x: Demo) -> DataFrame:
     return quantile.factor_decay(x.panel, factor="factor", forward_returns=["fwd_ret", "fwd_ret_2"])
 
 
-@query("q12_factor_autocorrelation", _select("lag; ~avg(c) as autocorrelation", f"(select b.lag, a.t, {_corr('a.x', 'b.x')} c from k a join (select bid, x, t, unnest([1, 2, 3]) as lag from k) b on a.bid = b.bid and a.t = b.t + b.lag group by 1, 2) group by lag", more=f"k as (select t, bid, {_rank('factor', 'date')} x from panel qualify x is not null)"))
+@query("q12_factor_autocorrelation", _select("lag; ~avg(c) as autocorrelation", f"(select b.lag, a.t, {_corr('a.x', 'b.x')} c from k a join (select bid, x, t, unnest([1, 2, 3]::bigint[]) as lag from k) b on a.bid = b.bid and a.t = b.t + b.lag group by 1, 2) group by lag", more=f"k as (select t, bid, {_rank('factor', 'date')} x from panel qualify x is not null)"))
 def _(x: Demo) -> DataFrame:
     return quantile.factor_autocorrelation(x.panel, factor="factor", lags=(1, 2, 3))
 
