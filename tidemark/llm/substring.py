@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import stored
+from tidemark.llm.store import dropped, stored
 from tidemark.llm.text import document_keys, keyed, unkeyed
 
 #: Words of an anchor. A window of w words holds w - ANCHOR + 1 anchors' places and keeps the least of their hashes.
@@ -152,14 +152,17 @@ def repeated_windows(docs: DataFrame, window: int = 35, anchor: int = ANCHOR, id
 
     seeds = stored(found.select("k1", "k2", "anchors").join(leads, ["k1", "k2"]).select("k1", "k2", "whole", F.explode("anchors").alias("anchor")), "seeds")
     times = F.sum(F.when(F.col("whole"), 2).otherwise(1))
-    twice = seeds.groupBy("anchor").agg(times.alias("times")).where("times > 1").select("anchor")
+    # stored, so that both sides of the joins are plain exchanges and one key's many rows can be split
+    twice = stored(seeds.groupBy("anchor").agg(times.alias("times")).where("times > 1").select("anchor"), "repeated-anchors")
     seeded = stored(seeds.join(twice, "anchor").groupBy("k1", "k2").agg(F.first("whole").alias("whole"), F.collect_set("anchor").alias("seeds")), "seeded")
     texts = docs.select(*document_keys(id_col, text_col), F.col(text_col).cast("binary").alias("text"))
     lists = "k1 long, k2 long, whole boolean, starts array<int>, h1 array<long>, h2 array<long>"
     wide = stored(texts.join(seeded.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_extend(window, anchor), lists), "windows")
     places = wide.select("k1", "k2", "whole", F.explode(F.arrays_zip("starts", "h1", "h2")).alias("w")).select("k1", "k2", "whole", "w.starts", "w.h1", "w.h2")
-    again = places.groupBy("h1", "h2").agg(times.alias("times")).where("times > 1").select("h1", "h2")
+    again = stored(places.groupBy("h1", "h2").agg(times.alias("times")).where("times > 1").select("h1", "h2"), "found-twice")
     hits = stored(places.where("not whole").drop("whole").join(again, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_set("starts").alias("found")), "repeated-windows")
+    for table in (seeds, twice, seeded, wide, again):
+        dropped(table)
     cut = texts.join(hits.hint("shuffle_hash"), ["k1", "k2"]).mapInArrow(_cut_out(window), "k1 long, k2 long, n_removed long, kept string")
     return found.drop("anchors"), cut.unionAll(copies)
 
