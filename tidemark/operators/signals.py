@@ -119,7 +119,7 @@ def _fits(data: DataFrame, y: str, by: Sequence[str], weight: str | None, date_c
         size, gram, right = len(terms), np.zeros((len(terms), len(terms))), np.zeros(len(terms))
         n_valid = int(got["n"].sum())
         if n_valid <= size:
-            return pd.DataFrame({"d": [], "ybar": [], "coef": []})
+            return pd.DataFrame({"d": [], "ybar": [], "coef": []}, dtype=object)
         width = 1 + len(numbers)
         for row in got.to_dict("records"):
             dummies = [at[f"{c}_{row[n]}"] for n, c in zip(classed, classes, strict=True) if isinstance(row[n], str)]
