@@ -81,3 +81,31 @@ def test_lines_go_and_the_rest_stays(spark):
 def test_empty_table(spark):
     assert linededup.repeated_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert linededup.without_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).where(F.lit(True)).collect() == []
+
+
+def grams(line):
+    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
+
+
+def test_shingles_start_at_every_character(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäß", k=rng.randint(2, 9)))
+    lines = [" ".join(word() for _ in range(rng.randint(9, 17))) for _ in range(120)]
+    copies = []
+    for x in lines:  # one letter of a word changed: few shingles of characters, many of a short line's words
+        words = x.split(" ")
+        at = rng.randrange(len(words))
+        copies.append(" ".join([*words[:at], "Z" + words[at][1:], *words[at + 1 :]]))
+    docs = [*enumerate(lines), *enumerate(copies, 1000), (2000, "abc"), (2001, "abd"), (2002, "abcd")]
+    want = {1000 + i for i, (x, y) in enumerate(zip(lines, copies, strict=True)) if len(grams(x) & grams(y)) >= 0.8 * len(grams(x) | grams(y))}
+    assert len(want) > 60
+    got = {r["id"] for r in linededup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r["dropped"]}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_similarity_is_that_of_all_character_shingles():
+    rng = random.Random(6)
+    one = ["".join(rng.choices("abc é", k=rng.randint(1, 60))) for _ in range(700)]
+    two = [x[:20] + y[20:] for x, y in zip(one, reversed(one), strict=True)]
+    for x, y, s in zip(one, two, linededup.similarities(one, two), strict=True):
+        assert abs(s - len(grams(x) & grams(y)) / len(grams(x) | grams(y))) < 1e-12

@@ -2,45 +2,149 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.store import dropped, stored
-from tidemark.llm.text import document_keys, keyed, let, small, unkeyed
+from tidemark.llm.text import document_keys, keyed, small, unkeyed
 
-#: Characters of the next word that a shingle runs on into.
+#: Characters that a shingle runs on after its first one: shingles have five.
 INTO = 4
-#: Least hashes in a signature; bands are three that follow each other.
-LEAST = 10
+#: Bands of a line, and the minima that each is made of.
+BANDS, ROWS = 12, 6
 #: Bucket size up to which every two lines of a bucket are paired.
 SMALL = 4
+#: Shingles hashed at once, so that they stay in a core's cache.
+_CHUNK = 1 << 15
+_MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 32, (BANDS * ROWS, 2), np.uint32) | np.uint32(1)
 
 
-def shingle_hashes(line: Column) -> Column:
-    """Hashes of the character shingles: each runs from the start of a word to ``INTO`` characters into the next one.
+def _chunks(lines: list[str]) -> Iterator[list[str]]:
+    """Consecutive lines of about ``_CHUNK`` characters; a longer line is alone."""
+    at, held = 0, 0
+    for i, line in enumerate(lines):
+        if i > at and held + len(line) > _CHUNK:
+            yield lines[at:i]
+            at, held = i, 0
+        held += max(len(line), INTO + 1)
+    if lines:
+        yield lines[at:]
 
-    Shingles start at words only, not at every character: JVM expressions that cut a string at each character cost
-    several times the time allowed. The last word alone is the last shingle.
-    """
 
-    def runs(w: Column) -> Column:
-        return F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.xxhash64(a, F.substring(b, 1, INTO)))
+def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles at every character, line after line with repeats, and how many each line has.
 
-    return F.array_distinct(let(F.split(line, " "), runs))
+    A line of fewer characters is one shingle, filled up with a code that is no character.
+    """
+    full = [x if len(x) > INTO else x.ljust(INTO + 1, "\U0010ffff") for x in lines]
+    codes = np.frombuffer("".join(full).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    counts = np.fromiter(map(len, full), np.int64, len(full)) - INTO
+    places = np.arange(counts.sum()) + np.repeat(np.arange(len(full)) * INTO, counts)
+    found = codes[: len(codes) - INTO].copy()
+    for i in range(1, INTO + 1):
+        found = found * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - INTO + i]
+    found = found[places]
+    for shift, by in ((32, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F)):
+        found = (found ^ (found >> np.uint64(shift))) * np.uint64(by)
+    return found ^ (found >> np.uint64(32)), counts
+
+
+def _sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the distinct shingles of each line, sorted, as one array of 16 and 48 bits; at most 65,536 lines."""
+    found, counts = _shingles(lines)
+    every = np.sort(np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(48) | found >> np.uint64(16))
+    every = every[np.concatenate(([True], every[1:] != every[:-1]))]
+    return every, np.bincount((every >> np.uint64(48)).astype(np.int64), minlength=len(lines))
+
+
+def band_hashes(lines: list[str]) -> np.ndarray:
+    """(line, band): each band hashes ``ROWS`` minima of the line's shingles under orders of their own.
+
+    Two lines of Jaccard 0.8 share one of the twelve bands with 97 %.
+    """
+    out = np.empty((len(lines), BANDS), np.int32)
+    at = 0
+    for some in _chunks(lines):
+        found, counts = _shingles(some)
+        x, starts = (found >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(counts)[:-1]))
+        held = np.empty_like(x)
+        for band in range(BANDS):
+            mixed = np.zeros(len(some), np.uint64)
+            for add, by in _MULTIPLIERS[band * ROWS : (band + 1) * ROWS]:
+                np.bitwise_xor(x, add, out=held)
+                np.multiply(held, by, out=held)
+                mixed = (mixed ^ np.minimum.reduceat(held, starts)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(32)
+            out[at : at + len(some), band] = (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        at += len(some)
+    return out
+
+
+def _with_bands(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``b0``, ``b1``, ... in place of ``line``."""
+    kept = [f for f in lines.schema if f.name != "line"]
+    names = [f.name for f in kept] + [f"b{i}" for i in range(BANDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = band_hashes(batch.column("line").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(BANDS))], names=names)
+
+    return lines.mapInArrow(run, StructType([*kept, *(StructField(f"b{i}", IntegerType()) for i in range(BANDS))]))
+
+
+def _with_sizes(lines: DataFrame) -> DataFrame:
+    """(uid, line) with the size of the shingle set and, as four longs, 256 parity bits of it: two sets differ in at
+    least as many elements as their bits differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, bits = [np.empty(0, np.int64)], [np.empty((0, 4), np.uint64)]
+            for some in _chunks(batch.column("line").to_pylist()):
+                every, n = _sets(some)
+                bit = np.uint64(1) << (every & np.uint64(63))
+                word, starts = every >> np.uint64(6) & np.uint64(3), np.concatenate(([0], np.cumsum(n)[:-1]))
+                bits.append(np.stack([np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), starts) for k in range(4)], 1))
+                sizes.append(n)
+            x = np.concatenate(bits).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sizes)), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(4))], names=[*batch.schema.names, "len", "x0", "x1", "x2", "x3"])
+
+    return lines.mapInArrow(run, StructType([*lines.schema, *(StructField(n, LongType()) for n in ("len", "x0", "x1", "x2", "x3"))]))
+
+
+def similarities(one: list[str], two: list[str]) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of one[i] and two[i]."""
+    out, at = [np.empty(0)], 0
+    step = 256
+    while at < len(one):
+        (x, n), (y, m) = _sets(one[at : at + step]), _sets(two[at : at + step])
+        both = np.sort(np.concatenate((x, y)))
+        shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(n))
+        out.append(shared / (n + m - shared))
+        at += step
+    return np.concatenate(out)
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity) of (a, b, line_a, line_b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = similarities(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
+
+    return pairs.mapInArrow(run, "a long, b long, similarity double")
 
 
 def _bands() -> Column:
-    """A line's bands, of its least hashes m0, m1, ...: three that follow each other, or all of fewer.
-
-    Two lines of Jaccard 0.8 share a band with 97 %: of the about eleven least hashes of both, three in a row are shared.
-    Of five shingles and four of them, the one missing may be the middle one: so the outer ones are a band as well.
-    """
-    m = [F.col(f"m{i}") for i in range(LEAST)]
-    rows = [F.when(m[i + 2].isNotNull(), F.xxhash64(*m[i : i + 3])) for i in range(LEAST - 2)]
-    outer = F.when(m[3].isNotNull() & m[5].isNull(), F.xxhash64(F.lit(1), m[0], m[1], F.coalesce(m[4], m[3])))
-    few = F.when(m[2].isNull(), F.xxhash64(F.lit(2), m[0], m[1]))
-    return F.array(*rows, outer, few)
+    """A line's bands as longs, its number above each band's bits."""
+    return F.array(*(F.shiftleft(F.lit(i).cast("bigint"), 32).bitwiseOR(F.col(f"b{i}").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))) for i in range(BANDS)))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -51,16 +155,6 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("k1", "k2", "id", "n_lines", F.col("x.no").alias("line_no"), F.col("x.line").alias("line"), F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit(1), "x.line").alias("h2"))
 
 
-def _parities(found: Column) -> list[Column]:
-    """256 parity bits of a set, as four longs: two sets differ in at least as many elements as their bits differ."""
-
-    def word(k: int) -> Column:
-        here = F.filter(found, lambda h: F.shiftright(h, 6).bitwiseAND(F.lit(3)) == k)
-        return F.aggregate(here, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))))
-
-    return [word(k).alias(f"x{k}") for k in range(4)]
-
-
 def _pairs_of(lists: DataFrame) -> DataFrame:
     """(a, b) for every two of the sorted ``uids`` of a row; rows hold few."""
     each = lists.select("uids", F.posexplode("uids").alias("i", "a"))
@@ -76,7 +170,7 @@ def _links(unique: DataFrame, docs: DataFrame, id_col: str, text_col: str, jacca
     those that aren't similar to one same line, and that two bounds let be near: the triangle over the most frequent line
     and the differing parities of their sets.
     """
-    banded = unique.select("uid", F.posexplode(_bands()).alias("at", "band")).where("band is not null")
+    banded = unique.select("uid", F.posexplode(_bands()).alias("at", "band"))
     sizes = stored(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("uid").alias("a"), F.max("uid").alias("b")).where("n > 1"), "line-bands")
     members = stored(banded.join(small(sizes.where("n > 2").select("band", "n")), "band"), "line-band-members")
     lists = members.where(F.col("n") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_list("uid")).alias("uids"))
@@ -86,21 +180,20 @@ def _links(unique: DataFrame, docs: DataFrame, id_col: str, text_col: str, jacca
     named = close.select(F.col("a").alias("uid")).unionAll(close.select(F.col("b").alias("uid"))).select("uid", F.lit(0).alias("wide")).unionAll(wide.select("uid", F.lit(1)))
     wanted = stored(named.groupBy("uid").agg(F.max("wide").alias("wide")).join(unique.select("uid", "h1", "h2", F.col("n").alias("occurs"), _bands().alias("bands")), "uid"), "line-candidates")
     texts = _lines(docs, id_col, text_col).select("h1", "h2", "line").join(small(wanted.select("uid", "h1", "h2")), ["h1", "h2"])
-    sets = stored(texts.groupBy("uid").agg(F.min("line").alias("line")).select("uid", shingle_hashes(F.col("line")).alias("set")), "line-sets")
+    sets = stored(_with_sizes(texts.groupBy("uid").agg(F.min("line").alias("line"))), "line-sets")
 
-    marks = wanted.where("wide = 1").select("uid", "occurs", "bands").join(sets, "uid").select("uid", "occurs", "bands", F.size("set").alias("len"), *_parities(F.col("set")))
+    marks = wanted.where("wide = 1").select("uid", "occurs", "bands").join(sets.drop("line"), "uid")
     inside = stored(wide.join(marks, "uid"), "line-wide")
     heads = stored(inside.groupBy("band").agg(F.max_by("uid", F.struct("occurs", -F.col("uid"))).alias("head")), "line-heads")
     star = inside.select("uid", "band").join(small(heads), "band").where("uid <> head")
 
     def verified(pairs: DataFrame, least: float) -> DataFrame:
         """The pairs whose similarity their sizes let reach ``least``, with their similarity."""
-        one = sets.select(F.col("uid").alias("a"), F.col("set").alias("sa"))
-        two = sets.select(F.col("uid").alias("b"), F.col("set").alias("sb"))
+        one = sets.select(F.col("uid").alias("a"), F.col("line").alias("line_a"), F.col("len").alias("len_a"))
+        two = sets.select(F.col("uid").alias("b"), F.col("line").alias("line_b"), F.col("len").alias("len_b"))
         both = pairs.distinct().join(one, "a").join(two, "b")
-        alike = F.least(F.size("sa"), F.size("sb")) >= F.greatest(F.size("sa"), F.size("sb")) * F.lit(least - 1e-9)
-        shared = both.where(alike).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-        return shared.select("a", "b", (F.col("shared") / (F.size("sa") + F.size("sb") - F.col("shared"))).alias("similarity"))
+        alike = F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * F.lit(least - 1e-9)
+        return _compared(both.where(alike).select("a", "b", "line_a", "line_b"))
 
     first = stored(verified(star.select(F.col("head").alias("a"), F.col("uid").alias("b")), 0.0), "line-star")
     under = first.where(F.col("similarity") >= jaccard).groupBy(F.col("b").alias("uid")).agg(F.min("a").alias("under"))
@@ -131,10 +224,8 @@ def repeated_lines(docs: DataFrame, jaccard: float = 0.8, id_col: str = "doc_id"
     line of the smallest (id, line number) stays. Lines without a word always stay. Rows equal in id and text are one
     document; a null id comes first; null and empty texts have no lines and no row; an empty table gives no rows.
     """
-    places = _lines(docs, id_col, text_col).withColumn("signature", F.slice(F.sort_array(shingle_hashes(F.col("line"))), 1, LEAST))
-    least = [f"m{i}" for i in range(LEAST)]
-    flat = stored(places.select("k1", "k2", "id", "n_lines", "line_no", "h1", "h2", *(F.shiftright(F.get("signature", F.lit(i)), 32).cast("int").alias(m) for i, m in enumerate(least))), "lines")
-    unique = stored(flat.groupBy("h1", "h2").agg(*(F.first(m).alias(m) for m in least), F.count("*").alias("n")).withColumn("uid", F.monotonically_increasing_id()), "unique-lines")
+    flat = stored(_with_bands(_lines(docs, id_col, text_col)), "lines")
+    unique = stored(flat.groupBy("h1", "h2").agg(*(F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)), F.count("*").alias("n")).withColumn("uid", F.monotonically_increasing_id()), "unique-lines")
     parts = connected_components(_links(unique, docs, id_col, text_col, jaccard)).withColumnRenamed("node", "uid")
     again = stored(unique.select("uid", "h1", "h2", "n").join(parts, "uid", "left").where("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "uid").alias("group")), "repeated-lines")
     dropped(unique)
