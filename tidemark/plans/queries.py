@@ -490,9 +490,9 @@ def _(x: Demo) -> DataFrame:
 
 _metric("t1_t_statistic", _per_series("~(avg(ret) - 0.001) / nullif(stddev_samp(ret) / sqrt(count(ret)), 0) as t_stat"), lambda x: stats.t_statistic(x.two_series, mu=0.001, **_BOTH))
 _metric("t3_newey_west_tstat", _select("series; ~t_stat_nw", "nw", _SERIES, _newey_west("two", "series", "ret")), lambda x: stats.newey_west_tstat(x.two_series, **_BOTH))
-_metric("t4_bootstrap_distribution", None, lambda x: stats.bootstrap_distribution(x.series, statistic="sharpe_ratio", n_boot=2000))
-_metric("t5_bootstrap_ci", None, lambda x: stats.bootstrap_ci(x.series, n_boot=2000))
-_metric("t6_bootstrap_pvalue", None, lambda x: stats.bootstrap_pvalue(x.series, n_boot=2000))
+_metric("t4_bootstrap_distribution", None, lambda x: stats.bootstrap_distribution(x.series, statistic="sharpe_ratio"))
+_metric("t5_bootstrap_ci", None, lambda x: stats.bootstrap_ci(x.series))
+_metric("t6_bootstrap_pvalue", None, lambda x: stats.bootstrap_pvalue(x.series))
 _PARTS = f"pa as (select ntile(4) over (order by date) as split, date, ret from series), ps as (select split, min(date) as lo, max(date) as hi, count(*) as n, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) as s, {_T.format('ret')} as t from pa group by split)"
 _metric("t7_subsample", _select('split; @lo as start; @hi as "end"; n as n_periods; ~s as sharpe_ratio; ~t as t_stat', "ps", _SERIES, _PARTS), lambda x: stats.subsample(x.series, n_splits=4, statistic="sharpe_ratio"))
 _metric("t8_stability", _select("~count_if(sign(s) = sign(o)) / count(s)::double as sign_agreement; ~count_if(s > 0) / count(s)::double as positive_ratio; ~stddev_samp(s) / nullif(abs(avg(s)), 0) as dispersion; ~min(s) as min; ~max(s) as max", "ps, (select avg(ret) / nullif(stddev_samp(ret), 0) as o from series)", _SERIES, _PARTS), lambda x: stats.stability(x.series, statistic="sharpe_ratio"))
