@@ -76,3 +76,19 @@ def test_scalars():
         with pytest.raises(ValidationError):
             bad()
     assert math.isclose(scalars.bias_confidence_interval(1, confidence=0.9)[1], 1 + 1.645 / math.sqrt(2))
+
+
+def test_wide_query_has_every_region_and_equals_its_sql(spark):
+    import duckdb
+
+    from tidemark.plans.queries import QUERIES, SQL
+
+    folder = "/root/testdata/sf0.001"
+    got = QUERIES["c3_as_wide_all"](spark, folder)
+    assert got.columns == ["date", "AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    with duckdb.connect() as db:
+        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+            db.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+        want = db.execute(SQL["c3_as_wide_all"])
+        assert [d[0] for d in want.description] == got.columns
+        assert sorted(want.fetchall()) == sorted((str(r[0]), *r[1:]) for r in got.collect())

@@ -108,6 +108,14 @@ def _(x: Demo) -> DataFrame:
     return panels.as_wide(rows, "allocation", ids=["ASIA", "EUROPE"], id_col="sector")
 
 
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@query("c3_as_wide_all", _select("@date; " + "; ".join(f"~max(case when sector = '{r}' then a end) as \"{r}\"" for r in _REGIONS), "s group by date", more="s as (select date, sector, sum(weight) as a from panel group by 1, 2)"))
+def _(x: Demo) -> DataFrame:
+    return panels.as_wide(holdings.allocation(x.panel, by="sector"), "allocation", id_col="sector")
+
+
 @query("c4_to_long", _select("@date; name as bid; ~v as value", "(select date, 'F1' as name, avg(F1) as v from panel group by 1 union all select date, 'ret', avg(ret) from panel group by 1) where v is not null"))
 def _(x: Demo) -> DataFrame:
     return panels.to_long(x.panel.groupBy("date").agg(F.avg("F1").alias("F1"), F.avg("ret").alias("ret")))
