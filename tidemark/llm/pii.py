@@ -70,14 +70,13 @@ CHECKS: dict[str, Callable[[Column], Column]] = {
     "card": _luhn,
     "phone": lambda m: F.length(_digits(m)).between(9, 15),
 }
-#: A text without one of these characters has no match; cheaper than the pattern.
-_NEEDS = {"email": "@", "phone": "+"}
+#: A text without a match of these has none of the pattern; far cheaper than the pattern itself.
+_NEEDS = {("email", False): "@", ("email", True): r"@|[\x20\[({](?i:at)[\])}\x20]", ("phone", False): r"\+", ("ip", True): "[0-9]|:[A-Fa-f]{0,4}:"}
 
 
-def _found(text: Column, pattern: str, need: str | None) -> Column:
+def _found(text: Column, pattern: str, need: str) -> Column:
     """The leftmost non-overlapping matches in order, each with the length of the gap before it and what stands around."""
-    given = F.when(F.contains(text, F.lit(need)), text) if need else text
-    matches = F.regexp_extract_all(given, F.lit(pattern), F.lit(0))
+    matches = F.regexp_extract_all(F.when(text.rlike(need), text), F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     zipped = F.zip_with(F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), F.slice(gaps, 2, 1 << 30), lambda x, r: F.struct(F.length(x["g"]).alias("gap"), x["m"].alias("match"), F.right(x["g"], F.lit(CUE_REACH)).alias("left"), F.left(r, F.lit(1)).alias("right")))
     return F.when(F.size(matches) > 0, F.filter(zipped, lambda x: x["match"].isNotNull()))
@@ -88,7 +87,7 @@ def hits(texts: DataFrame) -> DataFrame:
 
     ``found`` holds (k, wide, matches): kind number, whether a generator found them, and the matches in order.
     """
-    named = [(k, False, BASE[kind], _NEEDS.get(kind)) for k, kind in enumerate(BASE_KINDS)] + [(k, True, CANDIDATES[kind], None) for k, kind in enumerate(KINDS)]
+    named = [(k, wide, patterns[kind], _NEEDS.get((kind, wide), "[0-9]")) for wide, patterns in ((False, BASE), (True, CANDIDATES)) for k, kind in enumerate(KINDS) if kind in patterns]
     lists = texts.select("row", "more", *(_found(F.col("text"), p, need).alias(f"f{i}") for i, (_, _, p, need) in enumerate(named)))
     packed = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(wide).alias("wide"), F.col(f"f{i}").alias("matches")) for i, (k, wide, _, _) in enumerate(named)))
     return lists.select("row", "more", F.when(F.coalesce(*(F.col(f"f{i}") for i in range(len(named)))).isNotNull(), F.filter(packed, lambda x: x["matches"].isNotNull())).alias("found"))
