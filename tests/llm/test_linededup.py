@@ -10,9 +10,8 @@ from tidemark.llm import linededup
 SCHEMA = "doc_id long, text string, k1 string, line string"
 
 
-def shingles(line):
-    words = line.split(" ")
-    return {(a, b[: linededup.INTO]) for a, b in zip(words, [*words[1:], None], strict=True) if b is not None} | {(words[-1], None)}
+def grams(line):
+    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
 
 
 def corpus():
@@ -38,7 +37,7 @@ def brute(docs):
         if (key, text) not in seen:
             seen.add((key, text))
             lines += [((key is not None, key or 0, i), text, x) for i, x in enumerate((text or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
-    sets = [shingles(x) for *_, x in lines]
+    sets = [grams(x) for *_, x in lines]
     root = list(range(len(lines)))
 
     def find(i):
@@ -83,10 +82,6 @@ def test_empty_table(spark):
     assert linededup.without_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).where(F.lit(True)).collect() == []
 
 
-def grams(line):
-    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
-
-
 def test_shingles_start_at_every_character(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäß", k=rng.randint(2, 9)))
@@ -109,3 +104,47 @@ def test_similarity_is_that_of_all_character_shingles():
     two = [x[:20] + y[20:] for x, y in zip(one, reversed(one), strict=True)]
     for x, y, s in zip(one, two, linededup.similarities(one, two), strict=True):
         assert abs(s - len(grams(x) & grams(y)) / len(grams(x) | grams(y))) < 1e-12
+
+
+def test_lines_without_spaces(spark):
+    rng = random.Random(9)
+    base = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(60))
+    url = "https://example.org/" + "".join(rng.choices("abcdef0123456789/", k=70))
+    docs = [(1, base), (2, base[:-1] + "人"), (3, url + "1"), (4, url + "2"), (5, "=" * 9), (6, "=" * 40)]
+    got = {r["id"] for r in linededup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r["dropped"]}
+    assert got == {2, 4, 6}
+
+
+def test_hot_bucket(spark):
+    """Hundreds of copies of one line with edits of all sizes: the components are those of all pairs."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    base, docs = [word() for _ in range(40)], []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(40), rng.randint(0, 7)):
+            words[at] = word()
+        docs.append((i, " ".join(words)))
+    found = linededup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = {(r["id"], i) for r in found.collect() for i in r["dropped"]}
+    want = {(key, i) for key, _, i in brute(docs)[0]}
+    assert got <= want and len(got) >= 0.97 * len(want) > 100
+
+
+def test_parity_bits_bound_the_difference():
+    rng = random.Random(12)
+    lines = ["".join(rng.choices("abcdef ", k=rng.randint(5, 900))) for _ in range(60)]
+    every, n = linededup._sets(lines)
+    bits = linededup.parities(every, len(lines)).view("uint8").reshape(len(lines), -1)
+    for i in range(len(lines)):
+        for j in range(i):
+            differ = sum(bin(x ^ y).count("1") for x, y in zip(bits[i], bits[j], strict=True))
+            assert differ <= len(grams(lines[i]) ^ grams(lines[j]))
+
+
+def test_very_long_line(spark):
+    rng = random.Random(13)
+    long = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60_000))
+    docs = [(1, long), (2, long[:200_000] + "Z" + long[200_001:]), (3, "short line here")]
+    got = {r["id"]: r["dropped"] for r in linededup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0], 3: []}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ INTO = 4
 BANDS, ROWS = 12, 6
 #: Bucket size up to which every two lines of a bucket are paired.
 SMALL = 4
+#: Longs that hold the parity bits of a line's shingle set.
+PARITY = 16
 #: Shingles hashed at once, so that they stay in a core's cache.
 _CHUNK = 1 << 15
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 32, (BANDS * ROWS, 2), np.uint32) | np.uint32(1)
@@ -99,23 +102,29 @@ def _with_bands(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, StructType([*kept, *(StructField(f"b{i}", IntegerType()) for i in range(BANDS))]))
 
 
+def parities(every: np.ndarray, n_lines: int) -> np.ndarray:
+    """(line, long): for each of 64 ``PARITY`` classes of shingles, whether a line of :func:`_sets` holds an odd number."""
+    classes = np.uint64(64 * PARITY)
+    met = np.bincount(((every >> np.uint64(48)) * classes + every % classes).astype(np.int64), minlength=n_lines * int(classes))
+    return np.packbits(met.astype(np.uint8) & 1, bitorder="little").view(np.int64).reshape(n_lines, PARITY)
+
+
 def _with_sizes(lines: DataFrame) -> DataFrame:
-    """(uid, line) with the size of the shingle set and, as four longs, 256 parity bits of it: two sets differ in at
-    least as many elements as their bits differ."""
+    """(uid, line) with the size of the shingle set and its parity bits: two sets differ in at least as many elements as
+    their bits differ."""
+    names = ["len", *(f"x{k}" for k in range(PARITY))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, bits = [np.empty(0, np.int64)], [np.empty((0, 4), np.uint64)]
+            sizes, bits = [np.empty(0, np.int64)], [np.empty((0, PARITY), np.int64)]
             for some in _chunks(batch.column("line").to_pylist()):
                 every, n = _sets(some)
-                bit = np.uint64(1) << (every & np.uint64(63))
-                word, starts = every >> np.uint64(6) & np.uint64(3), np.concatenate(([0], np.cumsum(n)[:-1]))
-                bits.append(np.stack([np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), starts) for k in range(4)], 1))
+                bits.append(parities(every, len(some)))
                 sizes.append(n)
-            x = np.concatenate(bits).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sizes)), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(4))], names=[*batch.schema.names, "len", "x0", "x1", "x2", "x3"])
+            x = np.concatenate(bits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sizes)), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(PARITY))], names=[*batch.schema.names, *names])
 
-    return lines.mapInArrow(run, StructType([*lines.schema, *(StructField(n, LongType()) for n in ("len", "x0", "x1", "x2", "x3"))]))
+    return lines.mapInArrow(run, StructType([*lines.schema, *(StructField(n, LongType()) for n in names)]))
 
 
 def similarities(one: list[str], two: list[str]) -> np.ndarray:
@@ -201,10 +210,11 @@ def _links(unique: DataFrame, docs: DataFrame, id_col: str, text_col: str, jacca
     around = stored(inside.join(placed, ["band", "uid"]).join(under, "uid", "left"), "line-around")
     slack = 1 - jaccard
     cell = F.floor((1 - F.col("similarity")) / slack)
-    columns = ["uid", "at", "bands", "len", "x0", "x1", "x2", "x3", "similarity", "under"]
+    parity = [f"x{k}" for k in range(PARITY)]
+    columns = ["uid", "at", "bands", "len", *parity, "similarity", "under"]
     here = around.where(F.col("similarity") < jaccard).select("band", F.struct(*columns).alias("a"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     there = around.select("band", F.struct(*columns).alias("b"), cell.alias("cell"))
-    differ = sum((F.bit_count(F.col(f"a.x{k}").bitwiseXOR(F.col(f"b.x{k}"))) for k in range(1, 4)), F.bit_count(F.col("a.x0").bitwiseXOR(F.col("b.x0"))))
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in parity))
     near = (F.abs(F.col("a.similarity") - F.col("b.similarity")) <= slack + 1e-9) & (differ <= (F.col("a.len") + F.col("b.len")) * F.lit(slack / (1 + jaccard) + 1e-9))
     apart = F.col("a.under").isNull() | F.col("b.under").isNull() | (F.col("a.under") != F.col("b.under"))
     once = (F.col("a.uid") < F.col("b.uid")) | ((F.col("a.uid") != F.col("b.uid")) & (F.col("b.similarity") >= jaccard))  # two that aren't similar to the head would come from both sides
