@@ -1,15 +1,15 @@
-"""Licence scans: TF-IDF cosine of header lines and licence files to templates, inherited along directories."""
+"""Licence scans: TF-IDF cosine of header blocks and licence files to templates, inherited along directories."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import stored
-from tidemark.llm.text import words
+from tidemark.llm.store import dropped, stored
+from tidemark.llm.text import small, words
 
-#: Short names and the sentences that state them; fixed values.
-TEMPLATES = (
+# SPDX identifiers, the standard texts, notices and grants of each licence, and sentences that name it.
+_NAMED = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -19,71 +19,158 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("ISC", "Permission to use, copy, modify, and distribute this software under the ISC License."),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "The MIT License (MIT)"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
-#: A line is compared if it holds one of these; each template does.
-SIGNAL = r"(?i)(licen[sc]e|permission|waived|redistribution)"
+_GNU = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{1} either version {3} of the License, or (at your option) any later version."
+_GNU_WARRANTY = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details."
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+_BSD_TWO = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: '
+_MIT_NOTICE = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+_MIT_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+_ISC_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+_APACHE_AS_IS = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+_ZLIB = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"
+_CC = "This work is licensed under the Creative Commons {0} 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/{1}/4.0/."
+_SPDX = ("0BSD", "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense", "Zlib")
+#: (short name, text): each text is compared on its own, so a licence with several has several.
+TEMPLATES = (
+    *_NAMED,
+    *((name, f"SPDX-License-Identifier: {name}{form}") for name in _SPDX for form in (("", "-only", "-or-later") if "GPL" in name else ("",))),
+    *((name, _GNU.format(thing, mark, kind, version)) for name, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")) for thing, mark in (("program", ":" if version == "3" else ";"), ("library", ";"))),
+    *((name, _GNU.format("program", ":", kind, version) + " " + _GNU_WARRANTY.format("program", kind)) for name, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))),
+    ("BSD-2-Clause", _BSD_GRANT + _BSD_TWO + _BSD_AS_IS),
+    ("BSD-3-Clause", _BSD_GRANT + _BSD_TWO + _BSD_THIRD + _BSD_AS_IS),
+    ("MIT", _MIT_GRANT),
+    ("MIT", _MIT_GRANT + _MIT_NOTICE + _MIT_AS_IS),
+    ("ISC", _ISC_GRANT),
+    ("ISC", _ISC_GRANT + _ISC_AS_IS),
+    ("Apache-2.0", _APACHE),
+    ("Apache-2.0", _APACHE + _APACHE_AS_IS),
+    ("MPL-2.0", _MPL),
+    ("Unlicense", _UNLICENSE),
+    ("Zlib", _ZLIB),
+    ("CC-BY-4.0", _CC.format("Attribution", "by")),
+    ("CC-BY-SA-4.0", _CC.format("Attribution-ShareAlike", "by-sa")),
+    ("CC-BY-NC-4.0", _CC.format("Attribution-NonCommercial", "by-nc")),
+)
+#: Blocks are looked for around a line with one of these words; every template has one, wherever its lines are cut.
+MARKERS = ("licence", "licenced", "license", "licensed", "licenses", "spdx-license-identifier", "permission", "permissions", "permit", "permitted", "redistribute", "redistribution", "redistributions", "sublicense", "copyright", "waived", "warranty", "warranties", "merchantability", "liable", "liability", "gnu", "mozilla", "domain", "as-is")
+MARKER = rf"(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(MARKERS)})(?:[^\p{{L}}\p{{N}}]|$)"
+#: A block: so many lines from the line with the marker, or from one of the two before it.
+SPANS, BEFORE = (1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 21, 27, 34), (0, 1, 2)
+#: Words of the longest template over the squared cosine: a block of more distinct words can't come near.
+MAX_WORDS = 600
 MIN_COSINE = 0.75
+#: Files of these names are licence files if they match at all.
+FILE_NAMES = r"(?i)^(?:licen[cs]es?|copying|unlicense|notice)(?:[.-][^/]*)?$"
+_COUNT = r"[^\x20\x09-\x0D]+"
 
 
-def terms(line: Column) -> Column:
+def _keys(column: str, name: str) -> tuple[Column, Column]:
+    """Two hashes that stand for a text."""
+    return F.xxhash64(column).alias(f"{name}1"), F.xxhash64(F.lit(1), column).alias(f"{name}2")
+
+
+def terms(text: Column) -> Column:
     """Lower-cased runs of letters, digits, dots and hyphens, without dots or hyphens at their ends."""
-    cleaned = F.regexp_replace(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}.-]+", " "), r"(?<![^ ])[.-]+|[.-]+(?![^ ])", "")
+    cleaned = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.-]+", " "), r"(?<![^ ])[.-]+|[.-]+(?![^ ])", "")
     return F.filter(words(cleaned), lambda w: w != "")
 
 
-def score_lines(lines: DataFrame) -> DataFrame:
-    """(line, license, cosine) of distinct ``lines`` (line) that come near a template; the nearest, ties by name.
+def lines_of(text: Column) -> Column:
+    """The text's lines, cut behind sentence marks too: a licence in the middle of a long line is a line of its own."""
+    return F.split(F.regexp_replace(text, r"([.;!?])[\x20\t]+", "$1\n"), "\r?\n")
+
 
-    Weights are tf * idf. idf is taken over the templates and all distinct candidate lines of the corpus, in which a
-    sentence repeated by a thousand files counts once; terms of no template add to a line's length only.
+def blocks(texts: DataFrame) -> DataFrame:
+    """(row, start, n, block) of ``texts`` (row, text): the blocks of lines near a marker, joined by spaces."""
+    marked = texts.where(F.col("text").rlike(MARKER)).select("row", lines_of(F.col("text")).alias("lines"))
+    near = marked.select("row", "lines", F.explode(F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(MARKER), i)), lambda i: i.isNotNull())).alias("at"))
+    starts = near.select("row", "lines", F.explode(F.array(*(F.greatest(F.col("at") - b, F.lit(0)) for b in BEFORE))).alias("start"), "at")
+    spans = starts.select("row", "lines", "start", "at", F.explode(F.array(*(F.lit(n) for n in SPANS))).alias("n"))
+    inside = (F.col("at") < F.col("start") + F.col("n")) & ((F.col("n") == 1) | (F.col("start") + F.col("n") <= F.size("lines")) | (F.col("start") == 0))
+    held = spans.where(inside).select("row", "start", F.least("n", F.size("lines") - F.col("start")).alias("n"), "lines").dropDuplicates(["row", "start", "n"])
+    made = held.select("row", "start", "n", F.concat_ws(" ", F.slice("lines", F.col("start") + 1, F.col("n"))).alias("block"))
+    return made.where((F.col("n") == 1) | (F.regexp_count("block", F.lit(_COUNT)) <= MAX_WORDS))
+
+
+def score_blocks(units: DataFrame) -> DataFrame:
+    """(u1, u2, block, license, cosine) of distinct ``units`` (block) that come near a template; the nearest, ties by name.
+
+    ``u1`` and ``u2`` are two hashes of the block, by which blocks are told apart.
+
+    Weights are tf * idf. idf is taken over the templates and all distinct blocks of the corpus, in which a text repeated
+    by a thousand files counts once; terms of no template add to a block's length only.
     """
-    spark = lines.sparkSession
-    kinds = spark.createDataFrame([(n, t) for n, t in TEMPLATES], "license string, line string")
-    bag = lines.select("line", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("tf"))
-    known = kinds.select("license", F.explode(terms(F.col("line"))).alias("term")).groupBy("license", "term").agg(F.count("*").alias("tf"))
-    n = lines.count() + len(TEMPLATES)
+    spark = units.sparkSession
+    kinds = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(TEMPLATES)], "template int, license string, block string")
+    keyed = stored(units.select(*_keys("block", "u"), "block"), "license-units")
+    bag = stored(keyed.select("u1", "u2", F.explode(terms(F.col("block"))).alias("term")).groupBy("u1", "u2", "term").agg(F.count("*").alias("tf")), "license-terms")
+    known = kinds.select("template", F.explode(terms(F.col("block"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
+    n = keyed.count() + len(TEMPLATES)
     seen = bag.select("term").unionAll(known.select("term")).groupBy("term").agg((F.log(F.lit(float(n + 1)) / (F.count("*") + 1)) + 1).alias("idf"))
-    weighed = stored(bag.join(seen, "term").select("line", "term", (F.col("tf") * F.col("idf")).alias("w")), "line-weights")
-    vectors = known.join(seen, "term").select("license", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    sizes = vectors.groupBy("license").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
-    length = weighed.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dot = weighed.join(F.broadcast(vectors), "term").groupBy("line", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))  # the templates are a fixed list
-    near = dot.join(F.broadcast(sizes), "license").join(length, "line").withColumn("cosine", F.col("dot") / (F.col("size") * F.col("length"))).where(F.col("cosine") >= MIN_COSINE)
+    idf = small(stored(seen, "license-idf"))
+    weighed = bag.join(idf, "term").select("u1", "u2", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    vectors = stored(known.join(idf, "term").select("template", "term", (F.col("tf") * F.col("idf")).alias("v")), "license-templates")
+    sizes = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
+    # the templates are a fixed list: their terms and sizes are small
+    lists = F.broadcast(vectors.groupBy("term").agg(F.collect_list(F.struct("template", "v")).alias("ts")))
+    each = weighed.join(lists, "term", "left").withColumn("ts", F.coalesce("ts", F.array().cast("array<struct<template:int,v:double>>")))
+    length = each.groupBy("u1", "u2").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    dot = each.select("u1", "u2", "w", F.explode("ts").alias("t")).groupBy("u1", "u2", "t.template").agg(F.sum(F.col("w") * F.col("t.v")).alias("dot"))
+    near = dot.join(F.broadcast(sizes), "template").join(length, ["u1", "u2"]).withColumn("cosine", F.col("dot") / (F.col("size") * F.col("length"))).where(F.col("cosine") >= MIN_COSINE)
     best = F.min_by(F.struct("license", "cosine"), F.struct(-F.round("cosine", 9), F.col("license")))
-    return near.groupBy("line").agg(best.alias("b")).select("line", "b.license", "b.cosine")
+    found = near.join(F.broadcast(kinds.select("template", "license")), "template").groupBy("u1", "u2").agg(best.alias("b"))
+    return keyed.join(small(stored(found.select("u1", "u2", "b.license", "b.cosine"), "license-near")), ["u1", "u2"]).select("u1", "u2", "block", "license", "cosine")
+
+
+def _steps(path: Column) -> Column:
+    return F.split(path, "/")
 
 
 def _directories(path: Column) -> Column:
     """The path's directories from the nearest to the root ``''``."""
-    steps = F.split(path, "/")
-    return F.transform(F.sequence(F.size(steps) - 1, F.lit(0), F.lit(-1)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
+    return F.transform(F.sequence(F.size(_steps(path)) - 1, F.lit(0), F.lit(-1)), lambda i: F.array_join(F.slice(_steps(path), F.lit(1), i), "/"))
 
 
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, path, license, cosine, how, from_id) of every row of ``files``.
 
-    ``how``: "own" if a line of the whole text matches a template (the nearest; ties by name), "inherited" if not but
+    ``how``: "own" if a block of the whole text comes near a template (the nearest; ties by name), "inherited" if not but
     a directory above holds a licence file (then ``license`` is that of the nearest such directory and ``from_id`` its
     file; of several the highest cosine, then the least id), else "none". A licence file is one that has at most 20
-    words besides its matching lines' words. Files are grouped by directory before the path join, so each distinct
-    directory is resolved once. Null texts match nothing, null paths inherit nothing; repeated rows give a row each.
+    words besides its matching blocks', or a matching file named like one. Files are grouped by directory before the path
+    join, so each distinct directory is resolved once; the root is a key of the sources alone, which are counted and
+    broadcast if few. Null and empty texts match nothing, null paths inherit nothing; repeated rows give a row each; a
+    very long line is cut at sentence marks; an empty table gives no rows; other columns are ignored, whatever their names.
     """
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\r?\n"), lambda x: x.rlike(SIGNAL))
-    held = files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).alias("n_words"), lines.alias("lines"))
-    rows = stored(held.withColumn("row", F.monotonically_increasing_id()), "license-lines")
-    each = rows.select("row", "n_words", F.explode("lines").alias("line"))
-    scored = stored(score_lines(each.select("line").distinct()), "license-scores")
-    matched = each.join(scored, "line")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = stored(files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.regexp_count(text, F.lit(_COUNT)).alias("n_words"), F.when(text.rlike(MARKER), text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "license-files")
+    each = stored(blocks(rows), "license-blocks")
+    scored = stored(score_blocks(each.select("block").distinct()).select("u1", "u2", "license", "cosine"), "license-scores")
+    matched = stored(each.select("row", "start", "n", *_keys("block", "u")).join(small(scored), ["u1", "u2"]).select("row", "start", "n", "license", "cosine"), "license-matches")
     best = F.min_by(F.struct("license", "cosine"), F.struct(-F.round("cosine", 9), F.col("license")))
-    own = stored(matched.groupBy("row").agg(best.alias("b"), (F.first("n_words") - F.sum(F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")))).alias("rest")).select("row", "b.license", "b.cosine", (F.col("rest") <= 20).alias("is_file")), "license-own")
+    counted = rows.where("text is not null").join(small(matched.select("row").distinct()), "row").select("row", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+    covered = matched.select("row", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("at")).distinct().join(counted, ["row", "at"]).groupBy("row").agg(F.sum(F.regexp_count("line", F.lit(_COUNT))).alias("covered"))
+    own = stored(matched.groupBy("row").agg(best.alias("b")).join(covered, "row").select("row", "b.license", "b.cosine", "covered"), "license-own")
 
-    joined = rows.select("row", "id", "path", _directories(F.col("path"))[0].alias("dir")).join(own, "row", "left")
+    named = F.element_at(_steps(F.col("path")), -1).rlike(FILE_NAMES)
+    placed = rows.select("row", "id", "path", "n_words", _directories(F.col("path"))[0].alias("dir")).select("*", *_keys("dir", "d"))
+    joined = placed.join(small(own), "row", "left").withColumn("is_file", (F.col("n_words") - F.col("covered") <= 20) | (F.col("covered").isNotNull() & named))
     pick = F.min_by(F.struct("license", F.col("id").alias("from_id")), F.struct(-F.round("cosine", 9), "id"))
-    sources = joined.where("is_file and dir is not null").groupBy("dir").agg(pick.alias("p")).select(F.col("dir").alias("above"), "p.license", "p.from_id")
-    dirs = joined.where("dir is not null").select("dir").distinct()
-    up = dirs.select("dir", F.posexplode(F.transform(F.sequence(F.size(F.split("dir", "/")), F.lit(0), F.lit(-1)), lambda i: F.array_join(F.slice(F.split("dir", "/"), F.lit(1), i), "/"))).alias("rise", "above"))
-    nearest = up.join(sources, "above").groupBy("dir").agg(F.min_by(F.struct("license", "from_id"), "rise").alias("n")).select("dir", F.col("n.license").alias("up_license"), F.col("n.from_id").alias("up_id"))
-    out = joined.join(nearest, "dir", "left")
+    sources = stored(joined.where("is_file and dir is not null").groupBy("d1", "d2").agg(pick.alias("p")).select("d1", "d2", "p.license", "p.from_id"), "license-sources")
+    dirs = placed.where("dir is not null").select("dir").distinct()
+    up = dirs.select("dir", F.posexplode(F.transform(F.sequence(F.size(_steps(F.col("dir"))), F.lit(0), F.lit(-1)), lambda i: F.array_join(F.slice(_steps(F.col("dir")), F.lit(1), i), "/"))).alias("rise", "above"))
+    nearest = stored(up.select(*_keys("dir", "e"), "rise", *_keys("above", "d")).join(small(sources), ["d1", "d2"]).groupBy("e1", "e2").agg(F.min_by(F.struct("license", "from_id"), "rise").alias("n")).select(F.col("e1").alias("d1"), F.col("e2").alias("d2"), F.col("n.license").alias("up_license"), F.col("n.from_id").alias("up_id")), "license-nearest")
+    dropped(each)
+    out = joined.join(small(nearest), ["d1", "d2"], "left")
     how = F.when(F.col("license").isNotNull(), "own").when(F.col("up_license").isNotNull(), "inherited").otherwise("none")
     return out.select(F.col("id").alias(id_col), F.col("path").alias(path_col), F.coalesce("license", "up_license").alias("license"), F.round("cosine", 6).alias("cosine"), how.alias("how"), F.when(how == "own", F.col("id")).when(how == "inherited", F.col("up_id")).alias("from_id"))

@@ -125,22 +125,28 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 _TERMS = r"list_filter(list_transform(string_split(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}.-]+', ' ', 'g'), ' '), lambda w: trim(w, '.-')), lambda w: w <> '')"
-_KINDS = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licenses.TEMPLATES)
+_KINDS = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))
 _OP9 = rf"""
 with f as (select row_number() over () r, doc_id id, concat_ws('/', source, lang, cast(floor(doc_id / 64) as bigint)::varchar, doc_id::varchar) path, coalesce(text, '') t from documents),
-l as (select r, line, len(regexp_extract_all(line, '{_WORD}')) nw from (select r, unnest(list_filter(string_split_regex(t, '\r?\n'), lambda x: regexp_matches(x, '{licenses.SIGNAL}'))) line from f)),
-dl as (select distinct line from l),
-kinds as (select * from (values {_KINDS}) k(license, line)),
-bag as (select line, term, count(*) tf from (select line, unnest({_TERMS.format("line")}) term from dl) group by all),
-known as (select license, term, count(*) tf from (select license, unnest({_TERMS.format("line")}) term from kinds) group by all),
-idf as (select term, ln((select count(*) + {len(licenses.TEMPLATES)} + 1 from dl)::double / (count(*) + 1)) + 1 idf from (select term from bag union all select term from known) group by term),
-b as (select line, term, tf * idf w from bag join idf using (term)),
-v as (select license, term, tf * idf v from known join idf using (term)),
-n as (select b.line, v.license, sum(w * v) / (any_value(s.size) * any_value(h.len)) c from b join v using (term) join (select license, sqrt(sum(v * v)) size from v group by 1) s on s.license = v.license join (select line, sqrt(sum(w * w)) len from b group by 1) h on h.line = b.line group by 1, 2),
-scored as (select line, license, c from n where c >= {licenses.MIN_COSINE} qualify row_number() over (partition by line order by round(c, 9) desc, license) = 1),
-m as (select l.r, l.nw, license, c from l join scored using (line)),
-own as (select m.r, license, c, len(regexp_extract_all(f.t, '{_WORD}')) - sum(nw) over (partition by m.r) <= 20 is_file from m join f using (r) qualify row_number() over (partition by m.r order by round(c, 9) desc, license) = 1),
-j as (select f.r, id, path, array_to_string(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1), '/') dir, license, c, is_file from f left join own using (r)),
+m as (select r, string_split_regex(regexp_replace(t, '([.;!?])[\x20\t]+', '\1' || chr(10), 'g'), '\r?\n') l from f where regexp_matches(t, '{licenses.MARKER}')),
+hit as (select r, l, unnest(list_filter(range(0, len(l)), lambda i: regexp_matches(l[i + 1], '{licenses.MARKER}'))) a from m),
+win as (select distinct r, l, greatest(a - b, 0) s, least(n, len(l) - greatest(a - b, 0)) n from hit, (select unnest({list(licenses.BEFORE)}) b), (select unnest({list(licenses.SPANS)}) n)
+ where a < greatest(a - b, 0) + n and (n = 1 or greatest(a - b, 0) + n <= len(l) or greatest(a - b, 0) = 0)),
+blk as (select * from (select r, s, n, array_to_string(l[s + 1:s + n], ' ') block from win) where n = 1 or len(regexp_extract_all(block, '{_WORD}')) <= {licenses.MAX_WORDS}),
+u as (select distinct block from blk),
+kinds as (select * from (values {_KINDS}) k(template, license, block)),
+bag as (select block, term, count(*) tf from (select block, unnest({_TERMS.format("block")}) term from u) group by all),
+known as (select template, license, term, count(*) tf from (select template, license, unnest({_TERMS.format("block")}) term from kinds) group by all),
+idf as (select term, ln((select count(*) + {len(licenses.TEMPLATES)} + 1 from u)::double / (count(*) + 1)) + 1 idf from (select term from bag union all select term from known) group by term),
+b as (select block, term, tf * idf w from bag join idf using (term)),
+v as (select template, license, term, tf * idf v from known join idf using (term)),
+n as (select b.block, v.template, any_value(v.license) license, sum(w * v) / (any_value(s.size) * any_value(h.len)) c from b join v using (term) join (select template, sqrt(sum(v * v)) size from v group by 1) s on s.template = v.template join (select block, sqrt(sum(w * w)) len from b group by 1) h on h.block = b.block group by 1, 2),
+scored as (select block, license, c from n where c >= {licenses.MIN_COSINE} qualify row_number() over (partition by block order by round(c, 9) desc, license) = 1),
+hits as (select blk.*, license, c from blk join scored using (block)),
+cover as (select r, sum(len(regexp_extract_all(l[p + 1], '{_WORD}'))) words from (select distinct r, unnest(range(s, s + n)) p from hits) join m using (r) group by r),
+own as (select r, license, c, words from hits join cover using (r) qualify row_number() over (partition by r order by round(c, 9) desc, license) = 1),
+j as (select f.r, id, path, array_to_string(list_slice(string_split(path, '/'), 1, len(string_split(path, '/')) - 1), '/') dir, license, c,
+ words is not null and (len(regexp_extract_all(t, '{_WORD}')) - words <= 20 or regexp_matches(string_split(path, '/')[-1], '{licenses.FILE_NAMES}')) is_file from f left join own using (r)),
 src as (select dir above, license, id from j where is_file qualify row_number() over (partition by dir order by round(c, 9) desc, id) = 1),
 up as (select dir, k, array_to_string(list_slice(string_split(dir, '/'), 1, k), '/') above from (select dir, unnest(range(0, len(string_split(dir, '/')) + 1)) k from (select distinct dir from j))),
 near as (select dir, license, id from up join src using (above) qualify row_number() over (partition by dir order by k desc) = 1)
