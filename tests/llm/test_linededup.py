@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup
+from tidemark.llm import linededup, nearsets
 
 SCHEMA = "doc_id long, text string, k1 string, line string"
 
@@ -102,7 +102,7 @@ def test_similarity_is_that_of_all_character_shingles():
     rng = random.Random(6)
     one = ["".join(rng.choices("abc é", k=rng.randint(1, 60))) for _ in range(700)]
     two = [x[:20] + y[20:] for x, y in zip(one, reversed(one), strict=True)]
-    for x, y, s in zip(one, two, linededup.similarities(one, two), strict=True):
+    for x, y, s in zip(one, two, nearsets.similarities(one, two, nearsets.of_characters), strict=True):
         assert abs(s - len(grams(x) & grams(y)) / len(grams(x) | grams(y))) < 1e-12
 
 
@@ -134,8 +134,8 @@ def test_hot_bucket(spark):
 def test_parity_bits_bound_the_difference():
     rng = random.Random(12)
     lines = ["".join(rng.choices("abcdef ", k=rng.randint(5, 900))) for _ in range(60)]
-    every, n = linededup._sets(lines)
-    bits = linededup.parities(every, len(lines)).view("uint8").reshape(len(lines), -1)
+    every, n = nearsets._sets(lines, nearsets.of_characters)
+    bits = nearsets.parities(every, len(lines)).view("uint8").reshape(len(lines), -1)
     for i in range(len(lines)):
         for j in range(i):
             differ = sum(bin(x ^ y).count("1") for x, y in zip(bits[i], bits[j], strict=True))

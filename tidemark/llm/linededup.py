@@ -2,158 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidemark.llm.components import connected_components
+from tidemark.llm.nearsets import BANDS, links, of_characters, with_bands
 from tidemark.llm.store import dropped, stored
-from tidemark.llm.text import document_keys, keyed, small, unkeyed
-
-#: Characters that a shingle runs on after its first one: shingles have five.
-INTO = 4
-#: Bands of a line, and the minima that each is made of.
-BANDS, ROWS = 12, 6
-#: Bucket size up to which every two lines of a bucket are paired.
-SMALL = 4
-#: Longs that hold the parity bits of a line's shingle set.
-PARITY = 16
-#: Shingles hashed at once, so that they stay in a core's cache.
-_CHUNK = 1 << 15
-_MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 32, (BANDS * ROWS, 2), np.uint32) | np.uint32(1)
-
-
-def _chunks(lines: list[str]) -> Iterator[list[str]]:
-    """Consecutive lines of about ``_CHUNK`` characters; a longer line is alone."""
-    at, held = 0, 0
-    for i, line in enumerate(lines):
-        if i > at and held + len(line) > _CHUNK:
-            yield lines[at:i]
-            at, held = i, 0
-        held += max(len(line), INTO + 1)
-    if lines:
-        yield lines[at:]
-
-
-def _shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the shingles at every character, line after line with repeats, and how many each line has.
-
-    A line of fewer characters is one shingle, filled up with a code that is no character.
-    """
-    full = [x if len(x) > INTO else x.ljust(INTO + 1, "\U0010ffff") for x in lines]
-    codes = np.frombuffer("".join(full).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    counts = np.fromiter(map(len, full), np.int64, len(full)) - INTO
-    places = np.arange(counts.sum()) + np.repeat(np.arange(len(full)) * INTO, counts)
-    found = codes[: len(codes) - INTO].copy()
-    for i in range(1, INTO + 1):
-        found = found * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - INTO + i]
-    found = found[places]
-    for shift, by in ((32, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F)):
-        found = (found ^ (found >> np.uint64(shift))) * np.uint64(by)
-    return found ^ (found >> np.uint64(32)), counts
-
-
-def _sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of the distinct shingles of each line, sorted, as one array of 16 and 48 bits; at most 65,536 lines."""
-    found, counts = _shingles(lines)
-    every = np.sort(np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << np.uint64(48) | found >> np.uint64(16))
-    every = every[np.concatenate(([True], every[1:] != every[:-1]))]
-    return every, np.bincount((every >> np.uint64(48)).astype(np.int64), minlength=len(lines))
-
-
-def band_hashes(lines: list[str]) -> np.ndarray:
-    """(line, band): each band hashes ``ROWS`` minima of the line's shingles under orders of their own.
-
-    Two lines of Jaccard 0.8 share one of the twelve bands with 97 %.
-    """
-    out = np.empty((len(lines), BANDS), np.int32)
-    at = 0
-    for some in _chunks(lines):
-        found, counts = _shingles(some)
-        x, starts = (found >> np.uint64(32)).astype(np.uint32), np.concatenate(([0], np.cumsum(counts)[:-1]))
-        held = np.empty_like(x)
-        for band in range(BANDS):
-            mixed = np.zeros(len(some), np.uint64)
-            for add, by in _MULTIPLIERS[band * ROWS : (band + 1) * ROWS]:
-                np.bitwise_xor(x, add, out=held)
-                np.multiply(held, by, out=held)
-                mixed = (mixed ^ np.minimum.reduceat(held, starts)) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(32)
-            out[at : at + len(some), band] = (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        at += len(some)
-    return out
-
-
-def _with_bands(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``b0``, ``b1``, ... in place of ``line``."""
-    kept = [f for f in lines.schema if f.name != "line"]
-    names = [f.name for f in kept] + [f"b{i}" for i in range(BANDS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = band_hashes(batch.column("line").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(BANDS))], names=names)
-
-    return lines.mapInArrow(run, StructType([*kept, *(StructField(f"b{i}", IntegerType()) for i in range(BANDS))]))
-
-
-def parities(every: np.ndarray, n_lines: int) -> np.ndarray:
-    """(line, long): for each of 64 ``PARITY`` classes of shingles, whether a line of :func:`_sets` holds an odd number."""
-    classes = np.uint64(64 * PARITY)
-    met = np.bincount(((every >> np.uint64(48)) * classes + every % classes).astype(np.int64), minlength=n_lines * int(classes))
-    return np.packbits(met.astype(np.uint8) & 1, bitorder="little").view(np.int64).reshape(n_lines, PARITY)
-
-
-def _with_sizes(lines: DataFrame) -> DataFrame:
-    """(uid, line) with the size of the shingle set and its parity bits: two sets differ in at least as many elements as
-    their bits differ."""
-    names = ["len", *(f"x{k}" for k in range(PARITY))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, bits = [np.empty(0, np.int64)], [np.empty((0, PARITY), np.int64)]
-            for some in _chunks(batch.column("line").to_pylist()):
-                every, n = _sets(some)
-                bits.append(parities(every, len(some)))
-                sizes.append(n)
-            x = np.concatenate(bits)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sizes)), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(PARITY))], names=[*batch.schema.names, *names])
-
-    return lines.mapInArrow(run, StructType([*lines.schema, *(StructField(n, LongType()) for n in names)]))
-
-
-def similarities(one: list[str], two: list[str]) -> np.ndarray:
-    """Jaccard similarity of the shingle sets of one[i] and two[i]."""
-    out, at = [np.empty(0)], 0
-    step = 256
-    while at < len(one):
-        (x, n), (y, m) = _sets(one[at : at + step]), _sets(two[at : at + step])
-        both = np.sort(np.concatenate((x, y)))
-        shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(n))
-        out.append(shared / (n + m - shared))
-        at += step
-    return np.concatenate(out)
-
-
-def _compared(pairs: DataFrame) -> DataFrame:
-    """(a, b, similarity) of (a, b, line_a, line_b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = similarities(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
-
-    return pairs.mapInArrow(run, "a long, b long, similarity double")
-
-
-def _bands() -> Column:
-    """A line's bands as longs, its number above each band's bits."""
-    return F.array(*(F.shiftleft(F.lit(i).cast("bigint"), 32).bitwiseOR(F.col(f"b{i}").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))) for i in range(BANDS)))
+from tidemark.llm.text import document_keys, keyed, unkeyed
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -164,79 +19,18 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return each.select("k1", "k2", "id", "n_lines", F.col("x.no").alias("line_no"), F.col("x.line").alias("line"), F.xxhash64("x.line").alias("h1"), F.xxhash64(F.lit(1), "x.line").alias("h2"))
 
 
-def _pairs_of(lists: DataFrame) -> DataFrame:
-    """(a, b) for every two of the sorted ``uids`` of a row; rows hold few."""
-    each = lists.select("uids", F.posexplode("uids").alias("i", "a"))
-    return each.select("a", F.explode(F.slice("uids", F.col("i") + 2, F.lit(SMALL))).alias("b"))
-
-
-def _links(unique: DataFrame, docs: DataFrame, id_col: str, text_col: str, jaccard: float) -> DataFrame:
-    """Edges (a, b) between line numbers ``uid`` whose shingle sets have that Jaccard similarity or more; where the lines
-    of a bucket are similar to one of them, only the edges to that one.
-
-    Buckets of up to ``SMALL`` lines pair every two. In larger ones all lines meet the one that occurs most often, as
-    copies with small changes do with their original. Pairs are then taken, in the first bucket they share, only of
-    those that aren't similar to one same line, and that two bounds let be near: the triangle over the most frequent line
-    and the differing parities of their sets.
-    """
-    banded = unique.select("uid", F.posexplode(_bands()).alias("at", "band"))
-    sizes = stored(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("uid").alias("a"), F.max("uid").alias("b")).where("n > 1"), "line-bands")
-    members = stored(banded.join(small(sizes.where("n > 2").select("band", "n")), "band"), "line-band-members")
-    lists = members.where(F.col("n") <= SMALL).groupBy("band").agg(F.sort_array(F.collect_list("uid")).alias("uids"))
-    close = stored(sizes.where("n = 2").select("a", "b").unionAll(_pairs_of(lists)).distinct(), "line-close")
-    wide = members.where(F.col("n") > SMALL).select("uid", "at", "band")
-
-    named = close.select(F.col("a").alias("uid")).unionAll(close.select(F.col("b").alias("uid"))).select("uid", F.lit(0).alias("wide")).unionAll(wide.select("uid", F.lit(1)))
-    wanted = stored(named.groupBy("uid").agg(F.max("wide").alias("wide")).join(unique.select("uid", "h1", "h2", F.col("n").alias("occurs"), _bands().alias("bands")), "uid"), "line-candidates")
-    texts = _lines(docs, id_col, text_col).select("h1", "h2", "line").join(small(wanted.select("uid", "h1", "h2")), ["h1", "h2"])
-    sets = stored(_with_sizes(texts.groupBy("uid").agg(F.min("line").alias("line"))), "line-sets")
-
-    marks = wanted.where("wide = 1").select("uid", "occurs", "bands").join(sets.drop("line"), "uid")
-    inside = stored(wide.join(marks, "uid"), "line-wide")
-    heads = stored(inside.groupBy("band").agg(F.max_by("uid", F.struct("occurs", -F.col("uid"))).alias("head")), "line-heads")
-    star = inside.select("uid", "band").join(small(heads), "band").where("uid <> head")
-
-    def verified(pairs: DataFrame, least: float) -> DataFrame:
-        """The pairs whose similarity their sizes let reach ``least``, with their similarity."""
-        one = sets.select(F.col("uid").alias("a"), F.col("line").alias("line_a"), F.col("len").alias("len_a"))
-        two = sets.select(F.col("uid").alias("b"), F.col("line").alias("line_b"), F.col("len").alias("len_b"))
-        both = pairs.distinct().join(one, "a").join(two, "b")
-        alike = F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * F.lit(least - 1e-9)
-        return _compared(both.where(alike).select("a", "b", "line_a", "line_b"))
-
-    first = stored(verified(star.select(F.col("head").alias("a"), F.col("uid").alias("b")), 0.0), "line-star")
-    under = first.where(F.col("similarity") >= jaccard).groupBy(F.col("b").alias("uid")).agg(F.min("a").alias("under"))
-    placed = star.join(first.select(F.col("a").alias("head"), F.col("b").alias("uid"), "similarity"), ["head", "uid"]).select("band", "uid", "similarity")
-    around = stored(inside.join(placed, ["band", "uid"]).join(under, "uid", "left"), "line-around")
-    slack = 1 - jaccard
-    cell = F.floor((1 - F.col("similarity")) / slack)
-    parity = [f"x{k}" for k in range(PARITY)]
-    columns = ["uid", "at", "bands", "len", *parity, "similarity", "under"]
-    here = around.where(F.col("similarity") < jaccard).select("band", F.struct(*columns).alias("a"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    there = around.select("band", F.struct(*columns).alias("b"), cell.alias("cell"))
-    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in parity))
-    near = (F.abs(F.col("a.similarity") - F.col("b.similarity")) <= slack + 1e-9) & (differ <= (F.col("a.len") + F.col("b.len")) * F.lit(slack / (1 + jaccard) + 1e-9))
-    apart = F.col("a.under").isNull() | F.col("b.under").isNull() | (F.col("a.under") != F.col("b.under"))
-    once = (F.col("a.uid") < F.col("b.uid")) | ((F.col("a.uid") != F.col("b.uid")) & (F.col("b.similarity") >= jaccard))  # two that aren't similar to the head would come from both sides
-    earlier = F.arrays_overlap(F.slice("a.bands", F.lit(1), F.col("a.at")), F.slice("b.bands", F.lit(1), F.col("b.at")))
-    rest = here.join(there, ["band", "cell"]).where(once & near & apart & ~F.coalesce(earlier, F.lit(False))).select(F.least("a.uid", "b.uid").alias("a"), F.greatest("a.uid", "b.uid").alias("b"))
-    found = stored(verified(close.unionAll(rest), jaccard), "line-pairs")
-    edges = stored(first.unionAll(found).where(F.col("similarity") >= jaccard).select("a", "b"), "line-edges")
-    for table in (sizes, members, close, wanted, sets, inside, heads, first, around, found):
-        dropped(table)
-    return edges
-
-
 def repeated_lines(docs: DataFrame, jaccard: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, id, n_lines, dropped): documents' lines with a word, and the sorted numbers (from 0) of those to drop.
 
     Lines are linked if their texts are equal or their shingle sets have that Jaccard similarity; of each component the
     line of the smallest (id, line number) stays. Lines without a word always stay. Rows equal in id and text are one
-    document; a null id comes first; null and empty texts have no lines and no row; an empty table gives no rows.
+    document; a null id comes first; null and empty texts have no lines and no row; an empty table gives no rows; a very
+    long line is one line like any other; other columns are ignored, whatever their names.
     """
-    flat = stored(_with_bands(_lines(docs, id_col, text_col)), "lines")
+    flat = stored(with_bands(_lines(docs, id_col, text_col), "line", of_characters), "lines")
     unique = stored(flat.groupBy("h1", "h2").agg(*(F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)), F.count("*").alias("n")).withColumn("uid", F.monotonically_increasing_id()), "unique-lines")
-    parts = connected_components(_links(unique, docs, id_col, text_col, jaccard)).withColumnRenamed("node", "uid")
+    texts = _lines(docs, id_col, text_col).select("h1", "h2", F.col("line").alias("text"))
+    parts = connected_components(links(unique, texts, of_characters, jaccard)).withColumnRenamed("node", "uid")
     again = stored(unique.select("uid", "h1", "h2", "n").join(parts, "uid", "left").where("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "uid").alias("group")), "repeated-lines")
     dropped(unique)
     rows = stored(flat.select("k1", "k2", "id", "line_no", "h1", "h2").join(again, ["h1", "h2"]).select("k1", "k2", "id", "line_no", "group"), "repeated-places")

@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.text import five_word_hashes, let, words
 
-#: Lines made of few words that sites repeat; a line that is nothing else is boilerplate.
-BOILERPLATE = r"(?i)^\W*(home|menu|search|login|log in|sign in|sign up|register|subscribe|share|next|previous|back to top|read more|skip to content|cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|copyright)\W*$"
+# What sites repeat in English, German, French and Spanish; a line that is nothing else is boilerplate.
+_PHRASES = (
+    "home", "menu", "search", "login", "log in", "sign in", "sign up", "register", "subscribe", "share", "next", "previous", "back to top", "read more", "skip to content", "cookie policy", "privacy policy", "terms of (use|service)", "all rights reserved", "click here", "copyright",
+    "startseite", "suche", "anmelden", "abmelden", "registrieren", "abonnieren", "teilen", "weiter", "nach oben", "mehr lesen", "weiterlesen", "impressum", "datenschutz", "nutzungsbedingungen", "alle rechte vorbehalten", "kontakt",
+    "accueil", "recherche", "connexion", "inscription", "partager", "suivant", "haut de page", "lire la suite", "mentions l.gales", "tous droits r.serv.s", "politique de confidentialit.",
+    "inicio", "buscar", "iniciar sesi.n", "registrarse", "suscribirse", "compartir", "siguiente", "anterior", "leer m.s", "aviso legal", "todos los derechos reservados", "pol.tica de privacidad",
+)
+BOILERPLATE = rf"(?i)^\W*({'|'.join(_PHRASES)})\W*$"
 #: A document is rejected if it keeps less than this share of its words.
 KEEP_SHARE = 0.5
 
@@ -76,8 +82,11 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` that pass, with the lines that failed taken out of their texts; other columns stay as they are."""
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    packed = docs.select(F.struct(*(F.col(c) for c in [id_col, *others])).alias("_row"), F.col(text_col).alias("_text"))
-    judged = assess(packed, "_row", "_text").where("kept")
-    return judged.select(*((F.col("clean_text").alias(c) if c == text_col else F.col("_row")[c].alias(c)) for c in docs.columns))
+    """``docs`` that pass, with the lines that failed taken out of their texts; other columns stay, whatever their names.
+
+    Null, empty and very short texts go; of repeated rows all stay or all go; an empty table gives an empty result.
+    """
+    packed = docs.select(F.struct(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("_row"), docs[f"`{text_col}`"].alias("_text"))
+    # the number is not used: a filter isn't moved below it, so that the rules are evaluated once a row
+    judged = assess(packed, "_row", "_text").withColumn("_at", F.monotonically_increasing_id()).where("kept")
+    return judged.select(*((F.col("clean_text") if c == text_col else F.col("_row")[f"c{i}"]).alias(c) for i, c in enumerate(docs.columns)))

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.store import stored
+from tidemark.llm.nearsets import BANDS, links, of_words, with_bands
+from tidemark.llm.store import dropped, stored
 from tidemark.llm.text import document_keys, keyed, small, unkeyed
 
 #: Fingerprints that the trees' vantage points and radii are fitted to; every fingerprint is indexed.
@@ -194,22 +195,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a component has no other, its component_id is null. An empty table gives an empty result; other columns are ignored.
     """
     per_doc = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    prints = stored(per_doc.groupBy("fingerprint").agg(F.min("id").alias("least")), "prints")
-    parts = connected_components(hamming_links(prints.select("fingerprint"), bits)).withColumnRenamed("node", "fingerprint")
-    rooted = prints.join(parts, "fingerprint", "left").withColumn("root", F.coalesce("component", "fingerprint"))
-    leaders = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(leaders, "root").select("fingerprint", "component_id")
-    return per_doc.join(named, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+    return _named(per_doc, bits).withColumnRenamed("id", id_col)
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
+def _named(per_doc: DataFrame, bits: int, more: DataFrame | None = None) -> DataFrame:
+    """(id, fingerprint, component_id) of a stored (id, fingerprint); ``more``: further edges (a, b) of fingerprints."""
+    prints = stored(per_doc.groupBy("fingerprint").agg(F.min("id").alias("least")), "prints")
+    edges = hamming_links(prints.select("fingerprint"), bits)
+    parts = connected_components(edges if more is None else edges.unionAll(more)).withColumnRenamed("node", "fingerprint")
+    rooted = stored(prints.join(parts, "fingerprint", "left").withColumn("root", F.coalesce("component", "fingerprint")), "rooted-prints")
+    leaders = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # stored, so that both sides of the join are plain exchanges and a fingerprint of many copies can be split
+    named = stored(rooted.join(leaders, "root").select("fingerprint", "component_id"), "named-prints")
+    dropped(prints)
+    dropped(rooted)
+    return per_doc.join(small(named), "fingerprint").select("id", "fingerprint", "component_id")
+
+
+def _near_copies(texts: DataFrame, per_doc: DataFrame, jaccard: float) -> DataFrame:
+    """Edges (a, b) of fingerprints of the texts (h1, h2, text) whose sets of five-word shingles have that similarity."""
+    flat = stored(with_bands(texts, "text", of_words), "text-bands")
+    unique = stored(flat.groupBy("h1", "h2").agg(*(F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)), F.count("*").alias("n")).withColumn("uid", F.monotonically_increasing_id()), "unique-texts")
+    edges = links(unique, texts, of_words, jaccard)
+    ends = edges.select(F.col("a").alias("uid")).unionAll(edges.select(F.col("b").alias("uid"))).distinct()
+    prints = per_doc.select(F.col("id.h1").alias("h1"), F.col("id.h2").alias("h2"), "fingerprint").distinct()
+    of = small(stored(unique.select("uid", "h1", "h2").join(ends, "uid").join(prints, ["h1", "h2"]).select("uid", "fingerprint"), "linked-prints"))
+    out = stored(edges.join(of.select(F.col("uid").alias("a"), F.col("fingerprint").alias("x")), "a").join(of.select(F.col("uid").alias("b"), F.col("fingerprint").alias("y")), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")), "print-edges")
+    for table in (flat, unique, edges):
+        dropped(table)
+    return out
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS, shingle: int = 5, jaccard: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, a null id last; of rows equal in id and text one stays.
 
-    Rows go by their two keys, so the texts of those that stay are not compared, and shuffled once at most.
+    Documents are linked if the fingerprints of their ``shingle``-word shingles differ in ``bits`` or fewer bits, or if
+    their sets of five-word shingles have the similarity ``jaccard`` or more: at 0.8 fingerprints differ in about ten
+    bits, which no tree prunes, so MinHash bands propose those pairs and the exact similarity decides. Null and empty
+    texts are alike; texts under five words are one shingle. Rows go by their two keys, so the texts of those that stay
+    are not compared, and shuffled once at most; very long texts are read whole; an empty table gives an empty result.
     """
-    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "k1", "k2")
-    named = docs.select(id_col, text_col, *document_keys(id_col, text_col)).select(order.alias("place"), F.col(text_col).alias("text"))
-    found = stored(near_duplicates(named, "place", "text", bits), "kept-places")
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "k1", "k2", "h1", "h2")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.select(id_col, text.alias("text"), *document_keys(id_col, text_col), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")).select(order.alias("place"), "text", "h1", "h2")
+    per_doc = stored(fingerprints(named, "place", "text", shingle), "fingerprints")
+    found = stored(_named(per_doc, bits, _near_copies(named.select("h1", "h2", "text"), per_doc, jaccard)).withColumnRenamed("id", "place"), "kept-places")
     gone = stored(found.where(F.col("place") != F.col("component_id")).select("place.k1", "place.k2").distinct(), "near-copies")
     same = stored(found.where(F.col("place") == F.col("component_id")).groupBy("place.k1", "place.k2").count().where("count > 1").select("k1", "k2"), "equal-rows")
     left = keyed(docs, id_col, text_col).join(small(gone), ["k1", "k2"], "left_anti")
