@@ -10,7 +10,7 @@ from tidemark.llm.store import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bad lines go; documents that the rules reject go."""
+    """Bad lines go; documents that the rules reject go. Null, empty and very short texts are rejected."""
     return quality.keep_good(docs)
 
 
@@ -20,12 +20,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with near fingerprints the one of the smallest id stays."""
+    """Of near copies, by fingerprints or five-word shingles, the one of the smallest id stays."""
     return simhash.keep_one_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none, and an empty benchmark removes nothing."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
