@@ -1,6 +1,11 @@
 """URL rules against plain Python, and the models' held-out accuracy."""
 
+import math
 import random
+import re
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
 
 from tidemark.llm import urlfilter
 from tidemark.llm.queries import RULES
@@ -46,15 +51,63 @@ def test_parts_and_rules(spark):
         assert r["verdict"] in ("allow", "block") and (said is None or r["verdict"] == said)
 
 
+def plain_models(urls, order):
+    """A probability function of (context, symbol) by Witten-Bell smoothing, from nested counts."""
+    after = defaultdict(Counter)
+    for symbols in urls:
+        for i in range(order, len(symbols)):
+            for k in range(order + 1):
+                after[symbols[i - k : i]][symbols[i]] += 1
+
+    def p(context, x, v):
+        seen = after[context]
+        n, d = sum(seen.values()), len(seen)
+        lower = p(context[1:], x, v) if context else 1 / v
+        return (seen[x] + d * lower) / (n + d) if n else lower
+
+    return p
+
+
+def test_scores_are_those_of_plain_models(spark):
+    rng = random.Random(10)
+    pages = corpus() + [(1000 + i, f"https://{rng.choice(['win', 'big', 'play'])}-casino{i % 7}.info/{rng.randrange(99)}") for i in range(40)]
+    pages += [(2000 + i, f"https://h{i}.info/a/{rng.randrange(99)}") for i in range(60)]
+    rows = urlfilter.scored(spark.createDataFrame(pages, "page_id long, url string"), RULES)
+    got = rows.collect()
+    symbols = {u: "\x02" * urlfilter.ORDER + re.sub(r"(?s)^.*?://", "", u or "") + "\x03" for _, u in pages}
+    bad = {u: rule(*parts(u))[1] == "block" or (rule(*parts(u))[1] is None and bool(re.search(urlfilter.REJECTED_SEEDS, u or ""))) for _, u in pages}
+    held = {r["host"]: r["held"] for r in got}
+    v = len({x for s in symbols.values() for x in s[urlfilter.ORDER :]}) + 1
+    model = {(k, b): plain_models([symbols[u] for _, u in pages if bad[u] == b and not (k and held[parts(u)[0]])], urlfilter.ORDER) for k in (True, False) for b in (True, False)}
+
+    def score(s, k):
+        places = range(urlfilter.ORDER, len(s))
+        return sum(math.log(model[k, True](s[i - urlfilter.ORDER : i], s[i], v) / model[k, False](s[i - urlfilter.ORDER : i], s[i], v)) for i in places) / len(places)
+
+    want = sorted((str(i), *parts(u), round(score(symbols[u], True), 6), round(score(symbols[u], False), 6)) for i, u in pages if len(u or "") < 1000)
+    assert sorted((str(r["id"]), r["host"], r["path"], round(r["held_score"], 6), round(r["score"], 6)) for r in got if len(r["path"]) < 1000 and r["id"] != 306) == [w for w in want if w[0] != "306"]
+    limit = urlfilter.threshold(rows)
+    accepted = sorted(r["held_score"] for r in got if r["held"] and not r["rejected"])
+    assert limit == max(0.0, accepted[math.ceil((1 - urlfilter.MAX_LOSS) * len(accepted)) - 1])
+    for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string"), RULES).collect():
+        assert rule(r["host"], r["path"])[1] or r["verdict"] == ("block" if r["score"] > limit else "allow")
+
+
 def test_models_find_what_looks_like_the_rejected(spark):
+    """Hosts are held out: none of a held-out host's URLs was counted, and of the look-alikes none has a seed word."""
     rng = random.Random(9)
     word = lambda n: "".join(rng.choices("abcdefghijklmnop", k=n))
     clean = [f"https://{word(6)}.example.info/{word(5)}/{i}" for i in range(1500)]
     bad = [f"http://best-{rng.choice(['casino', 'poker', 'viagra'])}-{i}.xyz/win/{word(3)}" for i in range(300)]
-    shop = [f"http://best-casino{i}.xyz/win/{word(3)}".replace("casino", "casin0") for i in range(5)]
-    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(list(enumerate(clean + bad + shop)), "page_id long, url string"), []).collect()}
+    like = [f"http://best-cas1no{i}.xyz/win/{word(3)}" for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(clean + bad + like)), "page_id long, url string")
+    rows = urlfilter.scored(pages.where("page_id < 1800"), [])
+    report = {r["rejected"]: r for r in urlfilter.held_out_report(rows, urlfilter.threshold(rows)).collect()}
+    assert report[True]["blocked"] >= 0.95 * report[True]["n"] > 20 and report[False]["blocked"] <= 0.02 * report[False]["n"]
+    labels = F.col("page_id") >= 1500  # the look-alikes are marked by the caller, without a word
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(pages, [], rejected=labels).collect()}
     assert sum(got[i] == "block" for i in range(1500)) <= 15
-    assert sum(got[1500 + i] == "block" for i in range(300)) >= 285 and sum(got[1800 + i] == "block" for i in range(5)) >= 4
+    assert sum(got[1500 + i] == "block" for i in range(300)) >= 285 and sum(got[1800 + i] == "block" for i in range(40)) >= 38
 
 
 def test_empty_table(spark):

@@ -7,7 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import stored
+from tidemark.llm.store import dropped, stored
+from tidemark.llm.text import small
 
 
 class Rule(NamedTuple):
@@ -16,13 +17,16 @@ class Rule(NamedTuple):
     path: str
 
 
-#: Words in a URL that mark a rejected example for the models; they decide no URL by themselves.
-REJECTED_SEEDS = r"(casino|pills|spam|free-bets|poker|payday|viagra)"
+#: Words in a URL that mark a rejected example where the caller gives no labels; they decide no URL by themselves.
+REJECTED_SEEDS = r"(?i)(casino|pills|spam|free-bets|poker|payday|viagra)"
 #: Share of held-out accepted URLs that the threshold may reject.
 MAX_LOSS = 0.005
-#: Symbols after folding: 26 letters, one digit, 11 signs, start and end. Contexts have up to two of them, so the models
-#: are a table of at most 40^3 = 64,000 rows: a bound that doesn't depend on the input, which makes it fit to broadcast.
-ALPHABET = 40
+#: Symbols of the longest context.
+ORDER = 5
+_START, _END = "\x02", "\x03"
+#: A symbol is a code point of four bytes, so that a URL is cut in time proportional to its length.
+_WIDTH = 4
+_CLASSES = ("fit_accepted", "fit_rejected", "accepted", "rejected")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -36,64 +40,96 @@ def parts(url: Column) -> tuple[Column, Column]:
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule whose host is ``host`` or a parent of it and whose path starts ``path``."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in sorted(rules, key=lambda r: (len(r.host + r.path), r.verdict, r.host)):  # the last, longest one wins
+    for r in sorted(rules, key=lambda r: (len(r.host + r.path), r.verdict == "block", r.host)):  # the last, longest one wins
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         rule, verdict = F.when(fits, r.host + r.path).otherwise(rule), F.when(fits, r.verdict).otherwise(verdict)
     return rule, verdict
 
 
-def _folded(url: Column) -> Column:
-    """The URL without scheme in a small alphabet, with two start marks and an end mark."""
-    bare = F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"(?s)^.*?://", "")
-    return F.concat(F.lit("^^"), F.regexp_replace(F.regexp_replace(bare, "[0-9]+", "0"), r"[^a-z0./:?&=#%_-]", "~"), F.lit("$"))
+def _grams(url: Column) -> Column:
+    """Every symbol of the URL behind its scheme, as it is, and an end mark, each with the ``ORDER`` symbols before it."""
+    bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)^.*?://", "")
+    symbols = F.encode(F.concat(F.lit(_START * ORDER), bare, F.lit(_END)), "UTF-32")
+    size = _WIDTH * (ORDER + 1)
+    return F.struct(symbols.alias("s"), F.sequence(F.lit(1), F.octet_length(symbols) - size + 1, F.lit(_WIDTH)).alias("at"))
 
 
-def _grams(folded: Column) -> Column:
-    return F.explode(F.regexp_extract_all(folded, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+def models(counts: DataFrame) -> DataFrame:
+    """(gram, p_<class>, ...): each class's probability of a gram's last symbol behind its others.
 
+    ``counts``: a stored table (gram, n_<class>, ...) of every gram met and how often each class has it. A model backs off
+    from ``ORDER`` symbols of context to none by Witten-Bell smoothing: the weight of the shorter context is the number of
+    distinct symbols seen behind the longer one, so one that was never seen leaves all weight to the shorter; behind no
+    context, the rest goes evenly to all symbols of the corpus. The tables grow with the corpus: each order is joined
+    with the one below by its grams, by shuffle unless it is small, and a context has at most one row for each symbol.
+    """
+    names = [c[2:] for c in counts.columns if c.startswith("n_")]
+    levels = [counts]
+    for k in range(ORDER):  # the last symbols of a gram: one fewer each time
+        levels.append(stored(levels[-1].groupBy(F.substring("gram", _WIDTH + 1, _WIDTH * (ORDER - k)).alias("gram")).agg(*(F.sum(f"n_{c}").alias(f"n_{c}") for c in names)), "url-grams"))
+    symbols = levels[-1]
+    totals = symbols.agg(F.count("*").alias("v"), *(x for c in names for x in (F.sum(f"n_{c}").alias(f"t_{c}"), F.count_if(F.col(f"n_{c}") > 0).alias(f"d_{c}")))).first()
+    v = float(totals["v"] + 1)
+    below = symbols.select("gram", *(((F.col(f"n_{c}") + F.lit((totals[f"d_{c}"] or 0) / v)) / F.lit(float((totals[f"t_{c}"] or 0) + (totals[f"d_{c}"] or 0)))).alias(f"p_{c}") if totals[f"t_{c}"] else F.lit(1 / v).alias(f"p_{c}") for c in names))
+    below = stored(below, "url-models")
+    for k in range(1, ORDER + 1):
+        behind = Window.partitionBy(F.substring("gram", 1, _WIDTH * k))
+        seen = levels[ORDER - k].withColumns({x: f for c in names for x, f in ((f"t_{c}", F.sum(f"n_{c}").over(behind)), (f"d_{c}", F.sum((F.col(f"n_{c}") > 0).cast("long")).over(behind)))})
+        joined = seen.withColumn("last", F.substring("gram", _WIDTH + 1, _WIDTH * k)).join(small(below).withColumnRenamed("gram", "last"), "last")
+        mixed = (F.when(F.col(f"t_{c}") > 0, (F.col(f"n_{c}") + F.col(f"d_{c}") * F.col(f"p_{c}")) / (F.col(f"t_{c}") + F.col(f"d_{c}"))).otherwise(F.col(f"p_{c}")).alias(f"p_{c}") for c in names)
+        below, lower = stored(joined.select("gram", *mixed), "url-models"), below
+        dropped(lower)
+    for table in levels[1:]:
+        dropped(table)
+    return below
+
+
+def scored(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", rejected: Column | None = None) -> DataFrame:
+    """(id, host, path, rule, said, seed, rejected, held, held_score, score) of every row, stored.
+
+    ``held_score`` comes from models of the hosts that are not held out (a fifth is, by hash), ``score`` from models of all.
+    """
+    host, path = parts(F.col(url_col))
+    seed = F.coalesce(F.col(url_col), F.lit("")).rlike(REJECTED_SEEDS) if rejected is None else F.coalesce(rejected, F.lit(False))
+    split = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), seed.alias("seed"))
+    rule, said = rule_of(F.col("host"), F.col("path"), rules)
+    marked = split.select("id", "host", "path", rule.alias("rule"), said.alias("said"), "seed", _grams(F.col("url")).alias("g"), (F.pmod(F.xxhash64("host", F.lit(5)), F.lit(5)) == 0).alias("held"))
+    bad = (F.coalesce("said", F.lit("")) == "block") | (F.col("seed") & F.col("said").isNull())
+    rows = stored(marked.withColumn("rejected", bad).withColumn("row", F.monotonically_increasing_id()), "urls")
 
-def models(grams: DataFrame) -> DataFrame:
-    """(gram, ratio): log of the rejected model's probability of the last symbol over the accepted model's.
+    each = rows.select("row", "rejected", "held", F.explode("g.at").alias("at"), "g.s").select("row", "rejected", "held", F.substring("s", F.col("at"), F.lit(_WIDTH * (ORDER + 1))).alias("gram"))
+    is_of = (~F.col("held") & ~F.col("rejected"), ~F.col("held") & F.col("rejected"), ~F.col("rejected"), F.col("rejected"))
+    counts = stored(each.groupBy("gram").agg(*(F.count_if(x).alias(f"n_{c}") for c, x in zip(_CLASSES, is_of, strict=True))), "url-counts")
+    ratios = models(counts).select("gram", F.log(F.col("p_fit_rejected") / F.col("p_fit_accepted")).alias("held_ratio"), F.log(F.col("p_rejected") / F.col("p_accepted")).alias("ratio"))
+    table = stored(ratios, "url-ratios")
+    scores = stored(each.select("row", "gram").join(small(table), "gram").groupBy("row").agg(F.avg("held_ratio").alias("held_score"), F.avg("ratio").alias("score")), "url-scores")
+    out = stored(rows.drop("g").join(scores, "row").drop("row"), "scored-urls")
+    for used in (rows, counts, table, scores):
+        dropped(used)
+    return out
 
-    ``grams`` has (gram, accepted, rejected) counts of all three-symbol grams. Each model backs off from two symbols of
-    context to one to none by Witten-Bell smoothing: the weight of the shorter context is the number of distinct symbols
-    seen after the longer one, so a context never seen leaves all weight to the shorter one.
-    """
-    table = grams.select("gram", "accepted", "rejected", F.substring("gram", 1, 2).alias("c2"), F.substring("gram", 2, 1).alias("c1"), F.substring("gram", 3, 1).alias("x"))
-    for c in ("accepted", "rejected"):
-        one = table.groupBy("c1", "x").agg(F.sum(c).alias("n1"))
-        none = one.groupBy("x").agg(F.sum("n1").alias("n0"))
-        total = none.agg(F.sum("n0")).first()[0] or 0
-        p0 = none.select("x", ((F.col("n0") + 1) / F.lit(total + ALPHABET)).alias("p0"))
-        w1, w2 = Window.partitionBy("c1"), Window.partitionBy("c2")
-        kinds1 = one.withColumns({"t1": F.sum("n1").over(w1), "d1": F.sum((F.col("n1") > 0).cast("int")).over(w1)}).join(F.broadcast(p0), "x")
-        p1 = kinds1.select("c1", "x", F.when(F.col("t1") + F.col("d1") > 0, (F.col("n1") + F.col("d1") * F.col("p0")) / F.greatest(F.col("t1") + F.col("d1"), F.lit(1))).otherwise(F.col("p0")).alias("p1"))
-        kinds2 = table.withColumns({"t2": F.sum(c).over(w2), "d2": F.sum((F.col(c) > 0).cast("int")).over(w2)}).join(F.broadcast(p1), ["c1", "x"])
-        table = kinds2.withColumn(f"p_{c}", F.when(F.col("t2") + F.col("d2") > 0, (F.col(c) + F.col("d2") * F.col("p1")) / F.greatest(F.col("t2") + F.col("d2"), F.lit(1))).otherwise(F.col("p1"))).drop("t2", "d2", "p1")
-    return table.select("gram", F.log(F.col("p_rejected") / F.col("p_accepted")).alias("ratio"))
-
-
-def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+
+def threshold(rows: DataFrame) -> float:
+    """The score above which a URL is rejected: no less than 0, and above all but ``MAX_LOSS`` of held-out accepted URLs."""
+    found = rows.where("held and not rejected").agg(F.percentile_approx("held_score", F.lit(1 - MAX_LOSS), F.lit(10_000))).first()[0]
+    return max(0.0, found or 0.0)
+
+
+def held_out_report(rows: DataFrame, limit: float) -> DataFrame:
+    """(rejected, seed, n, blocked) over the held-out hosts: how many URLs of each kind there are, and are blocked."""
+    return rows.where("held").groupBy("rejected", "seed").agg(F.count("*").alias("n"), F.count_if(F.col("held_score") > limit).alias("blocked"))
+
+
+def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", rejected: Column | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, score): the longest rule's verdict, else the models'.
 
-    Rejected examples: URLs that a rule blocks or that hold a seed word; accepted ones: all others. Counts are taken over
-    all URLs but a held-out fifth (by hash), on which the threshold is set: at most ``MAX_LOSS`` of its accepted URLs may
-    score above it. A score is the mean log ratio per symbol. Each row gives one row, repeated ones too; a null URL has an
-    empty host and path and is scored as empty; an empty table gives no rows.
+    Rejected examples: URLs that a rule blocks, and of those no rule fits the ones that ``rejected`` marks (by default: a
+    seed word); accepted ones: all others. Two pairs of models are counted over all URLs: one without the held-out hosts,
+    which sets the threshold, and one of all hosts, which judges. A score is the mean log ratio per symbol. Of rules that
+    tie in length a block precedes an allow. Each row gives one row, repeated ones too; a null URL has an empty host and
+    path and is scored as empty; a very long URL is scored whole; an empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
-    host, path = parts(F.col(url_col))
-    split = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
-    rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    marked = split.select("id", "host", "path", rule.alias("rule"), said.alias("said"), _folded(F.col("url")).alias("folded"), (F.pmod(F.xxhash64(F.coalesce("url", F.lit("")), F.lit(5)), F.lit(5)) == 0).alias("held"), F.lower(F.coalesce("url", F.lit(""))).rlike(REJECTED_SEEDS).alias("seed"))
-    rejected = (F.coalesce("said", F.lit("")) == "block") | (F.col("seed") & F.col("said").isNull())
-    rows = stored(marked.withColumn("rejected", rejected).withColumn("row", F.monotonically_increasing_id()), "urls")
-
-    each = rows.select("row", "rejected", "held", _grams(F.col("folded")).alias("gram"))
-    fit = ~F.col("held")
-    counts = each.groupBy("gram").agg(F.count_if(fit & ~F.col("rejected")).alias("accepted"), F.count_if(fit & F.col("rejected")).alias("rejected"))
-    table = stored(models(stored(counts, "url-grams")), "url-models")
-    scores = stored(each.join(F.broadcast(table), "gram").groupBy("row", "rejected", "held").agg(F.avg("ratio").alias("score")), "url-scores")
-    limit = scores.where("held and not rejected").agg(F.percentile_approx("score", F.lit(1 - MAX_LOSS), F.lit(10_000))).first()[0]
-    judged = rows.join(scores.select("row", "score"), "row")
-    own = F.when(F.col("score") > max(0.0, limit or 0.0), "block").otherwise("allow")
-    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "score")
+    rows = scored(pages, rules, id_col, url_col, rejected)
+    own = F.when(F.col("score") > threshold(rows), "block").otherwise("allow")
+    return rows.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("said", own).alias("verdict"), "score")
