@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import config
 from tidemark.functions import scalars
 from tidemark.operators import attribution, holdings, performance, quantile, risk, signals, stats
 from tidemark.plans import chart_data
@@ -501,17 +502,41 @@ _metric("t3_newey_west_tstat", _select("series; ~t_stat_nw", "nw", _SERIES, _new
 _metric("t4_bootstrap_distribution", None, lambda x: stats.bootstrap_distribution(x.series, statistic="sharpe_ratio"))
 _metric("t5_bootstrap_ci", None, lambda x: stats.bootstrap_ci(x.series))
 _metric("t6_bootstrap_pvalue", None, lambda x: stats.bootstrap_pvalue(x.series))
+# one block as long as the series leaves one way to draw, which SQL can say
+_ONE_BLOCK = {"block_length": 1_000_000, "n_boot": 1_200}
+_metric("t4_bootstrap_distribution_one_block", _select("i as boot_id; ~sr as value", "(select avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) as sr from series), range(1200) as r(i)", _SERIES), lambda x: stats.bootstrap_distribution(x.series, statistic="sharpe_ratio", **_ONE_BLOCK))
+_metric("t5_bootstrap_ci_one_block", _select("~avg(ret) as lower; ~avg(ret) as upper", "series", _SERIES), lambda x: stats.bootstrap_ci(x.series, **_ONE_BLOCK))
+_metric("t6_bootstrap_pvalue_one_block", _select("~case when avg(ret) = 1 then 1.0 else 0.0 end as p_value", "series", _SERIES), lambda x: stats.bootstrap_pvalue(x.series, null_value=1.0, **_ONE_BLOCK))
 _PARTS = f"pa as (select ntile(4) over (order by date) as split, date, ret from series), ps as (select split, min(date) as lo, max(date) as hi, count(*) as n, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) as s, {_T.format('ret')} as t from pa group by split)"
 _metric("t7_subsample", _select('split; @lo as start; @hi as "end"; n as n_periods; ~s as sharpe_ratio; ~t as t_stat', "ps", _SERIES, _PARTS), lambda x: stats.subsample(x.series, n_splits=4, statistic="sharpe_ratio"))
 _metric("t8_stability", _select("~count_if(sign(s) = sign(o)) / count(s)::double as sign_agreement; ~count_if(s > 0) / count(s)::double as positive_ratio; ~stddev_samp(s) / nullif(abs(avg(s)), 0) as dispersion; ~min(s) as min; ~max(s) as max", "ps, (select avg(ret) / nullif(stddev_samp(ret), 0) as o from series)", _SERIES, _PARTS), lambda x: stats.stability(x.series, statistic="sharpe_ratio"))
 _VOL = f"vo as (select date, case when count(bench) over w = 12 then stddev_samp(bench) over w end as v from series window w as (order by date rows 11 preceding)), rg as (select date, case when v is not null then (['low', 'mid', 'high'])[least(greatest(ceil({_rank('v', '1')} / count(v) over () * 3), 1), 3)::int] end as regime from vo)"
 _metric("t9_make_regimes", _select("@date; regime", "rg", _SERIES, _VOL), lambda x: stats.make_regimes(x.benchmark, method="volatility", n_quantiles=3))
 _metric("t10_regime_summary", _select(f"regime; count(*) as n_periods; ~{_CAGR.format('ret')} as annualized_return; ~{_T.format('ret')} as t_stat; ~count(*) / sum(count(*)) over ()::double as share", "series join rg using (date) where regime is not null group by regime", _SERIES, _VOL), lambda x: stats.regime_summary(x.series, stats.make_regimes(x.benchmark, method="volatility", n_quantiles=3), statistic="annualized_return"))
-_metric("t11_probabilistic_sharpe_ratio", None, lambda x: stats.probabilistic_sharpe_ratio(x.two_series, benchmark_sharpe=-1.0, **_BOTH))
-_metric("t13_deflated_sharpe_ratio", None, lambda x: stats.deflated_sharpe_ratio(x.two_series, trials=[-1.0, -0.5, 0.1, 0.4], **_BOTH))
+_PHI = "(0.5 + sign({0}) * exp(-({0}) * ({0}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln(greatest(abs({0}), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)))))"
+_MID = _PHI.format("((lo + hi) / 2)")
 
 
-@query("t12_expected_max_sharpe")
+def _expected_max(n: int, variance: str) -> str:
+    """CTEs ending in em (e): normal quantiles by bisection."""
+    return f"""bi(p, lo, hi, i) as (select p, 0.0::double, 10.0::double, 0 from (values (1 - 1.0::double / {n}), (1 - 1 / ({n} * exp(1.0::double)))) as t(p)
+ union all select p, case when {_MID} < p then (lo + hi) / 2 else lo end, case when {_MID} < p then hi else (lo + hi) / 2 end, i + 1 from bi where i < 60),
+em as (select sqrt({variance}) * ((1 - 0.5772156649015329::double) * min((lo + hi) / 2) + 0.5772156649015329::double * max((lo + hi) / 2)) as e from bi where i = 60)"""
+
+
+def _psr(limit: str, name: str, more: str = "", source: str = "zs") -> str:
+    sums = f"ms as (select series, avg(ret) / nullif(stddev_samp(ret), 0) as sr, skewness(ret) as g3, kurtosis(ret) as g4, count(ret)::double as n from two group by series)"
+    zs = f"zs as (select series, case when n >= 3 and 1 - g3 * sr + (g4 + 2) / 4 * sr * sr > 0 then (sr - ({limit}) / sqrt(12)) * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 + 2) / 4 * sr * sr) end as z from ms)"
+    body = f"series, round(case when z <= -9 then 0.0 when z >= 9 then 1.0 when z is not null then {_PHI.format('z')} end, 9) + 0.0 as {name} from zs"
+    return f"with recursive {_SERIES}, {more}{sums}, {zs} select {body}"
+
+
+_metric("t11_probabilistic_sharpe_ratio", _psr("-1.0", "psr"), lambda x: stats.probabilistic_sharpe_ratio(x.two_series, benchmark_sharpe=-1.0, **_BOTH))
+_TRIALS = "(select var_samp(v) from (values (-1.0::double), (-0.5), (0.1), (0.4)) as t(v))"
+_metric("t13_deflated_sharpe_ratio", _psr("select e from em", "dsr", _expected_max(4, _TRIALS) + ", "), lambda x: stats.deflated_sharpe_ratio(x.two_series, trials=[-1.0, -0.5, 0.1, 0.4], **_BOTH))
+
+
+@query("t12_expected_max_sharpe", f"with recursive {_expected_max(100, '0.25')} select round(e, 9) + 0.0 as expected_max_sharpe from em")
 def _(x: Demo) -> DataFrame:
     return x.spark.range(1).select(F.lit(scalars.expected_max_sharpe(100, variance=0.25)).alias("expected_max_sharpe"))
 
@@ -523,3 +548,76 @@ _metric("v_ic_heatmap", _select("cast(year(date) as bigint) as year; cast(month(
 _metric("v_quantile_cumulative", _select(f"@date; quantile; ~{_WEALTH.format('ret', 'quantile')} - 1 as cumulative_return", "qr", more=_QR), lambda x: chart_data.quantile_cumulative(quantile.quantile_returns(x.panel, **_QUANTILE_RETURNS)))
 _metric("v_cumulative_effects", _select("@date; " + "; ".join(f"~sum(sum({n})) over (order by date) as {n}" for n in _NAMES), "eff group by date", more=_EFF), lambda x: chart_data.cumulative_effects(attribution.brinson(x.panel, **_SEGMENTS)))
 _metric("v_factor_contribution", _select("@date; factor; ~sum(x * f) over (partition by factor order by date) as contribution", "ex join fr using (date, factor)", more=f"{_EXP}, {_FR}"), lambda x: chart_data.cumulative_contribution(risk.factor_return_attribution(x.panel, x.factor_returns, **_MODEL)))
+_SUMMED = "sm as (select segment, " + ", ".join(f"sum({n} * carino) as {n}" for n in _NAMES) + f" from eff join lf using (date) group by segment)"
+_BARS = " union all ".join(f"select '{n}' as effect, {' + '.join(['0.0', *(f's_{m}' for m in _NAMES[:i])])} as lo, {' + '.join(f's_{m}' for m in _NAMES[: i + 1])} as hi from tl" for i, n in enumerate(_NAMES))
+_metric("v_waterfall", _select("effect; ~lo as start; ~hi as end_", f"({_BARS} union all select 'total', 0.0, {' + '.join(f's_{m}' for m in _NAMES)} from tl)", more=f"{_LINK}, {_SUMMED}, tl as (select {', '.join(f'sum({n}) as s_{n}' for n in _NAMES)} from sm)"), lambda x: chart_data.waterfall(attribution.brinson_summary(x.panel, **_SEGMENTS)).withColumnRenamed("end", "end_"))
+_metric("v_effect_bars", _select("segment; " + "; ".join(f"~{n}" for n in _NAMES) + "; ~allocation + selection + interaction as total", "sm", more=f"{_LINK}, {_SUMMED}"), lambda x: chart_data.effect_bars(attribution.brinson_summary(x.panel, **_SEGMENTS)))
+_metric("v_effect_heatmap", _select("@date; segment; ~selection as value", "eff", more=_EFF), lambda x: chart_data.effect_heatmap(attribution.brinson(x.panel, **_SEGMENTS), effect="selection"))
+_CONTRIBUTIONS = "ct as (select date, factor, x as exposure, fx / sigma as mctr, x * fx / sigma as cctr, sigma from rk union all select date, 'specific', null, null, any_value(s2) / any_value(sigma), any_value(sigma) from rk group by date)"
+_metric("v_largest_contributions", _select("@date; factor; ~exposure; ~mctr; ~cctr; ~cctr / sigma as pct_of_total", "(select *, row_number() over (order by abs(cctr) desc, factor) as a from ct where date = (select max(date) from ct)) where a <= 3", more=f"{_EXP}, {_CONTRIBUTIONS}"), lambda x: chart_data.largest_contributions(risk.factor_risk_contribution(x.panel, x.covariance, **_MODEL), n=3))
+_metric("v_exposure_bars", _select("term; ~any_value(m) as mean; ~any_value(t_stat_nw) as t_stat_nw; abs(any_value(t_stat_nw)) >= 2 as significant", "(select term, avg(coef) over (partition by term) as m from e) join nw using (term) group by term", more=f"{_ONE}, e as (select 'size' as term, date, coef from o), {_newey_west('e', 'term', 'coef')}"), lambda x: chart_data.exposure_bars(signals.exposure_summary(signals.factor_exposure(x.panel, factor="factor", factors=["size"]))))
+_metric("v_cumulative_spread", _select("@date; ~product(1 + coalesce(ret, 0)) over (order by date rows unbounded preceding) - 1 as cumulative_return", "ls", more=f"{_QR}, ls as (select date, max(case when quantile = 5 then ret end) - max(case when quantile = 1 then ret end) as ret from qr group by date)"), lambda x: chart_data.cumulative_spread(quantile.long_short_returns(quantile.quantile_returns(x.panel, **_QUANTILE_RETURNS))))
+_metric("v_rolling_mean", _select("@date; ~ret; ~case when count(ret) over w = 12 then avg(ret) over w end as rolling_mean", "series window w as (order by date rows 11 preceding)", _SERIES), lambda x: chart_data.rolling_mean(x.series, value="ret"))
+_metric("v_with_benchmark", _select("@date; ~ret; ~bench as benchmark", "series", _SERIES), lambda x: chart_data.with_benchmark(x.series, x.benchmark))
+_metric("v_annual_returns", _select("cast(year(date) as bigint) as year; ~product(1 + ret) - 1 as ret; ~product(1 + bench) - 1 as benchmark", "series group by year(date)", _SERIES), lambda x: chart_data.annual_returns(x.series, x.benchmark))
+_metric("v_rolling", _select("@date; ~case when count(*) over w = 12 then covar_samp(ret, bench) over w / var_samp(bench) over w end as value", _ROLL1, _SERIES), lambda x: chart_data.rolling(x.series, "beta", 12, x.benchmark))
+_metric("v_distribution_marks", _select("~avg(ret) as mean; ~quantile_cont(ret, 0.05) as value_at_risk", "series", _SERIES), lambda x: chart_data.distribution_marks(x.series))
+_metric("v_with_mean_line", _select("@date; ~ret; ~avg(ret) over () as mean", "series", _SERIES), lambda x: chart_data.with_mean_line(x.series.select("date", "ret"), value="ret"))
+_metric("v_is_stackable", _select("min(a) >= 0 as stackable", "(select sum(weight) as a from panel group by date, sector)"), lambda x: chart_data.is_stackable(holdings.allocation(x.panel, by="sector")))
+
+# ---- names, checks and scalars ------------------------------------------------------------------------------------------------
+
+
+@query("c1_set_columns", _select("@date as day; sector; ~sum(weight) as allocation", "panel group by date, sector"))
+def _(x: Demo) -> DataFrame:
+    renamed = x.panel.withColumnsRenamed({"date": "day", "bid": "asset"})
+    try:
+        config.set_columns(date="day", id="asset")
+        return holdings.allocation(renamed, by="sector")
+    finally:
+        config.set_columns(date="date", id="bid")
+
+
+@query("c2_resolve_columns", "select * from (values ('date', 'bid'), ('day', 'bid'), ('date', 'asset')) as t(date_col, id_col)")
+def _(x: Demo) -> DataFrame:
+    return x.spark.createDataFrame([config.resolve_columns(), config.resolve_columns("day"), config.resolve_columns(id_col="asset")], "date_col string, id_col string")
+
+
+def _raised(check: Callable[[], object]) -> str | None:
+    try:
+        check()
+    except config.ValidationError as error:
+        return str(error)
+    return None
+
+
+@query("c5_require_columns", "select * from (values ('date,bid', false), ('date,nope', true)) as t(columns, raised)")
+def _(x: Demo) -> DataFrame:
+    return x.spark.createDataFrame([(names, _raised(lambda n=names: config.require_columns(x.panel, n.split(","))) is not None) for names in ("date,bid", "date,nope")], "columns string, raised boolean")
+
+
+@query("c6_check_duplicates_raises", "select sum(n)::bigint as n_rows from (select count(*) as n from lineitem group by l_orderkey) where n > 1")
+def _(x: Demo) -> DataFrame:
+    said = _raised(lambda: panels.check_duplicates(x.table("lineitem").select("l_orderkey"), ["l_orderkey"]))
+    return x.spark.createDataFrame([(int(said.split(" ", 1)[0]) if said else None,)], "n_rows long")
+
+
+@query("c8_resolve_periods_per_year", f"with o as (select cast(o_orderdate as date) as date from orders) select 'given' as name, 4.0::double as periods_per_year union all select 'inferred', cast({_P.format('o')} as double)")
+def _(x: Demo) -> DataFrame:
+    days = x.table("orders").select(F.to_date("o_orderdate").alias("date"))
+    return panels.resolve_periods_per_year(days, 4.0).select(F.lit("given").alias("name"), "periods_per_year").unionAll(panels.resolve_periods_per_year(days).select(F.lit("inferred"), "periods_per_year"))
+
+
+@query("c9_volatility_scale", "select p::double as periods_per_year, round(sqrt(p), 9) + 0.0 as scale from (values (1), (4), (12), (52), (252)) as t(p)")
+def _(x: Demo) -> DataFrame:
+    return x.spark.createDataFrame([(float(p), scalars.volatility_scale(p)) for p in (1, 4, 12, 52, 252)], "periods_per_year double, scale double")
+
+
+@query("q15_quantile_labels", "select i as at, case when i = 6 then 'NA' else 'Q' || i end as label from range(1, 7) as r(i)")
+def _(x: Demo) -> DataFrame:
+    return x.spark.createDataFrame(list(enumerate(quantile.quantile_labels(5, include_missing=True), 1)), "at long, label string")
+
+
+@query("t2_newey_west_lags", "select n::bigint as n, floor(4 * pow(n / 100.0, 2.0 / 9))::bigint as lags from (values (1), (50), (100), (120), (1000), (100000)) as t(n)")
+def _(x: Demo) -> DataFrame:
+    return x.spark.createDataFrame([(n, stats.newey_west_lags(n)) for n in (1, 50, 100, 120, 1000, 100000)], "n long, lags long")
