@@ -114,4 +114,4 @@ def normal_cdf(z: Column) -> Column:
     step = lambda acc, k: F.struct((acc["term"] * near * near / (2 * k + 1)).alias("term"), (acc["sum"] + acc["term"] * near * near / (2 * k + 1)).alias("sum"))
     total = F.aggregate(F.sequence(F.lit(1), F.lit(_TERMS)), F.struct(near.alias("term"), near.alias("sum")), step, lambda acc: acc["sum"])
     inside = F.lit(0.5) + F.exp(-near * near / 2) / F.lit((2 * math.pi) ** 0.5) * total
-    return F.when(F.isnan(z), None).when(z <= -_FAR, 0.0).when(z >= _FAR, 1.0).otherwise(inside)
+    return F.when(z.isNull() | F.isnan(z), None).when(z <= -_FAR, 0.0).when(z >= _FAR, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), inside)))

@@ -338,19 +338,24 @@ def rolling_information_ratio(returns: DataFrame, benchmark: DataFrame, window:
 # ---- summary -----------------------------------------------------------------------------------------------------------
 
 
-def absolute_metrics(rows: DataFrame, by: str | None, risk_free: float, level: float, date_col: str) -> DataFrame:
-    """One row a series with every absolute metric, from ``rows`` with _r and _ppy: one aggregation and the two joined parts."""
+def _absolute(risk_free: float, level: float) -> list[Column]:
+    """Every absolute metric of rows with _r, _ppy, _dd (drawdown) and _var."""
     x = F.col(R)
-    flat = rows.groupBy(*_keys(by)).agg(
+    return [
         _total(x).alias("total_return"), _cagr(x).alias("annualized_return"), _volatility(x).alias("annualized_volatility"), _sharpe(x, risk_free).alias("sharpe_ratio"), _sortino(x, risk_free).alias("sortino_ratio"),
+        ratio(_cagr(x), F.abs(F.min("_dd"))).alias("calmar_ratio"), F.min("_dd").alias("max_drawdown"), F.max("_var").alias(f"var_{level:g}"), F.avg(F.when(x <= F.col("_var"), x)).alias(f"cvar_{level:g}"),
         _hits(x).alias("hit_rate"), _win_loss(x).alias("win_loss_ratio"), adjusted_skew(x).alias("skew"), adjusted_kurtosis(x).alias("kurtosis"), F.count(x).cast("double").alias("n_periods"), _ppy().alias("periods_per_year"),
-    )
-    deep = max_drawdown(rows, ret=R, by=by, date_col=date_col)
-    tail = _tail(rows, level, by).withColumnsRenamed({"var": f"var_{level:g}", "cvar": f"cvar_{level:g}"})
-    out = _beside(_beside(flat, deep, by), tail, by)
-    return out.withColumn("calmar_ratio", ratio(F.col("annualized_return"), F.abs("max_drawdown")))
+    ]
 
 
+def _relative_all(risk_free: float) -> list[Column]:
+    """Every relative metric of rows with _r, _b, _ppy and _on, which marks the dates that the benchmark has."""
+    r, b = F.when(F.col("_on"), F.col(R)), F.col(B)
+    a = r - b
+    return [_cagr(a).alias("active_return"), _volatility(a).alias("tracking_error"), _information(a).alias("information_ratio"), _beta(r, b).alias("beta"), _alpha(r, b, risk_free).alias("alpha"), _capture(r, b, "up").alias("up_capture"), _capture(r, b, "down").alias("down_capture")]
+
+
+# The metrics' names, in order.
 ABSOLUTE = ("total_return", "annualized_return", "annualized_volatility", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "max_drawdown", "var", "cvar", "hit_rate", "win_loss_ratio", "skew", "kurtosis", "n_periods", "periods_per_year")
 RELATIVE = ("active_return", "tracking_error", "information_ratio", "beta", "alpha", "up_capture", "down_capture")
 
@@ -358,15 +363,13 @@ RELATIVE = ("active_return", "tracking_error", "information_ratio", "beta", "alp
 def performance_summary(returns: DataFrame, benchmark: DataFrame | None = None, *, risk_free: float = 0.0, periods_per_year: float | None = None, var_level: float = 0.05, ret: str = "ret", benchmark_ret: str = "ret", by: str | None = None, date_col: str | None = None) -> DataFrame:
     """([by,] metric, value): fifteen absolute metrics, and seven relative ones with a benchmark."""
     rows, date_col = _series(returns, ret, by, date_col)
-    dated = with_periods(rows, periods_per_year, date_col=date_col)
-    table = absolute_metrics(dated, by, risk_free, var_level, date_col)
+    running, whole = _running(by, date_col), Window.partitionBy(*(_keys(by) or [F.lit(0)]))
+    rows = with_periods(rows, periods_per_year, date_col=date_col).withColumns({"_w": F.product(1 + F.coalesce(R, F.lit(0.0))).over(running), "_var": F.percentile(R, F.lit(var_level)).over(whole)})
+    rows, metrics = rows.withColumn("_dd", ratio(F.col("_w"), F.max("_w").over(running)) - 1), _absolute(risk_free, var_level)
     names = [f"{n}_{var_level:g}" if n in ("var", "cvar") else n for n in ABSOLUTE]
     if benchmark is not None:
-        other = benchmark.select(F.to_date(date_col).alias(date_col), clean(F.col(benchmark_ret)).alias(B))
-        r, b, a = F.col(R), F.col(B), F.col("_a")
-        relative = dated.join(other, date_col).withColumn("_a", r - b).groupBy(*_keys(by)).agg(
-            _cagr(a).alias("active_return"), _volatility(a).alias("tracking_error"), _information(a).alias("information_ratio"), _beta(r, b).alias("beta"), _alpha(r, b, risk_free).alias("alpha"), _capture(r, b, "up").alias("up_capture"), _capture(r, b, "down").alias("down_capture"),
-        )
-        table, names = _beside(table, relative, by), [*names, *RELATIVE]
+        other = benchmark.select(F.to_date(date_col).alias(date_col), clean(F.col(benchmark_ret)).alias(B), F.lit(True).alias("_on"))
+        rows, metrics, names = rows.join(other, date_col, "left"), [*metrics, *_relative_all(risk_free)], [*names, *RELATIVE]
+    table = rows.groupBy(*_keys(by)).agg(*metrics)  # one pass over a series that is derived once
     quoted = table.select(*_keys(by), *(F.col(f"`{n}`").cast("double").alias(n) for n in names))
     return quoted.select(*_keys(by), F.inline(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"`{n}`").alias("value")) for n in names))))

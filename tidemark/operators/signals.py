@@ -34,8 +34,12 @@ def winsorize(data: DataFrame, *, factor: str, lower: float = 0.01, upper: float
     """Clip at linearly interpolated quantiles of the date (and group)."""
     if not 0 <= lower < upper <= 1:
         raise ValidationError(f"0 <= lower < upper <= 1 is needed, not {lower}, {upper}")
-    over, x = Window.partitionBy(*_keys(data, factor, group, date_col)), clean(F.col(factor))
-    return data.withColumn(output or f"{factor}_winsorized", _clipped(x, F.percentile(x, F.lit(lower)).over(over), F.percentile(x, F.lit(upper)).over(over)))
+    keys, x = _keys(data, factor, group, date_col), clean(F.col(factor))
+    # counts of values combine before the shuffle, and one row a date (and group) is joined back
+    bounds = data.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.percentile(x, F.array(F.lit(lower), F.lit(upper))).alias("_bounds"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    joined = data.join(bounds, same, "left").withColumn(output or f"{factor}_winsorized", _clipped(x, F.get("_bounds", F.lit(0)), F.get("_bounds", F.lit(1))))
+    return joined.drop("_bounds", *(f"_k{i}" for i in range(len(keys))))
 
 
 def clip_outliers(data: DataFrame, *, factor: str, n_sigma: float = 3.0, group: str | None = None, output: str | None = None, date_col: str | None = None) -> DataFrame:
@@ -144,16 +148,21 @@ def _fits(data: DataFrame, y: str, by: Sequence[str], weight: str | None, date_c
 
 def _residuals(data: DataFrame, y: str, by: Sequence[str], weight: str | None, date_col: str) -> DataFrame:
     """``data`` with _ybar, _w and _residual; NULL where a row or its date takes no part."""
-    fits = _fits(data, y, by, weight, date_col).select(F.col("d").alias("_d"), F.col("ybar").alias("_ybar"), F.col("coef").alias("_coef"))
-    joined = data.join(fits, F.col(date_col) == F.col("_d"), "left")
-    fitted = F.element_at("_coef", "_const")
-    for c in by:
-        if _is_number(data, c):
-            fitted = fitted + clean(F.col(c)) * F.element_at("_coef", c)
-        else:
-            fitted = fitted + F.when(F.col(c).isNull(), 0.0).otherwise(F.element_at(F.col("_coef"), F.concat(F.lit(f"{c}_"), F.col(c).cast("string"))))
+    fits = _fits(data, y, by, weight, date_col)
+    of = lambda t: F.element_at("coef", t)
+    numbers = [c for c in by if _is_number(data, c)]
+    base = fits.select(F.col("d").alias("_d"), F.col("ybar").alias("_ybar"), of("_const").alias("_const"), *(of(c).alias(f"_b{i}") for i, c in enumerate(numbers)))
+    joined, used = data.join(base, F.col(date_col) == F.col("_d"), "left"), ["_d", "_const", *(f"_b{i}" for i in range(len(numbers)))]
+    fitted = F.col("_const")
+    for i, c in enumerate(numbers):
+        fitted = fitted + clean(F.col(c)) * F.col(f"_b{i}")
+    for i, c in enumerate(c for c in by if c not in numbers):  # a row a date and class, joined by both
+        name, each = F.lit(f"{c}_"), fits.select(F.col("d").alias(f"_d{i}"), F.explode("coef").alias(f"_t{i}", f"_c{i}"))
+        each = each.where(F.col(f"_t{i}").startswith(name))
+        joined = joined.join(each, (F.col(date_col) == F.col(f"_d{i}")) & (F.concat(name, F.col(c).cast("string")) == F.col(f"_t{i}")), "left")
+        fitted, used = fitted + F.when(F.col(c).isNull(), 0.0).otherwise(F.col(f"_c{i}")), [*used, f"_d{i}", f"_t{i}", f"_c{i}"]
     w = clean(F.col(weight)) if weight else F.lit(1.0)
-    return joined.withColumn("_w", w).withColumn("_residual", F.when(F.col("_w") > 0, clean(F.col(y)) - fitted)).drop("_d", "_coef")
+    return joined.withColumn("_w", w).withColumn("_residual", F.when(F.col("_w") > 0, clean(F.col(y)) - fitted)).drop(*used)
 
 
 def neutralize(data: DataFrame, *, factor: str, by: str | Sequence[str], weight: str | None = None, output: str | None = None, date_col: str | None = None) -> DataFrame:
