@@ -38,9 +38,10 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, id
 
     named = small(stored(candidates.select("k1", "k2").distinct(), "candidate-documents"))
     texts = docs.select(*document_keys(id_col, text_col), F.col(id_col).alias("id"), lower.alias("text"))
-    held = texts.join(named, ["k1", "k2"], "left_semi").select("k1", "k2", "id", F.explode(five_word_shingles(words(F.col("text")))).alias("s")).distinct()
-    wanted = bench.select("item_key", "item_id", five_word_shingles(F.col("w")).alias("all")).select("item_key", "item_id", F.size("all").alias("n_item"), F.explode("all").alias("s"))
-    shared = held.join(wanted, "s").groupBy("k1", "k2", "id", "item_key", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
+    every = bench.select("item_key", "item_id", five_word_shingles(F.col("w")).alias("all")).select("item_key", "item_id", F.size("all").alias("n_item"), F.explode("all").alias("s"))
+    wanted = small(stored(every, "item-shingles"))  # met before anything is shuffled, as long as the benchmark is small
+    held = texts.join(named, ["k1", "k2"], "left_semi").select("k1", "k2", "id", F.explode(five_word_shingles(words(F.col("text")))).alias("s"))
+    shared = held.join(wanted, "s").distinct().groupBy("k1", "k2", "id", "item_key", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     enough = shared.where(F.col("n_shared") >= F.col("n_item") * F.lit(containment) - F.lit(1e-9))
     return enough.join(candidates, ["k1", "k2", "item_key"], "left_semi").select("k1", "k2", "id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item"))
 

@@ -145,8 +145,9 @@ def hamming_links(prints: DataFrame, bits: int = MAX_BITS, sample: int = SAMPLE,
 
     ``prints``: a stored table of distinct longs ``fingerprint``. Two fingerprints at 3 bits differ in at most one bit
     of one half, so each half has its own tree, asked with reach 1: that prunes far better than reach 3 on 64 bits.
-    A shard holds its home values and the visitors whose range crosses its boundary; a large one is cut into blocks of
-    homes. All comparisons use the 64 bits. Each shard returns a spanning forest, never its pairs.
+    A shard holds its home values and the visitors whose range reaches it; a large one is cut into blocks of homes and
+    of visitors, each pair of which is a group of its own, so that no group outgrows a task. All comparisons use the
+    64 bits. Each group returns a spanning forest, never its pairs.
     """
     spark = prints.sparkSession
     reach = bits // 2
@@ -156,35 +157,40 @@ def hamming_links(prints: DataFrame, bits: int = MAX_BITS, sample: int = SAMPLE,
     picked = np.array([r[0] for r in got], np.int64).view(np.uint64)
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard))))
     trees = [VantageTree(half, depth, seed) for seed, half in enumerate(_halves(picked))]
-    blocks = []
+    parts = []  # of each tree, for each leaf: blocks of its homes, and of its visitors
     for tree, half in zip(trees, _halves(picked), strict=True):
-        per_leaf = np.bincount(tree.visits(half, 0)[1], minlength=tree.leaves) if len(half) else np.zeros(1, np.int64)
-        blocks.append(np.maximum(1, np.ceil(per_leaf * (n / max(1, len(picked))) / block).astype(np.int64)))
+        scale, counts = n / max(1, len(picked)), []
+        for asked, most in ((0, block), (reach, 4 * block)):
+            per_leaf = np.bincount(tree.visits(half, asked)[1], minlength=tree.leaves) if len(half) else np.zeros(tree.leaves)
+            counts.append(np.maximum(1, np.ceil(per_leaf * scale / most).astype(np.int64)))
+        parts.append(counts)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["tree", "leaf", "block", "visitors", "home", "fingerprint"]
         for batch in batches:
             signed = batch.column(0).to_numpy(zero_copy_only=False)
             values = signed.view(np.uint64)
+            slot = [(values * np.uint64(m) >> np.uint64(33)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
             for t, half in enumerate(_halves(values)):
-                home = np.empty(len(values), np.int64)
-                rows, leaves = trees[t].visits(half, 0)
-                home[rows] = leaves
-                rows, leaves = trees[t].visits(half, reach)
-                here = blocks[t][leaves]
-                slot = np.where(home[rows] == leaves, (values[rows] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % here, -1)
-                for b in range(int(here.max(initial=0))):  # a visitor goes to every block of the shard
-                    sent = here > b
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(sent.sum()), t, np.int32)), pa.array(leaves[sent].astype(np.int32)), pa.array(np.full(int(sent.sum()), b, np.int32)), pa.array(slot[sent] == b), pa.array(signed[rows[sent]])], names=["tree", "leaf", "block", "home", "fingerprint"])
+                for home in (True, False):  # a home goes to all blocks of visitors, a visitor to all blocks of homes
+                    rows, leaves = trees[t].visits(half, 0 if home else reach)
+                    own, other = parts[t] if home else parts[t][::-1]
+                    mine = slot[0 if home else 1][rows] % own[leaves]
+                    for k in range(int(other[leaves].max(initial=0))):
+                        sent = other[leaves] > k
+                        size, theirs = int(sent.sum()), np.full(int(sent.sum()), k)
+                        at = (mine[sent], theirs) if home else (theirs, mine[sent])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, t, np.int32)), pa.array(leaves[sent].astype(np.int32)), *(pa.array(x.astype(np.int32)) for x in at), pa.array(np.full(size, home)), pa.array(signed[rows[sent]])], names=names)
 
     def compare(pdf):
         import pandas as pd
 
-        values = pdf["fingerprint"].to_numpy().view(np.uint64)
-        a, b = _shard_links(np.unique(values[pdf["home"].to_numpy()]), np.unique(values), bits)
+        values, home = pdf["fingerprint"].to_numpy().view(np.uint64), pdf["home"].to_numpy()
+        a, b = _shard_links(np.unique(values[home]), np.unique(values[~home]), bits)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    routed = prints.select("fingerprint").repartition(max(1, min(n // 20_000 + 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(route, "tree int, leaf int, block int, home boolean, fingerprint long")
-    return routed.groupBy("tree", "leaf", "block").applyInPandas(compare, "a long, b long").distinct()
+    routed = prints.select("fingerprint").repartition(max(1, min(n // 20_000 + 1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))).mapInArrow(route, "tree int, leaf int, block int, visitors int, home boolean, fingerprint long")
+    return routed.groupBy("tree", "leaf", "block", "visitors").applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = MAX_BITS) -> DataFrame:
