@@ -30,7 +30,11 @@ def line_fails(line: Column) -> Column:
     symbols = F.length(F.regexp_replace(line, r"[^#*$%&|<>]+", ""))
     shouted = F.regexp_count(line, F.lit(r"[!?]{2,}(?=[\x20\x09-\x0D]|$)"))
     bars = F.length(F.regexp_replace(line, r"[^|]+", ""))
-    return (symbols * 10 > F.length(line)) | ((n_words >= 4) & (shouted * 2 > n_words)) | ((bars >= 2) & (n_words - bars <= 4 * (bars + 1))) | line.rlike(BOILERPLATE)
+    # a plain line fails the first test of each rule, so that little is counted
+    marked = line.rlike(r"[#*$%&|<>]") & (symbols * 10 > F.length(line))
+    loud = line.rlike(r"[!?]{2}") & (n_words >= 4) & (shouted * 2 > n_words)
+    barred = F.contains(line, F.lit("|")) & (bars >= 2) & (n_words - bars <= 4 * (bars + 1))
+    return marked | loud | barred | line.rlike(BOILERPLATE)
 
 
 def _has_word(line: Column) -> Column:
@@ -62,7 +66,8 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_clean_words, clean_text and kept.
     A null text counts as empty: no words, base_failed, not kept. Each row is judged alone, so repeated rows get equal
-    verdicts; a text of one very long line is one line. Lines without a word never fail.
+    verdicts and nothing ties; a text of one very long line is one line. Lines without a word never fail. An empty table
+    gives an empty result; other columns are left out, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     first = docs.select(F.col(id_col), text.alias(text_col)).withColumn("_w", words(F.col(text_col))).withColumn("_lines", F.filter(F.split(text_col, "\n", -1), _has_word))
@@ -87,6 +92,6 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Null, empty and very short texts go; of repeated rows all stay or all go; an empty table gives an empty result.
     """
     packed = docs.select(F.struct(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("_row"), docs[f"`{text_col}`"].alias("_text"))
-    # the number is not used: a filter isn't moved below it, so that the rules are evaluated once a row
-    judged = assess(packed, "_row", "_text").withColumn("_at", F.monotonically_increasing_id()).where("kept")
+    # a filter isn't moved below a row number, so that the rules are evaluated once a row
+    judged = assess(packed, "_row", "_text").withColumn("_at", F.monotonically_increasing_id()).where("kept and _at >= 0")
     return judged.select(*((F.col("clean_text") if c == text_col else F.col("_row")[f"c{i}"]).alias(c) for i, c in enumerate(docs.columns)))
