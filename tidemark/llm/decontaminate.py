@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import stored
+from tidemark.llm.store import dropped_since, mark, stored
 from tidemark.llm.text import document_keys, five_word_hashes, five_word_shingles, keyed, let, small, unkeyed, words
 
+
 def sketch(hashes: Column, containment: float) -> Column:
     """The least hashes of an item, as many as its size class needs.
 
@@ -30,7 +31,7 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, id
     have none and match nothing. Rows equal in id and text give one row; of items repeated under one id, each text
     counts for itself. Null ids are kept. Empty tables give no rows; other columns are ignored.
     """
-    lower = F.lower(F.col(text_col))
+    lower, at = F.lower(F.col(text_col)), mark()
     bench = items.select(F.col(item_col).alias("item_id"), F.xxhash64(item_text, item_col).alias("item_key"), words(F.lower(F.col(item_text))).alias("w")).dropDuplicates(["item_key"])
     probes = stored(bench.select("item_key", F.explode(sketch(five_word_hashes(F.col("w")), containment)).alias("h")), "sketches")
     hashed = docs.select(*document_keys(id_col, text_col), F.explode(five_word_hashes(words(lower))).alias("h"))
@@ -43,10 +44,13 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, id
     held = texts.join(named, ["k1", "k2"], "left_semi").select("k1", "k2", "id", F.explode(five_word_shingles(words(F.col("text")))).alias("s"))
     shared = held.join(wanted, "s").distinct().groupBy("k1", "k2", "id", "item_key", "item_id", "n_item").agg(F.count("*").alias("n_shared"))
     enough = shared.where(F.col("n_shared") >= F.col("n_item") * F.lit(containment) - F.lit(1e-9))
-    return enough.join(candidates, ["k1", "k2", "item_key"], "left_semi").select("k1", "k2", "id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item"))
+    found = stored(enough.join(candidates, ["k1", "k2", "item_key"], "left_semi").select("k1", "k2", "id", "item_id", "n_shared", F.col("n_item").cast("long").alias("n_item")), "contaminated")
+    dropped_since(at, found)
+    return found
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that :func:`contaminated` finds."""
-    bad = small(stored(contaminated(docs, items, containment, id_col, text_col).select("k1", "k2").distinct(), "contaminated"))
+    """``docs`` without the documents that :func:`contaminated` finds; null and empty texts, repeated rows and other
+    columns stay as they are, whatever their names; an empty table gives an empty result."""
+    bad = small(stored(contaminated(docs, items, containment, id_col, text_col).select("k1", "k2").distinct(), "contaminated-documents"))
     return unkeyed(keyed(docs, id_col, text_col).join(bad, ["k1", "k2"], "left_anti"), docs.columns)

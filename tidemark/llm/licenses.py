@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import dropped, stored
+from tidemark.llm.store import dropped, dropped_since, mark, stored
 from tidemark.llm.text import small, words
 
 # SPDX identifiers, the standard texts, notices and grants of each licence, and sentences that name it.
@@ -154,8 +154,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = stored(files.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.regexp_count(text, F.lit(_COUNT)).alias("n_words"), F.when(text.rlike(MARKER), text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "license-files")
-    each = stored(blocks(rows), "license-blocks")
+    each, at = stored(blocks(rows), "license-blocks"), mark()
     scored = stored(score_blocks(each.select("block").distinct()).select("u1", "u2", "license", "cosine"), "license-scores")
+    dropped_since(at, scored)
     matched = stored(each.select("row", "start", "n", *_keys("block", "u")).join(small(scored), ["u1", "u2"]).select("row", "start", "n", "license", "cosine"), "license-matches")
     best = F.min_by(F.struct("license", "cosine"), F.struct(-F.round("cosine", 9), F.col("license")))
     counted = rows.where("text is not null").join(small(matched.select("row").distinct()), "row").select("row", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
@@ -170,7 +171,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     dirs = placed.where("dir is not null").select("dir").distinct()
     up = dirs.select("dir", F.posexplode(F.transform(F.sequence(F.size(_steps(F.col("dir"))), F.lit(0), F.lit(-1)), lambda i: F.array_join(F.slice(_steps(F.col("dir")), F.lit(1), i), "/"))).alias("rise", "above"))
     nearest = stored(up.select(*_keys("dir", "e"), "rise", *_keys("above", "d")).join(small(sources), ["d1", "d2"]).groupBy("e1", "e2").agg(F.min_by(F.struct("license", "from_id"), "rise").alias("n")).select(F.col("e1").alias("d1"), F.col("e2").alias("d2"), F.col("n.license").alias("up_license"), F.col("n.from_id").alias("up_id")), "license-nearest")
-    dropped(each)
+    dropped(each, scored, matched, sources)
     out = joined.join(small(nearest), ["d1", "d2"], "left")
     how = F.when(F.col("license").isNotNull(), "own").when(F.col("up_license").isNotNull(), "inherited").otherwise("none")
     return out.select(F.col("id").alias(id_col), F.col("path").alias(path_col), F.coalesce("license", "up_license").alias("license"), F.round("cosine", 6).alias("cosine"), how.alias("how"), F.when(how == "own", F.col("id")).when(how == "inherited", F.col("up_id")).alias("from_id"))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import stored
+from tidemark.llm.store import dropped, stored
 
 #: Parts of words that a worker keeps the ids of, and the text tokenized together, in bytes.
 CACHE_WORDS, CHUNK = 600_000, 8_000_000
@@ -257,4 +257,6 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_
     gives no rows; other columns are ignored. Ties are ordered by id, piece and content.
     """
     cut = stored(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
-    return pack(cut, capacity).withColumnRenamed("id", id_col)
+    packed = pack(cut, capacity).withColumnRenamed("id", id_col)
+    dropped(cut)  # its rows are in the sorted table
+    return packed
