@@ -12,8 +12,20 @@ from tidemark.llm import chat, decontaminate, licenses, linededup, packing, pii,
 RULES = [urlfilter.Rule("block", "com", "/en/"), urlfilter.Rule("allow", "example.com", "/en/7"), urlfilter.Rule("block", "net", "/de/"), urlfilter.Rule("block", "example.net", "/de/8"), urlfilter.Rule("block", "org", "/es/")]
 
 
+#: Rows of a smaller file are dealt out to all cores, as a file of one row group is one task's work whatever the cores.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if it is small and has fewer partitions than there are cores; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_path() -> str:
