@@ -115,7 +115,7 @@ def test_lines_without_spaces(spark):
     assert got == {2, 4, 6}
 
 
-def test_hot_bucket(spark):
+def test_hot_bucket(spark, monkeypatch):
     """Hundreds of copies of one line with edits of all sizes: the components are those of all pairs."""
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
@@ -125,8 +125,10 @@ def test_hot_bucket(spark):
         for at in rng.sample(range(40), rng.randint(0, 7)):
             words[at] = word()
         docs.append((i, " ".join(words)))
-    found = linededup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"))
-    got = {(r["id"], i) for r in found.collect() for i in r["dropped"]}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["id"], i) for r in linededup.repeated_lines(df).collect() for i in r["dropped"]}
+    monkeypatch.setattr(nearsets, "SMALL", 400)  # the same buckets with every two of their lines
+    assert got == {(r["id"], i) for r in linededup.repeated_lines(df).collect() for i in r["dropped"]}
     want = {(key, i) for key, _, i in brute(docs)[0]}
     assert got <= want and len(got) >= 0.97 * len(want) > 100
 

@@ -54,3 +54,15 @@ def test_bad_lines_go_and_clean_documents_stay_whole(spark):
 
 def test_empty_table(spark):
     assert quality.assess(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_very_long_texts_and_odd_names(spark):
+    long = "\n".join(" ".join(f"v{i * 9 + k}" for k in range(9)) for i in range(30_000))
+    one_line = " ".join(f"w{i}" for i in range(200_000))
+    docs = [(1, long, "a", 1), (2, one_line, "b", 2), (3, "Impressum\n" + " ".join(f"wort{i}" for i in range(40)), "c", 3), (4, None, "d", 4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, `a.b` string, kept long")
+    got = {r["doc_id"]: r for r in quality.keep_good(df).collect()}
+    assert set(got) == {1, 2, 3} and got[1]["text"] == long and got[2]["text"] == one_line and got[3]["text"].startswith("wort0")
+    assert [(r["a.b"], r["kept"]) for r in got.values()] == [("a", 1), ("b", 2), ("c", 3)]
+    counted = {r["doc_id"]: r["n_words"] for r in quality.assess(df).collect()}
+    assert counted == {1: len(long.split()), 2: 200_000, 3: 41, 4: 0}

@@ -62,7 +62,8 @@ def render(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") ->
     """(id, n_turns, rendered): each maximal conversation as one text, ``<|role|>`` before each turn's text.
 
     A null role is rendered as ``unknown``, a null text as empty. One conversation is one value, so its length is
-    bounded by what a cell can hold.
+    bounded by what a cell can hold. Repeated rows are one turn; turns that tie go by role and text; an empty table gives
+    no rows; other columns are ignored, whatever their names.
     """
     line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("unknown")), F.lit(CLOSE), F.coalesce("text", F.lit("")))
     kept = maximal(turns, id_col, turn_col).select("id", "pos", line.alias("line"))
