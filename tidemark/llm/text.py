@@ -14,9 +14,9 @@ _ALL = 1 << 30
 BROADCAST_ROWS = 1_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, a stored table, marked for broadcast if it has few enough rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -26,6 +26,8 @@ ORDER = 5
 _START, _END = "\x02", "\x03"
 #: A symbol is a code point of four bytes, so that a URL is cut in time proportional to its length.
 _WIDTH = 4
+#: Grams up to which a table of them is broadcast; they are wider than longs.
+_GRAMS = 250_000
 _CLASSES = ("fit_accepted", "fit_rejected", "accepted", "rejected")
 
 
@@ -75,7 +77,7 @@ def models(counts: DataFrame) -> DataFrame:
     for k in range(1, ORDER + 1):
         behind = Window.partitionBy(F.substring("gram", 1, _WIDTH * k))
         seen = levels[ORDER - k].withColumns({x: f for c in names for x, f in ((f"t_{c}", F.sum(f"n_{c}").over(behind)), (f"d_{c}", F.sum((F.col(f"n_{c}") > 0).cast("long")).over(behind)))})
-        joined = seen.withColumn("last", F.substring("gram", _WIDTH + 1, _WIDTH * k)).join(small(below).withColumnRenamed("gram", "last"), "last")
+        joined = seen.withColumn("last", F.substring("gram", _WIDTH + 1, _WIDTH * k)).join(small(below, _GRAMS).withColumnRenamed("gram", "last"), "last")
         mixed = (F.when(F.col(f"t_{c}") > 0, (F.col(f"n_{c}") + F.col(f"d_{c}") * F.col(f"p_{c}")) / (F.col(f"t_{c}") + F.col(f"d_{c}"))).otherwise(F.col(f"p_{c}")).alias(f"p_{c}") for c in names)
         below, lower = stored(joined.select("gram", *mixed), "url-models"), below
         dropped(lower)
@@ -102,7 +104,7 @@ def scored(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col
     counts = stored(each.groupBy("gram").agg(*(F.count_if(x).alias(f"n_{c}") for c, x in zip(_CLASSES, is_of, strict=True))), "url-counts")
     ratios = models(counts).select("gram", F.log(F.col("p_fit_rejected") / F.col("p_fit_accepted")).alias("held_ratio"), F.log(F.col("p_rejected") / F.col("p_accepted")).alias("ratio"))
     table = stored(ratios, "url-ratios")
-    scores = stored(each.select("row", "gram").join(small(table), "gram").groupBy("row").agg(F.avg("held_ratio").alias("held_score"), F.avg("ratio").alias("score")), "url-scores")
+    scores = stored(each.select("row", "gram").join(small(table, _GRAMS), "gram").groupBy("row").agg(F.avg("held_ratio").alias("held_score"), F.avg("ratio").alias("score")), "url-scores")
     out = stored(rows.drop("g").join(scores, "row").drop("row"), "scored-urls")
     for used in (rows, counts, table, scores):
         dropped(used)
