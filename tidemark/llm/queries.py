@@ -1,4 +1,4 @@
-"""The ten operators as queries over the tables they are meant for, and the SQL that gives the same rows."""
+"""The operators as queries over the tables they are meant for, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, licenses, linededup, packing, pii, quality, simhash, substring, urlfilter
+from tidemark.llm import chat, decontaminate, fim, licenses, linededup, packing, phrases, pii, quality, sharding, simhash, substring, urlfilter
 
 RULES = [urlfilter.Rule("block", "com", "/en/"), urlfilter.Rule("allow", "example.com", "/en/7"), urlfilter.Rule("block", "net", "/de/"), urlfilter.Rule("block", "example.net", "/de/8"), urlfilter.Rule("block", "org", "/es/")]
 
@@ -81,6 +81,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "n_turns", F.sha2("rendered", 256).alias("rendered_sha256"), F.length("rendered").cast("long").alias("n_chars"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_table(spark, sf_dir, "documents"), 24)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_line_dedup, op4_substring_dedup, op5_best_fit_packing, op6_pii, op7_quality, op8_url_filter, op9_license_scan, op10_chat_format, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontaminate, op3_line_dedup, op4_substring_dedup, op5_best_fit_packing, op6_pii, op7_quality, op8_url_filter, op9_license_scan, op10_chat_format, op11_phrases, op12_sharding, op13_fill_in_middle, pipeline)}
 
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -175,6 +187,42 @@ r as (select conv_id, len(x)::bigint n_turns, array_to_string(list_transform(x,
 select conv_id, n_turns, sha256(s) rendered_sha256, len(s)::bigint n_chars from r
 """
 
+_LONGER = "(select lang, p, a, w, unnest(range(1, len(w))) i from c where len(w) > 2)"
+_OP11 = f"""
+with d as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t from documents),
+s as (select lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') w from d),
+g as (select lang, m, array_to_string(w[i:i+m-1], ' ') p from (select lang, w, m, unnest(range(1, len(w) - m + 2)) i from (select lang, w, unnest([1, 2, 3]) m from s) where len(w) >= m)),
+f as (select lang, m, p, count(*)::bigint f from g group by all),
+n as (select lang, sum(f)::bigint n from f where m = 1 group by lang),
+c as (select lang, p, f a, string_split(p, ' ') w from f where m >= 2 and f >= 10),
+k as (select lang, p, a, k, array_to_string(w[1:k], ' ') x, array_to_string(w[k+1:], ' ') y from (select *, unnest(range(1, len(w))) k from c)),
+v as (select k.lang, k.p, a, k, x.f l, y.f r, ((1000000::hugeint * a * a) // (x.f::hugeint * y.f))::bigint score from k join f x on x.lang = k.lang and x.p = k.x join f y on y.lang = k.lang and y.p = k.y),
+b as (select * from v qualify row_number() over (partition by lang, p order by score, k) = 1),
+h as (select lang, array_to_string(w[i:i+1], ' ') p, max(a) held from {_LONGER} group by 1, 2),
+o as (select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.p) rank from b left join h on h.lang = b.lang and h.p = b.p where held is null or 100 * held < 50 * a)
+select lang, rank, p phrase, a, l, r, n, score from o join n using (lang) where rank <= 2000
+"""
+
+_CRC_TABLE = "(select list(t order by i) from (select i, list_reduce([i::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) t from range(256) x(i)))"
+_CRC = f"(select xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::bigint)), lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])), 4294967295))"
+_OP12 = f"""
+with recursive d as (select row_number() over () row, doc_id, coalesce(text, '') t, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 16))::ubigint::hugeint key from documents),
+j as (select row, key k, -1::bigint b, 0::bigint j from d union all
+ select row, k, j, floor((j + 1) * (2147483648.0::double / ((k // 8589934592)::double + 1)))::bigint from (select row, (k * 2862933555777941757 + 1) % 18446744073709551616 k, j from j where j < 25)),
+s as (select row, max(b) filter (b < 24) shard, max(b) filter (b < 25) grown from j group by row),
+x as (select doc_id, (strlen(t) + 8)::bigint size, {_CRC.replace("(select ", "", 1)[:-1]}::bigint text_crc32, shard::int shard, grown::int grown_shard from d join s using (row), (select {_CRC_TABLE} crc))
+select doc_id, size, text_crc32, 'key' law, shard, (row_number() over (partition by shard order by doc_id nulls first, text_crc32, size) - 1)::bigint slot, grown_shard from x
+"""
+
+_OP13 = """
+with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') w, sha256('42:' || coalesce(doc_id::varchar, '')) h from documents),
+s as (select doc_id, t, w, len(w)::bigint n, [('0x' || substr(h, 1, 8))::bigint, ('0x' || substr(h, 9, 8))::bigint, ('0x' || substr(h, 17, 8))::bigint, ('0x' || substr(h, 25, 8))::bigint] h from d),
+c as (select *, least(h[1] % (n + 1), h[2] % (n + 1)) a, greatest(h[1] % (n + 1), h[2] % (n + 1)) b, case when t = '' or regexp_matches(t, '<[PSM]>') or h[3] % 100 >= 50 then 'plain' when h[4] % 100 < 80 then 'spm' else 'psm' end form from s),
+p as (select doc_id, t, n, form, array_to_string(w[1:a], '') p, array_to_string(w[a+1:b], '') m, array_to_string(w[b+1:], '') s from c)
+select doc_id, n, form, case when form <> 'plain' then length(p)::bigint end prefix_chars, case when form <> 'plain' then length(m)::bigint end middle_chars,
+ sha256(case form when 'plain' then t when 'psm' then concat('<P>', p, '<S>', s, '<M>', m) else concat('<S>', s, '<P>', p, '<M>', m) end) output_sha256, sha256(t) restored_sha256 from p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op4_substring_dedup": _OP4, "op7_quality": _OP7, "op9_license_scan": _OP9, "op10_chat_format": _OP10}
+    return {"op2_decontaminate": _OP2, "op4_substring_dedup": _OP4, "op7_quality": _OP7, "op9_license_scan": _OP9, "op10_chat_format": _OP10, "op11_phrases": _OP11, "op12_sharding": _OP12, "op13_fill_in_middle": _OP13}
