@@ -80,20 +80,30 @@ def test_counts_of_every_run_of_words(spark):
     assert got == want | {(lang, b""): words[lang] for lang in words}
 
 
-def test_products_beyond_64_bits(spark):
+def test_products_beyond_64_bits(spark, monkeypatch):
     counts = [("en", "a", 4 * 10**12), ("en", "b", 5 * 10**12), ("en", "a b", 3 * 10**12 + 1), ("en", "", 10**13)]
 
     def given(*_, **__):
         return spark.createDataFrame(counts, "lang string, phrase string, n long").withColumn("phrase", F.col("phrase").cast("binary"))
 
-    real, phrases.phrase_counts = phrases.phrase_counts, given
-    try:
-        row = phrases.collocations(spark.range(0)).first()
-    finally:
-        phrases.phrase_counts = real
+    monkeypatch.setattr(phrases, "phrase_counts", given)
+    row = phrases.collocations(frame(spark, [])).first()
     assert row["score"] == 10**6 * (3 * 10**12 + 1) ** 2 // (20 * 10**24)
 
 
+@pytest.mark.parametrize("bits", [15, 18])
+def test_no_candidate_is_lost_when_buckets_are_crowded(spark, bits):
+    rng = random.Random(1)
+    docs = [(" ".join(f"w{int(rng.paretovariate(0.6)) % 3000}" for _ in range(300)), "en") for _ in range(80)]
+    frame_ = frame(spark, docs)
+    pairs = phrases.frequent_pairs(frame_, 10, bucket_bits=bits)
+    assert len(pairs) == 1 << (bits - 3) and 0 < np.unpackbits(pairs).sum() < 1 << bits
+    assert sorted(map(tuple, phrases.collocations(frame_, bucket_bits=bits).collect())) == plain(docs)
+    known = {bytes(r["phrase"]) for r in phrases.phrase_counts(frame_, pairs=pairs).collect()}
+    counts = plain_counts(docs)[0]["en"]
+    assert {" ".join(p).encode() for p, n in counts.items() if n >= 10} <= known
+
+
 def test_suffixes_are_sorted_and_their_prefixes_measured():
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 4, 300)

@@ -1,4 +1,8 @@
-"""Phrase collocations: n-gram counts from suffix arrays of shards, merged by key, and scored at their weakest cut."""
+"""Phrase collocations: n-gram counts from suffix arrays of shards, merged by key, and scored at their weakest cut.
+
+Most phrases of a corpus occur once or twice. A first pass counts pairs of words by hashed buckets, and the second cuts
+pieces at pairs that are too rare for any candidate before it sorts suffixes; no candidate is lost.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +19,13 @@ from tidemark.llm.store import dropped, stored
 
 #: Words of a shard, about; a shard is closed by the first text that reaches it. More words combine more counts in a task
 #: and need more memory: about 100 bytes a word.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Bytes of texts that are cut into words at once.
 _SLICE = 8 << 20
+#: Pairs of words are told apart by so many bits of a hash when rare ones are sought: 2^27 bits are 16 MB.
+BUCKET_BITS = 27
+#: Bits of a bitmap of Spark's.
+_BLOCK_BITS = 15
 #: Rows of a batch of counts.
 _ROWS = 1 << 16
 _LANG = "und"
@@ -104,63 +113,130 @@ class _Shard:
         self.parts.append((data, lengths.astype(np.int32), opens, codes[text]))
         self.n += len(lengths)
 
-    def counts(self, depth: int) -> Iterator[pa.RecordBatch]:
-        """(lang, phrase, n) of every phrase of up to ``depth`` words, and with an empty phrase the words of a language."""
+    def numbered(self) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """(words' numbers, the words numbered, whether a word begins a piece, its language's number); parts are let go."""
         data, lengths, opens, lang = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts = []
-        names = list(self.langs)
-        totals = np.bincount(lang, minlength=len(names))
-        yield _batch(pa.array(names, pa.string()), pa.array([b""] * len(names), pa.binary()), pa.array(totals))
-        if not len(lengths):
-            return
         offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)))
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        number, known = words.indices.to_numpy(), words.dictionary.cast(pa.binary())
-        del words, data, offsets
-        ends = np.append(np.flatnonzero(opens)[1:], len(opens))
-        at = np.cumsum(opens) - 1
-        left = (ends[at] - np.arange(len(opens))).astype(np.int32)
-        order, lcp = _sorted_suffixes(lang.astype(np.int64) * len(known) + number, left, depth)
-        named = pa.array(names, pa.string())
-        for size in range(1, depth + 1):
-            places, counts = _intervals(order, lcp, left, size)
-            for k in range(0, len(places), _ROWS):
-                some = places[k : k + _ROWS]
-                run = [known.take(pa.array(number[some + d])) for d in range(size)]
-                phrase = run[0] if size == 1 else pc.binary_join_element_wise(*run, b" ")
-                yield _batch(named.take(pa.array(lang[some])), phrase, pa.array(counts[k : k + _ROWS]))
+        return words.indices.to_numpy(), words.dictionary.cast(pa.binary()), opens, lang
+
+
+def _pair_buckets(number: np.ndarray, known: pa.Array, opens: np.ndarray, lang: np.ndarray, langs: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of words that follow another in their piece, the bucket of the language and the two words)."""
+    digest = xxhash.xxh3_64_intdigest
+    hashes = np.fromiter(map(digest, known.to_pylist()), np.uint64, len(known))
+    seeds = np.fromiter((digest(x) for x in langs), np.uint64, len(langs))
+    at = np.flatnonzero(~opens)
+    x = (hashes[number[at - 1]] + seeds[lang[at]]) * np.uint64(0x9E3779B97F4A7C15) ^ hashes[number[at]]
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return at, (x >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _counts(shard: _Shard, depth: int, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, n) of the shard's phrases of up to ``depth`` words, and with an empty phrase the words of a language.
+
+    With ``pairs``, a bit for each bucket, pieces are cut between words whose pair's bit is off.
+    """
+    langs = list(shard.langs)
+    number, known, opens, lang = shard.numbered()
+    named = pa.array(langs, pa.string())
+    yield _batch(named, pa.array([b""] * len(langs), pa.binary()), pa.array(np.bincount(lang, minlength=len(langs))))
+    if not len(number):
+        return
+    ids = lang.astype(np.int64) * len(known) + number
+    single, times = np.unique(ids, return_counts=True)
+    for k in range(0, len(single), _ROWS):
+        some = single[k : k + _ROWS]
+        yield _batch(named.take(pa.array(some // len(known))), known.take(pa.array(some % len(known))), pa.array(times[k : k + _ROWS]))
+    if pairs is not None:
+        at, bucket = _pair_buckets(number, known, opens, lang, langs, len(pairs).bit_length() + 2)
+        opens[at[(pairs[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 0]] = True
+    follows = ~opens
+    follows[:-1] |= ~opens[1:]  # or is followed: words alone in their piece are done
+    ids, number, lang, opens = ids[follows], number[follows], lang[follows], opens[follows]
+    if depth < 2 or not len(ids):
+        return
+    ends = np.append(np.flatnonzero(opens)[1:], len(opens))
+    left = (ends[np.cumsum(opens) - 1] - np.arange(len(opens))).astype(np.int32)
+    order, lcp = _sorted_suffixes(ids, left, depth)
+    for size in range(2, depth + 1):
+        places, times = _intervals(order, lcp, left, size)
+        for k in range(0, len(places), _ROWS):
+            some = places[k : k + _ROWS]
+            phrase = pc.binary_join_element_wise(*(known.take(pa.array(number[some + d])) for d in range(size)), b" ")
+            yield _batch(named.take(pa.array(lang[some])), phrase, pa.array(times[k : k + _ROWS]))
 
 
 def _batch(lang: pa.Array, phrase: pa.Array, n: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([lang, phrase, n.cast(pa.int64())], names=["lang", "phrase", "n"])
 
 
-def phrase_counts(docs: DataFrame, *, max_words: int = 3, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[_Shard]:
+    """Shards of (lang, text) rows; texts are cut into words a slice of a batch at a time."""
+    shard = _Shard()
+    for batch in batches:
+        langs, texts = batch.column(0).to_pylist(), batch.column(1)
+        sizes = np.concatenate((np.zeros(1, np.int64), np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        at = 0
+        while at < len(langs):
+            upto = max(at + 1, int(np.searchsorted(sizes, sizes[at] + _SLICE, side="right")) - 1)
+            shard.add(texts[at:upto], langs[at:upto])
+            at = upto
+            if shard.n >= shard_words:
+                yield shard
+                shard = _Shard()
+    if shard.parts:
+        yield shard
+
+
+def _given(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(_LANG)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+
+
+def frequent_pairs(docs: DataFrame, min_count: int, *, bucket_bits: int = BUCKET_BITS, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> np.ndarray:
+    """A bit for each of 2^``bucket_bits`` buckets of pairs of words: on if its pairs occur ``min_count`` times together.
+
+    A pair whose bit is off is rarer than that, and so is every phrase that holds it; a pair whose bit is on may be rare,
+    the more so the more pairs there are. The bits take 16 MB whatever the input: they are all that reaches the driver.
+    """
+
+    if not _BLOCK_BITS <= bucket_bits < 31:
+        raise ValueError(f"bucket_bits must lie between {_BLOCK_BITS} and 30, not {bucket_bits}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches, shard_words):
+            langs = list(shard.langs)
+            bucket, times = np.unique(_pair_buckets(*shard.numbered(), langs, bucket_bits)[1], return_counts=True)
+            for k in range(0, len(bucket), _ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[k : k + _ROWS]), pa.array(times[k : k + _ROWS])], names=["bucket", "n"])
+
+    found = _given(docs, lang_col, text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    block = F.shiftright("bucket", _BLOCK_BITS)
+    # positions in a bitmap of Spark's begin at the lowest bit of the first byte
+    bits = found.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(F.col("bucket").bitwiseAND((1 << _BLOCK_BITS) - 1)).alias("bits"))
+    out = np.zeros(1 << (bucket_bits - 3), np.uint8)
+    for row in bits.toLocalIterator():
+        at = row["block"] << (_BLOCK_BITS - 3)
+        out[at : at + (1 << (_BLOCK_BITS - 3))] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def phrase_counts(docs: DataFrame, *, max_words: int = 3, pairs: np.ndarray | None = None, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """(lang, phrase binary, n): occurrences of each run of 1 to ``max_words`` words within pieces, overlaps included.
 
     A row with an empty phrase has a language's words. Texts are lower-cased in A-Z and split at ``.,;:!?`` and line
     ends into pieces, these at spaces and tabs into words. Each task gathers shards of its texts, numbers their words,
     sorts a suffix array of each and counts its LCP intervals; Spark adds the counts up by key. No text is shuffled.
+    With ``pairs`` (:func:`frequent_pairs`) phrases that hold a pair whose bit is off are left out.
     """
+    bits = None if pairs is None else docs.sparkSession.sparkContext.broadcast(pairs)  # 16 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard()
-        for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1)
-            sizes = np.concatenate((np.zeros(1, np.int64), np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
-            at = 0
-            while at < len(langs):
-                upto = max(at + 1, int(np.searchsorted(sizes, sizes[at] + _SLICE, side="right")) - 1)
-                shard.add(texts[at:upto], langs[at:upto])
-                at = upto
-                if shard.n >= shard_words:
-                    yield from shard.counts(max_words)
-                    shard = _Shard()
-        if shard.parts:
-            yield from shard.counts(max_words)
-
-    given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(_LANG)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    return given.mapInArrow(run, "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        for shard in _shards(batches, shard_words):
+            yield from _counts(shard, max_words, None if bits is None else bits.value)
+
+    return _given(docs, lang_col, text_col).mapInArrow(run, "lang string, phrase binary, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _split(phrase: Column) -> Column:
@@ -171,7 +247,7 @@ def _joined(words: Column, start: Column | int, length: Column | int) -> Column:
     return F.array_join(F.slice(words, start, length), " ")
 
 
-def collocations(docs: DataFrame, *, min_words: int = 2, max_words: int = 3, min_count: int = 10, cover: int = 50, best: int | None = 2000, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
+def collocations(docs: DataFrame, *, min_words: int = 2, max_words: int = 3, min_count: int = 10, cover: int = 50, best: int | None = 2000, bucket_bits: int = BUCKET_BITS, lang_col: str = "lang", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``best`` phrases (None: all) that stick together.
 
     Candidates have ``min_words`` to ``max_words`` words and occur ``min_count`` times (a) or more. Cut after k words, a
@@ -184,7 +260,10 @@ def collocations(docs: DataFrame, *, min_words: int = 2, max_words: int = 3, min
     """
     if not 2 <= min_words <= max_words or min_count < 1:
         raise ValueError("2 <= min_words <= max_words and min_count >= 1 are needed")
-    counts = phrase_counts(docs, max_words=max_words, lang_col=lang_col, text_col=text_col, shard_words=shard_words)
+    columns = {"lang_col": lang_col, "text_col": text_col, "shard_words": shard_words}
+    # a candidate's pairs are as frequent as it is: most phrases need never be told apart
+    pairs = frequent_pairs(docs, min_count, bucket_bits=bucket_bits, **columns)
+    counts = phrase_counts(docs, max_words=max_words, pairs=pairs, **columns)
     # parts of a candidate are as frequent as it is, so that all that is looked up below is here
     known = stored(counts.where((F.col("n") >= min_count) | (F.octet_length("phrase") == 0)).select("lang", F.col("phrase").cast("string").alias("phrase"), "n"), "phrases")
     words = _split(F.col("phrase"))
