@@ -102,3 +102,52 @@ def test_exposure_summary(spark):
     e = frame(spark, "date date, term string, coef double", [(month_end(k), "x", v) for k, v in enumerate((1.0, -1.0, 2.0, 2.0))])
     r = signals.exposure_summary(e).first()
     assert (r["mean"], r["hit_rate"], r["n_periods"]) == (1.0, 0.75, 4) and r["t_stat"] == pytest.approx(1 / (np.std([1, -1, 2, 2], ddof=1) / 2))
+
+
+@pytest.fixture(scope="module")
+def classed(spark):
+    """Three dates of classes that nest, cross and are missing; on the last date there are too few rows."""
+    rng, rows = np.random.default_rng(11), []
+    for m, n in enumerate((90, 70, 12)):
+        for i in range(n):
+            a = f"a{rng.integers(0, 12)}" if rng.random() > 0.05 else None
+            b = f"b{rng.integers(0, 9)}" if rng.random() > 0.05 else None
+            size = float(rng.normal(10, 2))
+            y = 0.5 * size + (int(a[1:]) if a else 3.0) - 2.0 * (int(b[1:]) if b else 1.0) + float(rng.normal())
+            rows.append((month_end(m), f"{i:03d}", y if i % 17 else None, size, a, b, "xyz"[i % 3], float(i % 4) if i % 13 else None))
+    return frame(spark, "date date, bid string, factor double, size double, a string, b string, c string, w double", rows)
+
+
+@pytest.mark.parametrize(("by", "weight", "absorb"), [(["a"], None, True), (["size", "a"], "w", "a"), (["size", "a", "b"], None, True), (["b", "a", "c", "size"], "w", "b")])
+def test_absorbed_classes_leave_the_same_residuals(classed, by, weight, absorb):
+    key = ["date", "bid"]
+    want = {tuple(r[:2]): r[2] for r in signals.neutralize(classed, factor="factor", by=by, weight=weight).select(*key, "factor_neutral").collect()}
+    got = {tuple(r[:2]): r[2] for r in signals.neutralize(classed, factor="factor", by=by, weight=weight, absorb=absorb).select(*key, "factor_neutral").collect()}
+    assert got.keys() == want.keys() and {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None}
+    assert any(v is not None for v in got.values()) and all(abs(v - want[k]) < 1e-9 for k, v in got.items() if v is not None)
+    if len(by) == 3:
+        fits = lambda **k: {r[0]: r[1] for r in signals.explained_ratio(classed, factor="factor", factors=by, weight=weight, **k).collect()}
+        assert fits(absorb=True) == pytest.approx(fits(), abs=1e-9)
+
+
+@pytest.mark.parametrize("by", [["a"], ["size", "a", "c"]])
+def test_absorbed_classes_have_the_coefficients_of_least_norm(classed, by):
+    found = lambda **k: {(r["date"], r["term"]): r["coef"] for r in signals.factor_exposure(classed, factor="factor", factors=by, **k).collect()}
+    want = found()
+    assert found(absorb=True, levels=False) == pytest.approx(found(levels=False), abs=1e-8)
+    assert found(absorb=True) == pytest.approx(want, abs=1e-8) and len(want) > 20
+
+
+def test_thousands_of_levels(spark):
+    """5,000 levels: each mean is taken out, and the slope is that of what is left."""
+    rows = spark.range(20000).selectExpr("date'2024-01-31' as date", "cast(id as string) as bid", "concat('k', id % 5000) as k", "cast(pmod(id * 7919, 1009) as double) as size", "cast(pmod(id * 104729, 997) as double) as noise").withColumn("factor", F.expr("3 * size + cast(substr(k, 2) as double) + noise"))
+    got = signals.neutralize(rows, factor="factor", by=["size", "k"], absorb=True)
+    pdf = got.toPandas()
+    less = pdf.groupby("k")[["factor", "size"]].transform("mean")
+    dy, dx = pdf["factor"] - less["factor"], pdf["size"] - less["size"]
+    want = dy - dx * (dx @ dy) / (dx @ dx)
+    assert np.abs(pdf["factor_neutral"] - want).max() < 1e-8
+    with pytest.raises(ValidationError):
+        signals.neutralize(rows, factor="factor", by=["size"], absorb=True)
+    with pytest.raises(ValidationError):
+        signals.neutralize(rows, factor="factor", by=["k"], absorb="nope")

@@ -60,6 +60,16 @@ def adjusted_kurtosis(x: Column) -> Column:
     return F.when(n < 4, nothing()).when(F.max(x) == F.min(x), 0.0).otherwise(value)
 
 
+def quantiles(x: Column, at: list[float], accuracy: int | None = None) -> Column:
+    """Aggregate: an array of the quantiles of x, linearly interpolated; every distinct value of a group is kept for it.
+
+    With ``accuracy`` they come from summaries of bounded size, merged before the shuffle: each is one of the values, and
+    its rank is off by count / accuracy at most.
+    """
+    points = F.array(*(F.lit(float(q)) for q in at))
+    return F.percentile(x, points) if accuracy is None else F.percentile_approx(x, points, accuracy)
+
+
 def weighted_mean(x: Column, w: Column) -> Column:
     """Aggregate: mean of x under weights w over rows complete in both; NULL if the weights sum to 0."""
     both = x.isNotNull() & w.isNotNull()

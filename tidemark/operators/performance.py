@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.config import ValidationError, one_of, require_columns, resolve_columns
-from tidemark.functions.exprs import adjusted_kurtosis, adjusted_skew, clean, full_window, growth, ratio
+from tidemark.functions.exprs import adjusted_kurtosis, adjusted_skew, clean, full_window, growth, quantiles, ratio
 from tidemark.sources.panel import with_periods
 
 #: How a period's days are named when returns are compounded to it: last day of month, quarter or year.
@@ -188,8 +188,9 @@ def drawdown_table(returns: DataFrame, *, top: int = 5, ret: str = "ret", by: st
     return table.select(*_keys(by), "rank", "peak", F.col(f"_low.{date_col}").alias("valley"), "recovery", F.col("_low.drawdown").alias("max_drawdown"), (end - F.greatest(F.col("_first") - 1, F.lit(1))).alias("length"), F.when(F.col("recovery").isNotNull(), end - F.col("_low._pos")).alias("recovery_length"))
 
 
-def value_at_risk(returns: DataFrame, *, level: float = 0.05, ret: str = "ret", by: str | None = None, date_col: str | None = None) -> DataFrame:
-    return _metric("value_at_risk", lambda x: F.percentile(x, F.lit(level)), returns, ret, by, date_col)
+def value_at_risk(returns: DataFrame, *, level: float = 0.05, accuracy: int | None = None, ret: str = "ret", by: str | None = None, date_col: str | None = None) -> DataFrame:
+    """The interpolated quantile; with ``accuracy`` a return whose rank is off by count / accuracy at most, from summaries of bounded size."""
+    return _metric("value_at_risk", lambda x: quantiles(x, [level], accuracy)[0], returns, ret, by, date_col)
 
 
 def _tail(rows: DataFrame, level: float, by: str | None) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import ValidationError, one_of, require_columns, resolve_columns
-from tidemark.functions.exprs import adjusted_kurtosis, adjusted_skew, average_rank, clean, newey_west, pair_correlation, ratio, t_stat
+from tidemark.functions.exprs import adjusted_kurtosis, adjusted_skew, average_rank, clean, newey_west, pair_correlation, quantiles, ratio, t_stat
+from tidemark.functions.least_squares import solve
+from tidemark.operators import fixed_effects
 
 CORRELATIONS = ("pearson", "spearman")
 
@@ -30,13 +32,14 @@ def _clipped(x: Column, low: Column, high: Column) -> Column:
     return F.when(x < low, low).when(x > high, high).otherwise(x)
 
 
-def winsorize(data: DataFrame, *, factor: str, lower: float = 0.01, upper: float = 0.99, group: str | None = None, output: str | None = None, date_col: str | None = None) -> DataFrame:
-    """Clip at linearly interpolated quantiles of the date (and group)."""
+def winsorize(data: DataFrame, *, factor: str, lower: float = 0.01, upper: float = 0.99, group: str | None = None, accuracy: int | None = None, output: str | None = None, date_col: str | None = None) -> DataFrame:
+    """Clip at linearly interpolated quantiles of the date (and group), or with ``accuracy`` at values whose rank is off by
+    count / accuracy at most, from summaries of bounded size."""
     if not 0 <= lower < upper <= 1:
         raise ValidationError(f"0 <= lower < upper <= 1 is needed, not {lower}, {upper}")
     keys, x = _keys(data, factor, group, date_col), clean(F.col(factor))
     # counts of values combine before the shuffle, and one row a date (and group) is joined back
-    bounds = data.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.percentile(x, F.array(F.lit(lower), F.lit(upper))).alias("_bounds"))
+    bounds = data.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(quantiles(x, [lower, upper], accuracy).alias("_bounds"))
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     joined = data.join(bounds, same, "left").withColumn(output or f"{factor}_winsorized", _clipped(x, F.get("_bounds", F.lit(0)), F.get("_bounds", F.lit(1))))
     return joined.drop("_bounds", *(f"_k{i}" for i in range(len(keys))))
@@ -77,23 +80,6 @@ def _is_number(data: DataFrame, column: str) -> bool:
     return isinstance(data.schema[column].dataType, T.NumericType | T.BooleanType)
 
 
-def _solve(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Least-norm solution of the normal equations; columns are scaled first so that size does not decide rank."""
-    scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
-    values, vectors = np.linalg.eigh(gram / np.outer(scale, scale))
-    real = values > values.max(initial=0.0) * 1e-11
-    basis, rest = vectors[:, real] / scale[:, None], vectors[:, ~real] / scale[:, None]
-    beta = basis @ ((basis.T @ right) / values[real])
-    beta += basis @ ((basis.T @ (right - gram @ beta)) / values[real])  # one step of refinement
-    dead = np.diag(gram) <= 0
-    beta[dead] = 0.0
-    if rest.shape[1]:
-        null, _ = np.linalg.qr(rest)
-        beta -= null @ (null.T @ beta)
-    beta[dead] = 0.0
-    return beta
-
-
 def _fits(data: DataFrame, y: str, by: Sequence[str], weight: str | None, date_col: str) -> DataFrame:
     """(date, ybar, coef map<term, double>) of each date with more valid rows than design columns.
 
@@ -116,7 +102,7 @@ def _fits(data: DataFrame, y: str, by: Sequence[str], weight: str | None, date_c
 
     names, summed, classed = list(one), list(sums), list(k)  # plain lists: columns can't go to the executors
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         got = pdf.fillna({n: 0.0 for n in summed})
         terms = ["_const", *numbers, *(f"{c}_{v}" for n, c in zip(classed, classes, strict=True) for v in sorted(got[n].dropna().unique()))]
         at = {t: i for i, t in enumerate(terms)}
@@ -139,15 +125,22 @@ def _fits(data: DataFrame, y: str, by: Sequence[str], weight: str | None, date_c
                     if d <= e:
                         gram[d, e] += row["c_c"]
         gram = np.triu(gram) + np.triu(gram, 1).T
-        beta = _solve(gram, right)
+        beta = solve(gram, right)
         return pd.DataFrame({"d": [pdf["d"].iloc[0]], "ybar": [got["yw"].sum() / gram[0, 0]], "coef": [dict(zip(terms, beta.tolist(), strict=True))]})
 
     kind = data.schema[date_col].dataType.simpleString()
-    return moments.groupBy("d").applyInPandas(solve, f"d {kind}, ybar double, coef map<string,double>")
+    return moments.groupBy("d").applyInPandas(fitted, f"d {kind}, ybar double, coef map<string,double>")
 
 
-def _residuals(data: DataFrame, y: str, by: Sequence[str], weight: str | None, date_col: str) -> DataFrame:
+def _absorbed(data: DataFrame, y: str, by: Sequence[str], weight: str | None, absorb: str | bool, date_col: str) -> fixed_effects.Fit:
+    numbers = [c for c in by if _is_number(data, c)]
+    return fixed_effects.fit(data, y, numbers, [c for c in by if c not in numbers], weight, absorb, date_col)
+
+
+def _residuals(data: DataFrame, y: str, by: Sequence[str], weight: str | None, absorb: str | bool, date_col: str) -> DataFrame:
     """``data`` with _ybar, _w and _residual; NULL where a row or its date takes no part."""
+    if absorb:
+        return fixed_effects.residuals(data, _absorbed(data, y, by, weight, absorb, date_col), y, weight, date_col)
     fits = _fits(data, y, by, weight, date_col)
     of = lambda t: F.element_at("coef", t)
     numbers = [c for c in by if _is_number(data, c)]
@@ -165,16 +158,19 @@ def _residuals(data: DataFrame, y: str, by: Sequence[str], weight: str | None, d
     return joined.withColumn("_w", w).withColumn("_residual", F.when(F.col("_w") > 0, clean(F.col(y)) - fitted)).drop(*used)
 
 
-def neutralize(data: DataFrame, *, factor: str, by: str | Sequence[str], weight: str | None = None, output: str | None = None, date_col: str | None = None) -> DataFrame:
+def neutralize(data: DataFrame, *, factor: str, by: str | Sequence[str], weight: str | None = None, absorb: str | bool = False, output: str | None = None, date_col: str | None = None) -> DataFrame:
     """Residual of a (weighted) regression, per date, on a constant, numbers and a dummy for each class.
 
     NULL where the factor, a number or a positive weight is missing, and on dates without more such rows than columns.
-    Rows without a class have no dummy of it.
+    Rows without a class have no dummy of it. ``absorb`` names a class of many levels, or True takes the one of most:
+    residuals are the same then, to about nine digits, but come from joins and sums without a matrix of the levels (see
+    :mod:`tidemark.operators.fixed_effects`). It runs jobs at once, a few for each step of conjugate gradients; one class
+    takes no step. Without it a date's columns make a dense matrix in one task: up to about a thousand levels.
     """
     date_col, _ = resolve_columns(date_col)
     by = [by] if isinstance(by, str) else list(by)
     require_columns(data, [date_col, factor, *by, weight], "neutralize")
-    return _residuals(data, factor, by, weight, date_col).withColumnRenamed("_residual", output or f"{factor}_neutral").drop("_ybar", "_w")
+    return _residuals(data, factor, by, weight, absorb, date_col).withColumnRenamed("_residual", output or f"{factor}_neutral").drop("_ybar", "_w")
 
 
 def coverage(data: DataFrame, *, factor: str, universe: DataFrame | None = None, date_col: str | None = None, id_col: str | None = None) -> DataFrame:
@@ -191,28 +187,36 @@ def coverage(data: DataFrame, *, factor: str, universe: DataFrame | None = None,
     return out.select(date_col, "n_valid", "n_total", (1 - ratio(F.col("n_valid"), F.col("_rows"))).alias("missing_rate"), rate.alias("coverage_rate"))
 
 
-def distribution_summary(data: DataFrame, *, factor: str, date_col: str | None = None) -> DataFrame:
-    """Per date: mean, std, skew, kurtosis, min, p01, p50, p99, max."""
+def distribution_summary(data: DataFrame, *, factor: str, accuracy: int | None = None, date_col: str | None = None) -> DataFrame:
+    """Per date: mean, std, skew, kurtosis, min, p01, p50, p99, max; ``accuracy`` as in :func:`winsorize`."""
     date_col, _ = resolve_columns(date_col)
     require_columns(data, [date_col, factor], "distribution_summary")
     x = clean(F.col(factor))
-    got = data.groupBy(date_col).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), adjusted_skew(x).alias("skew"), adjusted_kurtosis(x).alias("kurtosis"), F.min(x).alias("min"), F.percentile(x, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).alias("p"), F.max(x).alias("max"))
+    got = data.groupBy(date_col).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), adjusted_skew(x).alias("skew"), adjusted_kurtosis(x).alias("kurtosis"), F.min(x).alias("min"), quantiles(x, [0.01, 0.5, 0.99], accuracy).alias("p"), F.max(x).alias("max"))
     return got.select(date_col, "mean", "std", "skew", "kurtosis", "min", *(F.col("p")[i].alias(n) for i, n in enumerate(("p01", "p50", "p99"))), "max")
 
 
-def factor_exposure(data: DataFrame, *, factor: str, factors: Sequence[str], weight: str | None = None, date_col: str | None = None) -> DataFrame:
-    """(date, term, coef): a date's regression coefficients without the constant; classes give terms ``column_value``."""
+def factor_exposure(data: DataFrame, *, factor: str, factors: Sequence[str], weight: str | None = None, absorb: str | bool = False, levels: bool = True, date_col: str | None = None) -> DataFrame:
+    """(date, term, coef): a date's regression coefficients without the constant; classes give terms ``column_value``.
+
+    Where columns depend on each other, coefficients are those of least norm. ``absorb`` as in :func:`neutralize`; numbers
+    that classes explain have a coefficient of 0 with it. Without ``levels`` numbers only are given, which saves the steps
+    that levels of least norm take.
+    """
     date_col, _ = resolve_columns(date_col)
     require_columns(data, [date_col, factor, *factors, weight], "factor_exposure")
+    if absorb:
+        return fixed_effects.coefficients(_absorbed(data, factor, list(factors), weight, absorb, date_col), levels).withColumnRenamed("d", date_col)
     fits = _fits(data, factor, list(factors), weight, date_col)
-    return fits.select(F.col("d").alias(date_col), F.explode("coef").alias("term", "coef")).where("term <> '_const'")
+    terms = fits.select(F.col("d").alias(date_col), F.explode("coef").alias("term", "coef")).where("term <> '_const'")
+    return terms if levels else terms.where(F.col("term").isin([c for c in factors if _is_number(data, c)]))
 
 
-def explained_ratio(data: DataFrame, *, factor: str, factors: Sequence[str], weight: str | None = None, date_col: str | None = None) -> DataFrame:
-    """(date, r_squared) of the dates that can be fitted; NULL where the factor does not vary."""
+def explained_ratio(data: DataFrame, *, factor: str, factors: Sequence[str], weight: str | None = None, absorb: str | bool = False, date_col: str | None = None) -> DataFrame:
+    """(date, r_squared) of the dates that can be fitted; NULL where the factor does not vary. ``absorb`` as in :func:`neutralize`."""
     date_col, _ = resolve_columns(date_col)
     require_columns(data, [date_col, factor, *factors, weight], "explained_ratio")
-    rows = _residuals(data, factor, list(factors), weight, date_col).where(F.col("_residual").isNotNull())
+    rows = _residuals(data, factor, list(factors), weight, absorb, date_col).where(F.col("_residual").isNotNull())
     y = clean(F.col(factor))
     spread = F.sum(F.col("_w") * F.pow(y - F.col("_ybar"), F.lit(2)))
     left = F.sum(F.col("_w") * F.pow("_residual", F.lit(2)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import ValidationError, require_columns, resolve_columns
-from tidemark.functions.exprs import clean, full_window, ratio
+from tidemark.functions.exprs import clean, full_window, quantiles, ratio
 from tidemark.operators import performance
 
 
@@ -122,11 +122,11 @@ def rolling(returns: DataFrame, metric: str, window: int = 12, benchmark: DataFr
     return out.withColumnRenamed(f"rolling_{metric}", "value")
 
 
-def distribution_marks(returns: DataFrame, *, level: float = 0.05, ret: str = "ret") -> DataFrame:
-    """(mean, value_at_risk): the lines drawn over a histogram of returns."""
+def distribution_marks(returns: DataFrame, *, level: float = 0.05, accuracy: int | None = None, ret: str = "ret") -> DataFrame:
+    """(mean, value_at_risk): the lines drawn over a histogram of returns; ``accuracy`` as in ``value_at_risk``."""
     require_columns(returns, [ret], "distribution_marks")
     x = clean(F.col(ret))
-    return returns.agg(F.avg(x).alias("mean"), F.percentile(x, F.lit(level)).alias("value_at_risk"))
+    return returns.agg(F.avg(x).alias("mean"), quantiles(x, [level], accuracy)[0].alias("value_at_risk"))
 
 
 def with_mean_line(data: DataFrame, *, value: str) -> DataFrame:
