@@ -65,3 +65,19 @@ def test_holding_period(spark):
     rows = [(month_end(m), b, w) for b, ws in (("a", (1, 1, 1, 1)), ("b", (1, 0, 1, 1)), ("c", (0, 0, 0, 0)), ("d", (1, None, None, 1))) for m, w in enumerate(ws)]
     got = by(holdings.average_holding_period(frame(spark, "date date, bid string, weight double", [(d, b, None if w is None else float(w)) for d, b, w in rows])).collect(), "bid", "avg_holding_period")
     assert got == {("a",): 4.0, ("b",): 1.5, ("d",): 1.0}
+
+
+def spelled(spark):
+    """a: months 1-2 and 4-6 (open); b: 1-6 (open, from the start); c: 2-3; d: 5; e: never."""
+    held = {"a": (0, 1, 3, 4, 5), "b": range(6), "c": (1, 2), "d": (4,), "e": ()}
+    return frame(spark, "date date, bid string, weight double", [(month_end(m), i, 0.1 if m in k else 0.0 if m % 2 else None) for i, k in held.items() for m in range(6)])
+
+
+def test_spells_and_their_survival(spark):
+    got = {(r["bid"], r["start"]): tuple(r)[2:] for r in holdings.holding_spells(spelled(spark)).collect()}
+    assert got == {("a", month_end(0)): (month_end(1), 2, True, False), ("a", month_end(3)): (month_end(5), 3, False, True), ("b", month_end(0)): (month_end(5), 6, True, True), ("c", month_end(1)): (month_end(2), 2, False, False), ("d", month_end(4)): (month_end(4), 1, False, False)}
+    rows = [tuple(r) for r in holdings.holding_period_distribution(spelled(spark)).orderBy("periods").collect()]
+    assert rows == [(1, 5, 1, 0, pytest.approx(0.8)), (2, 4, 2, 0, pytest.approx(0.4)), (3, 2, 0, 1, pytest.approx(0.4)), (6, 1, 0, 1, pytest.approx(0.4))]
+    entered = [tuple(r) for r in holdings.holding_period_distribution(spelled(spark), entered=True).orderBy("periods").collect()]
+    assert entered == [(1, 3, 1, 0, pytest.approx(2 / 3)), (2, 2, 1, 0, pytest.approx(1 / 3)), (3, 1, 0, 1, pytest.approx(1 / 3))]
+    assert holdings.holding_period_distribution(spelled(spark).limit(0)).collect() == []

@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 from fixtures import frame, month_end, quantile_panel
 from pyspark.sql import functions as F
@@ -108,3 +111,13 @@ def test_names_that_vanish_have_left(spark):
     panel = quantile_panel(spark).where("not (bid = '00' and month(date) >= 2)")
     turn = by(quantile.quantile_turnover(panel, factor="factor", n_quantiles=2).collect(), "date", "quantile", "turnover")
     assert turn[month_end(1), 1] == pytest.approx(0.2) and turn[month_end(2), 1] == pytest.approx(0.0)
+
+
+def test_standard_errors(spark):
+    x = np.random.default_rng(1).normal(0.01, 0.03, 40)
+    rows = frame(spark, "date date, quantile int, ret double", [(month_end(k), q, float(v) if q == 1 else 0.5) for k, v in enumerate(x) for q in (1, 2)])
+    got = {r["quantile"]: r for r in quantile.quantile_errors(rows, lags=2).collect()}
+    e, n = x - x.mean(), len(x)
+    hac = math.sqrt((e @ e / n + sum(2 * (1 - k / 3) * (e[k:] @ e[:-k]) / n for k in (1, 2))) / n)
+    assert (got[1]["mean"], got[1]["std_error"], got[1]["std_error_nw"]) == pytest.approx((x.mean(), x.std(ddof=1) / math.sqrt(n), hac))
+    assert got[2]["std_error_nw"] is None and got[2]["n_periods"] == 40

@@ -68,3 +68,24 @@ def test_model_validation(spark):
     assert both[10]["realized"] is None and both[11]["ratio"] == pytest.approx(x[:12].std(ddof=1) * math.sqrt(12) / 0.15)
     low, high = risk.bias_confidence_interval(120)
     assert low < r["bias_statistic"] < high
+
+
+def test_scenarios(spark):
+    panel = risk_panel(spark)
+    shocks = frame(spark, "scenario string, factor string, shock double", [("crash", "F1", -0.2), ("crash", "F2", 0.1), ("crash", "F9", 5.0), ("mild", "F1", -0.05), ("mild", "F1", 0.02), ("none", "F2", None)])
+    own = frame(spark, "scenario string, bid string, shock double", [("crash", "a", -0.3), ("crash", "zz", 9.0), ("only", "b", 0.1)])
+    got = by(risk.scenario_returns(panel, shocks, factors=FACTORS, specific_shocks=own).where(F.col("date") == F.lit(month_end(0))).collect(), "scenario", "factor", "contribution")
+    assert got == pytest.approx({("crash", "F1"): -0.12, ("crash", "F2"): 0.04, ("crash", "specific"): -0.15, ("crash", "total"): -0.23, ("mild", "F1"): -0.018, ("mild", "total"): -0.018, ("none", "F2"): 0.0, ("none", "total"): 0.0, ("only", "specific"): 0.03, ("only", "total"): 0.03})
+    active = by(risk.scenario_returns(panel, shocks, factors=FACTORS, benchmark_weight="bench_weight").where(F.col("date") == F.lit(month_end(0))).collect(), "scenario", "factor", "contribution")
+    assert active["crash", "F1"] == pytest.approx(-0.2 * (0.6 - 0.5)) and active["crash", "total"] == pytest.approx(-0.2 * 0.1 + 0.1 * (0.4 - 0.5))
+    with pytest.raises(ValidationError):
+        risk.scenario_returns(panel, shocks.drop("shock"), factors=FACTORS)
+
+
+def test_shocks_of_history(spark):
+    values = {"F1": (0.1, -0.2, 0.05, None, 0.3), "F2": (0.0, 0.01, 0.02, 0.03, 0.04)}
+    rows = frame(spark, "date date, factor string, ret double", [(month_end(k), f, v) for f, vs in values.items() for k, v in enumerate(vs)])
+    windows = frame(spark, "scenario string, start date, end date", [("first two", month_end(0), month_end(1)), ("overlap", month_end(1), month_end(3)), ("empty", month_end(40), month_end(50)), ("backwards", month_end(3), month_end(1)), ("mid month", month_end(0).replace(day=5), month_end(1).replace(day=5)), (None, month_end(0), None)])
+    got = {(r["scenario"], r["factor"]): (r["shock"], r["n_periods"]) for r in risk.historical_shocks(rows, windows).collect()}
+    want = {("first two", "F1"): (1.1 * 0.8 - 1, 2), ("first two", "F2"): (0.01, 2), ("overlap", "F1"): (0.8 * 1.05 - 1, 2), ("overlap", "F2"): (1.01 * 1.02 * 1.03 - 1, 3), ("mid month", "F1"): (0.1, 1), ("mid month", "F2"): (0.0, 1)}
+    assert got.keys() == want.keys() and all(got[k] == (pytest.approx(v[0]), v[1]) for k, v in want.items())

@@ -148,3 +148,36 @@ def average_holding_period(data: DataFrame, *, weight: str = "weight", date_col:
     gap = F.col("t") - F.lag("t").over(Window.partitionBy("_id").orderBy("t"))
     spells = held.withColumn("_new", F.when(gap == 1, 0).otherwise(1))
     return spells.groupBy(F.col("_id").alias(id_col)).agg(ratio(F.count(F.lit(1)), F.sum("_new")).alias("avg_holding_period"))
+
+
+def holding_spells(data: DataFrame, *, weight: str = "weight", date_col: str | None = None, id_col: str | None = None) -> DataFrame:
+    """(id, start, end, periods, open_start, open_end) of each run of the panel's dates on which an id is held.
+
+    ``open_start`` and ``open_end`` tell whether a spell touches the panel's first or last date, so that it may be longer.
+    """
+    date_col, id_col = resolve_columns(date_col, id_col)
+    rows = _weights(data, weight, date_col, id_col)
+    grid = date_grid(rows, date_col=date_col)
+    held = rows.where("_w <> 0").join(grid, date_col).select("_id", "t", date_col).distinct()
+    run = F.col("t") - F.row_number().over(Window.partitionBy("_id").orderBy("t"))
+    spells = held.withColumn("_run", run).groupBy("_id", "_run").agg(F.min("t").alias("_first"), F.max("t").alias("_last"), F.min(date_col).alias("start"), F.max(date_col).alias("end"), F.count(F.lit(1)).alias("periods"))
+    every = spells.crossJoin(F.broadcast(grid.agg(F.max("t").alias("_t"))))  # one row
+    return every.select(F.col("_id").alias(id_col), "start", "end", "periods", (F.col("_first") == 1).alias("open_start"), (F.col("_last") == F.col("_t")).alias("open_end"))
+
+
+def holding_period_distribution(data: DataFrame, *, weight: str = "weight", entered: bool = False, date_col: str | None = None, id_col: str | None = None) -> DataFrame:
+    """(periods, at_risk, closed, censored, survival): how long positions are held, by the product-limit estimate.
+
+    ``at_risk`` spells last ``periods`` or longer, ``closed`` end then, ``censored`` are still open then at the panel's end;
+    ``survival`` is the estimated share of positions held longer. With ``entered`` only spells that begin after the
+    first date count; else those open on it count from there. There is a row for each length that occurs.
+    """
+    spells = holding_spells(data, weight=weight, date_col=date_col, id_col=id_col)
+    if entered:
+        spells = spells.where(~F.col("open_start"))
+    lengths = spells.groupBy("periods").agg(F.count_if(~F.col("open_end")).alias("closed"), F.count_if("open_end").alias("censored"))
+    # as many rows as the panel has dates, at most
+    up, down = Window.partitionBy(F.lit(0)).orderBy("periods"), Window.partitionBy(F.lit(0)).orderBy(F.col("periods").desc())
+    sized = lengths.withColumn("at_risk", F.sum(F.col("closed") + F.col("censored")).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    survival = F.product(1 - ratio(F.col("closed"), F.col("at_risk"))).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    return sized.select("periods", "at_risk", "closed", "censored", survival.alias("survival"))

@@ -156,6 +156,18 @@ def quantile_summary(returns: DataFrame, *, periods_per_year: float | None = Non
     return out.select(by, "mean", "std", "annualized_return", "annualized_volatility", "sharpe_ratio", "max_drawdown", "hit_rate", "t_stat", "t_stat_nw", "n_periods")
 
 
+def quantile_errors(returns: DataFrame, *, lags: int | None = None, by: str = "quantile", date_col: str | None = None) -> DataFrame:
+    """(label, mean, std_error, std_error_nw, n_periods): standard errors of each label's mean return, plain and with
+    Bartlett-weighted autocovariances. NULL under two returns; the second also where its variance is not positive."""
+    date_col, _ = resolve_columns(date_col)
+    require_columns(returns, [date_col, by, "ret"], "quantile_errors")
+    rows = returns.select(date_col, by, clean(F.col("ret")).alias("_r"))
+    x = F.col("_r")
+    at = lambda mu: newey_west(x, F.col(date_col), lags, mu)
+    # t-statistics against 0 and 1 differ by one over the error
+    return rows.groupBy(by).agg(F.avg(x).alias("mean"), ratio(F.stddev_samp(x), F.sqrt(F.count(x).cast("double"))).alias("std_error"), ratio(F.lit(1.0), at(0.0) - at(1.0)).alias("std_error_nw"), F.count(x).alias("n_periods"))
+
+
 def long_short_returns(returns: DataFrame, *, long: int | None = None, short: int | None = None, by: str = "quantile", date_col: str | None = None) -> DataFrame:
     """(date, ret): the long label's return less the short one's, the highest less the lowest present by default."""
     date_col, _ = resolve_columns(date_col)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import ValidationError, require_columns, resolve_columns
-from tidemark.functions.exprs import clean, full_window, ratio, sum0
+from tidemark.functions.exprs import clean, full_window, growth, ratio, sum0
 from tidemark.functions.scalars import bias_confidence_interval  # noqa: F401  part of this module's surface
 from tidemark.sources.panel import with_periods
 
@@ -120,6 +120,47 @@ def factor_return_attribution(data: DataFrame, factor_returns: DataFrame, *, fac
     return parts.unionAll(dated.select(date_col, F.lit("specific").alias("factor"), F.col("_specific").alias("contribution"))) if extra else parts
 
 
+def scenario_returns(data: DataFrame, shocks: DataFrame, *, factors: Sequence[str], weight: str = "weight", benchmark_weight: str | None = None, specific_shocks: DataFrame | None = None, date_col: str | None = None, id_col: str | None = None) -> DataFrame:
+    """(date, scenario, factor, contribution): what each scenario's shocks do to the (active) holdings of each date.
+
+    ``shocks`` is (scenario, factor, shock): a factor's return; a factor without a shock doesn't move, and shocks to other
+    factors count for nothing. ``specific_shocks`` is (scenario, id, shock), returns of assets beyond their factors: they
+    add up to a row ``specific``. A row ``total`` adds up all; shocks to one factor or asset in a scenario add up.
+    """
+    date_col, id_col = resolve_columns(date_col, id_col)
+    factors = list(factors)
+    require_columns(shocks, ["scenario", "factor", "shock"], "shocks")
+    exposures = factor_exposures(data, factors=factors, weight=weight, benchmark_weight=benchmark_weight, date_col=date_col)
+    given = shocks.where(F.col("factor").isin(factors)).groupBy("scenario", "factor").agg(sum0(clean(F.col("shock"))).alias("shock"))
+    # dates times shocks, the result's size
+    parts = exposures.join(given, "factor").select(date_col, "scenario", "factor", (F.col("exposure") * F.col("shock")).alias("contribution"))
+    if specific_shocks is not None:
+        require_columns(specific_shocks, ["scenario", id_col, "shock"], "specific_shocks")
+        require_columns(data, [id_col], "scenario_returns")
+        own = data.select(F.to_date(date_col).alias(date_col), F.col(id_col).alias("_id"), _active(weight, benchmark_weight).alias("_a"))
+        moved = specific_shocks.select("scenario", F.col(id_col).alias("_id"), clean(F.col("shock")).alias("_shock"))
+        parts = parts.unionAll(own.join(moved, "_id").groupBy(date_col, "scenario").agg(sum0(F.col("_a") * F.col("_shock")).alias("contribution")).select(date_col, "scenario", F.lit("specific").alias("factor"), "contribution"))
+    sets = [[F.col(date_col), F.col("scenario"), F.col("factor")], [F.col(date_col), F.col("scenario")]]
+    rolled = parts.groupingSets(sets, F.col(date_col), F.col("scenario"), F.col("factor")).agg(F.sum("contribution").alias("contribution"), F.grouping("factor").alias("_all"))
+    return rolled.select(date_col, "scenario", F.when(F.col("_all") == 1, "total").otherwise(F.col("factor")).alias("factor"), "contribution")
+
+
+def historical_shocks(factor_returns: DataFrame, windows: DataFrame, *, factor: str = "factor", ret: str = "ret", date_col: str | None = None) -> DataFrame:
+    """(scenario, factor, shock, n_periods): factors' returns compounded over each of ``windows`` (scenario, start, end), both ends included.
+
+    A window without returns gives no rows; one that ends before it starts is empty. Returns meet windows by month, and
+    the days are compared then, so that neither side is crossed with the other, however many windows there are.
+    """
+    date_col, _ = resolve_columns(date_col)
+    require_columns(factor_returns, [date_col, factor, ret], "factor_returns")
+    require_columns(windows, ["scenario", "start", "end"], "windows")
+    rows = factor_returns.select(F.to_date(date_col).alias("_day"), F.trunc(F.to_date(date_col), "month").alias("_month"), F.col(factor).alias("factor"), clean(F.col(ret)).alias("_r"))
+    spans = windows.select("scenario", F.to_date("start").alias("_from"), F.to_date("end").alias("_to")).where("_from <= _to")
+    months = spans.withColumn("_month", F.explode(F.sequence(F.trunc("_from", "month"), F.trunc("_to", "month"), F.expr("interval 1 month"))))
+    inside = rows.join(months, "_month").where(F.col("_day").between(F.col("_from"), F.col("_to")) & F.col("_r").isNotNull())
+    return inside.groupBy("scenario", "factor").agg((growth(F.col("_r")) - 1).alias("shock"), F.count("_r").alias("n_periods"))
+
+
 def _standardized(realized: DataFrame, predicted: DataFrame, periods_per_year: float | None, annualized: bool, ret: str, risk: str, date_col: str) -> DataFrame:
     """(date, _z): realised return over the period's predicted risk, on the dates both have."""
     require_columns(realized, [date_col, ret], "realized")
