@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.exprs import ratio
 from tidemark.sources.panel import date_grid
 
+#: Shocks to factors, and historical windows, of the demonstration's scenarios; fixed values.
+SHOCKS = (("value crash", "F1", -0.2), ("value crash", "F2", 0.05), ("size rally", "F2", 0.1), ("size rally", "F3", -0.02))
+WINDOWS = (("1994", "1994-01-01", "1994-12-31"), ("turn", "1995-06-30", "1996-02-10"), ("before", "1980-01-01", "1980-12-31"))
 #: Factors of the demonstration's risk model, their covariances (one half) and yearly-constant specific risk; fixed values.
 FACTORS = ("F1", "F2", "F3")
 COVARIANCE = (("F1", "F1", 0.04), ("F1", "F2", 0.01), ("F1", "F3", -0.005), ("F2", "F2", 0.09), ("F2", "F3", 0.002), ("F3", "F3", 0.0225))
@@ -37,6 +40,19 @@ class Demo:
         nation = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("sector"))
         return self.table("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("bid"), "sector")
 
+    @cached_property
+    def countries(self) -> DataFrame:
+        """(bid, country): the level within a sector."""
+        nation = self.table("nation").select("n_nationkey", F.col("n_name").alias("country"))
+        return self.table("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("bid"), "country")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """(date, order, line, price, quantity, part): a year's order lines as a cross-section with thousands of classes."""
+        year = F.make_date(F.year("l_shipdate"), F.lit(1), F.lit(1))
+        price = F.round(F.col("l_extendedprice") * 100) / 100000
+        return self.table("lineitem").select(year.alias("date"), F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), price.alias("price"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_partkey").cast("string").alias("part"))
+
     @cached_property
     def panel(self) -> DataFrame:
         """date, bid, factor (missing for every tenth id), factor2, ret, fwd_ret, fwd_ret_2, weight, bench_weight, sector, size, F1-F3, specific_risk."""
@@ -58,6 +74,29 @@ class Demo:
         later = {"fwd_ret": F.when(at(1) == F.col("t") + 1, ret(1)), "fwd_ret_2": F.when(at(1) == F.col("t") + 2, ret(1)).when(at(2) == F.col("t") + 2, ret(2))}
         return dated.withColumns(later).select("date", "bid", "factor", "factor2", "ret", "fwd_ret", "fwd_ret_2", "weight", "bench_weight", "sector", "size", *FACTORS, "specific_risk")
 
+    @cached_property
+    def nested(self) -> DataFrame:
+        """The panel with ``country`` within ``sector``."""
+        return self.panel.join(self.countries, "bid")
+
+    @cached_property
+    def traded(self) -> DataFrame:
+        """The panel's dates and ids; weights under half a percent, and every tenth id's, are sold."""
+        return self.panel.select("date", "bid", F.when((F.col("weight") > 0.5 / 100) & (F.col("bid") % 10 != 0), F.col("weight")).alias("weight"))
+
+    @cached_property
+    def shocks(self) -> DataFrame:
+        return self.spark.createDataFrame(SHOCKS, "scenario string, factor string, shock double")
+
+    @cached_property
+    def specific_shocks(self) -> DataFrame:
+        """Every seventh supplier loses a tenth."""
+        return self.table("supplier").where("s_suppkey % 7 = 0").select(F.lit("value crash").alias("scenario"), F.col("s_suppkey").alias("bid"), F.lit(-0.1).alias("shock"))
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        return self.spark.createDataFrame(WINDOWS, "scenario string, start string, end string")
+
     @cached_property
     def series(self) -> DataFrame:
         """(date, ret, bench): the portfolio's and the benchmark's monthly returns."""

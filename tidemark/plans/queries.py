@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions import scalars
-from tidemark.operators import attribution, holdings, performance, quantile, risk, signals, stats
+from tidemark.operators import attribution, holdings, performance, quantile, risk, signals, sketches, stats
 from tidemark.plans import chart_data
-from tidemark.plans.demo import COVARIANCE, FACTORS, SPECIFIC_RISK, Demo
+from tidemark.plans.demo import COVARIANCE, FACTORS, SHOCKS, SPECIFIC_RISK, WINDOWS, Demo
 from tidemark.sources import panel as panels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +174,50 @@ def _(x: Demo) -> DataFrame:
     return signals.neutralize(x.panel, factor="factor", by=["sector", "size"]).select("date", "bid", "factor_neutral")
 
 
+_LINES = "ln as (select make_date(year(l_shipdate), 1, 1) as date, l_orderkey as o, l_linenumber as line, round(l_extendedprice * 100) / 100000 as y, l_quantity::double as x, l_partkey as k from lineitem)"
+_WITHIN = f"""{_LINES}, lw as (select *, y - avg(y) over g as dy, x - avg(x) over g as dx from ln window g as (partition by date, k)),
+ sz as (select date, count(*) > 2 + count(distinct k) as enough, sum(dx * dy) / nullif(sum(dx * dx), 0) as b, avg(y) as m from lw group by date),
+ lr as (select l.*, case when enough then dy - coalesce(b, 0) * dx end as res, m from lw l join sz using (date))"""
+
+
+@query("s4_neutralize_many_classes", f"with {_WITHIN} select cast(date as varchar) as date, o as \"order\", line, round(res, 9) + 0.0 as price_neutral from lr", digits=6)
+def _(x: Demo) -> DataFrame:
+    return signals.neutralize(x.lines, factor="price", by=["quantity", "part"], absorb=True).select("date", "order", "line", "price_neutral")
+
+
+@query("s8_explained_ratio_many_classes", f"with {_WITHIN} select cast(date as varchar) as date, round(1 - sum(res * res) / sum(pow(y - m, 2)), 9) + 0.0 as r_squared from lr where res is not null group by date")
+def _(x: Demo) -> DataFrame:
+    return signals.explained_ratio(x.lines, factor="price", factors=["quantity", "part"], absorb="part")
+
+
+@query("s7_factor_exposure_many_classes", f"with {_WITHIN} select cast(date as varchar) as date, 'quantity' as term, round(b, 9) + 0.0 as coef from sz where enough", digits=6)
+def _(x: Demo) -> DataFrame:
+    return signals.factor_exposure(x.lines, factor="price", factors=["quantity", "part"], absorb=True, levels=False)
+
+
+def _disc(x: str, p: float, over: str) -> str:
+    """The value at rank ceil(p n) of its partition, from columns ``rn`` and ``n``."""
+    return f"max(case when rn = greatest(ceil({p} * n), 1) then {x} end){over}"
+
+
+@query("s1_winsorize_sketched", _select("@date; bid; ~" + _CLIP.format("factor", "lo", "hi") + " as factor_winsorized", f"(select *, {_disc('factor', 0.05, ' over (partition by date)')} lo, {_disc('factor', 0.95, ' over (partition by date)')} hi from (select *, row_number() over (partition by date order by factor nulls last) rn, count(factor) over (partition by date) n from panel))"))
+def _(x: Demo) -> DataFrame:
+    return signals.winsorize(x.panel, factor="factor", lower=0.05, upper=0.95, accuracy=10_000).select("date", "bid", "factor_winsorized")
+
+
+# a sketch's ranks against its stated error, from the values themselves
+@query("s6_sketched_quantiles", _select("@date; n; true as within", "(select date, count(factor) as n from panel group by date) where n > 0"))
+def _(x: Demo) -> DataFrame:
+    by_sector = sketches.quantile_sketches(x.panel, value="factor", by=("date", "sector"))
+    found = sketches.sketch_quantiles(sketches.merged_sketches(by_sector, by=("date",)), {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    rows = x.panel.select("date", "factor").where("factor is not null").join(found, "date")
+    at = lambda n: (F.avg((F.col("factor") < F.col(n)).cast("double")), F.avg((F.col("factor") <= F.col(n)).cast("double")))
+    ranks = rows.groupBy("date").agg(F.max("n").alias("n"), *(c.alias(f"{n}_{i}") for n in ("p10", "p50", "p90") for i, c in enumerate(at(n))))
+    error = sketches.rank_error()
+    ok = [(F.col(f"{n}_0") <= q + error) & (F.col(f"{n}_1") >= q - error) for n, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))]
+    return ranks.select("date", "n", (ok[0] & ok[1] & ok[2]).alias("within"))
+
+
 @query("s5_coverage", _select("@date; count(factor) as n_valid; any_value(u) as n_total; ~1 - count(factor) / count(*)::double as missing_rate; ~count(factor) / any_value(u)::double as coverage_rate", "panel, (select count(*) u from supplier) group by date"))
 def _(x: Demo) -> DataFrame:
     every = x.months.crossJoin(x.sectors.select("bid"))  # the universe of a month is every supplier
@@ -274,6 +318,11 @@ def _(x: Demo) -> DataFrame:
     return quantile.quantile_summary(quantile.quantile_returns(x.panel, **_QUANTILE_RETURNS))
 
 
+@query("q7_quantile_errors", _select("quantile; ~avg(ret) as mean; ~stddev_samp(ret) / sqrt(count(ret)) as std_error; ~abs(avg(ret) / nullif(any_value(t_stat_nw), 0)) as std_error_nw; count(ret) as n_periods", "qr join nw using (quantile) group by quantile", more=f"{_QR}, {_newey_west('qr', 'quantile', 'ret')}"))
+def _(x: Demo) -> DataFrame:
+    return quantile.quantile_errors(quantile.quantile_returns(x.panel, **_QUANTILE_RETURNS))
+
+
 @query("q8_long_short_returns", _select("@date; ~max(case when quantile = 5 then ret end) - max(case when quantile = 1 then ret end) as ret", "qr group by date", more=_QR))
 def _(x: Demo) -> DataFrame:
     return quantile.long_short_returns(quantile.quantile_returns(x.panel, **_QUANTILE_RETURNS))
@@ -379,6 +428,19 @@ def _(x: Demo) -> DataFrame:
     return holdings.average_holding_period(x.panel)
 
 
+_SPELLS = "sl as (select bid, min(t) as f, max(t) as l, min(date) as s, max(date) as e, count(*) as p from (select h.*, t - row_number() over (partition by bid order by t) as run from (select date, bid, t from panel join grid using (date, t) where weight > 0.5 / 100 and bid % 10 <> 0) h) group by bid, run), tm as (select max(t) as tm from grid)"
+
+
+@query("h10_holding_spells", _select('bid; @s as start; @e as "end"; p as periods; f = 1 as open_start; l = tm as open_end', "sl, tm", more=_SPELLS))
+def _(x: Demo) -> DataFrame:
+    return holdings.holding_spells(x.traded)
+
+
+@query("h11_holding_period_distribution", _select("p as periods; r as at_risk; c::bigint as closed; o::bigint as censored; ~product(1 - c / r::double) over (order by p) as survival", "(select p, sum(c) over (order by p desc)::bigint + sum(o) over (order by p desc)::bigint as r, c, o from (select p, count_if(l < tm) as c, count_if(l = tm) as o from sl, tm group by p))", more=_SPELLS))
+def _(x: Demo) -> DataFrame:
+    return holdings.holding_period_distribution(x.traded)
+
+
 # ---- performance ----------------------------------------------------------------------------------------------------------
 
 
@@ -450,7 +512,9 @@ _SEG = "seg as (select date, sector as segment, sum(weight) wp, sum(bench_weight
 _EFF = f"{_SEG}, eff as (select date, segment, (wp - wb) * (rb - sum(wb * rb) over (partition by date)) as allocation, wb * (rp - rb) as selection, (wp - wb) * (rp - rb) as interaction from seg), tot as (select date, sum(wp * rp) as p, sum(wb * rb) as b from seg group by date)"
 _LINK = f"""{_EFF}, lk as (select *, product(1 + p) over () - 1 as tp, product(1 + b) over () - 1 as tb, coalesce(product(1 + p) over (order by date rows between unbounded preceding and 1 preceding), 1) as past,
  coalesce(product(1 + b) over (order by date rows between 1 following and unbounded following), 1) as later, product(1 + b) over (order by date rows unbounded preceding) as grown, coalesce(product(1 + b) over (order by date rows between unbounded preceding and 1 preceding), 1) as grown0 from tot),
- lf as (select *, (case when abs(p - b) < 1e-12 then 1 / (1 + p) else (ln(1 + p) - ln(1 + b)) / (p - b) end) / (case when abs(tp - tb) < 1e-12 then 1 / (1 + tp) else (ln(1 + tp) - ln(1 + tb)) / (tp - tb) end) as carino, past * later as grap from lk)"""
+ mm as (select count(*)::double as n, product(1 + p) - 1 as tp, product(1 + b) - 1 as tb, sum(p - b) as s1, sum(pow(p - b, 2)) as s2 from tot),
+ mc as (select *, case when abs(tp - tb) < 1e-12 then pow(1 + tp, (n - 1) / n) else (tp - tb) / n / (pow(1 + tp, 1 / n) - pow(1 + tb, 1 / n)) end as m from mm),
+ lf as (select lk.*, (select m + coalesce((tp - tb - m * s1) / nullif(s2, 0), 0) * (p - b) from mc) as menchero, (case when abs(p - b) < 1e-12 then 1 / (1 + p) else (ln(1 + p) - ln(1 + b)) / (p - b) end) / (case when abs(tp - tb) < 1e-12 then 1 / (1 + tp) else (ln(1 + tp) - ln(1 + tb)) / (tp - tb) end) as carino, past * later as grap from lk)"""
 _NAMES = ("allocation", "selection", "interaction")
 _metric("a1_aggregate_segments", _select("@date; segment; ~wp; ~wb; ~rp; ~rb", "seg", more=_SEG), lambda x: attribution.aggregate_segments(x.panel, **_SEGMENTS))
 _metric("a2_brinson", _select("@date; segment; ~allocation; ~selection; ~interaction", "eff", more=_EFF), lambda x: attribution.brinson(x.panel, **_SEGMENTS))
@@ -466,12 +530,22 @@ def _linked(method: str) -> Callable[[Demo], DataFrame]:
     return run
 
 
-for _m in ("carino", "grap"):
+for _m in ("carino", "grap", "menchero"):
     _metric(f"a5_link_{_m}", _select("@date; segment; " + "; ".join(f"~{n} * {_m} as {n}" for n in _NAMES), "eff join lf using (date)", more=_LINK), _linked(_m))
 _metric("a5_link_frongello", _select("@date; segment; " + "; ".join(f"~{n} * past + b * grown0 * coalesce(sum({n} * past / grown) over w, 0) as {n}" for n in _NAMES), "fu window w as (partition by segment order by date rows between unbounded preceding and 1 preceding)", more=f"{_LINK}, fu as (select l.*, s.segment, coalesce(allocation, 0) allocation, coalesce(selection, 0) selection, coalesce(interaction, 0) interaction from lf l cross join (select distinct segment from eff) s left join eff using (date, segment))"), _linked("frongello"))
 _metric("a5_link_simple", _select("@date; segment; ~allocation; ~selection; ~interaction", "eff", more=_EFF), _linked("simple"))
 _metric("a6_brinson_summary", _select("case when grouping(segment) = 1 then 'Total' else segment end as segment; " + "; ".join(f"~sum({n} * carino) as {n}" for n in _NAMES) + "; ~sum((allocation + selection + interaction) * carino) as total", "eff join lf using (date) group by rollup (segment)", more=_LINK), lambda x: attribution.brinson_summary(x.panel, **_SEGMENTS))
 
+_NESTED = {"path": ["sector", "country"]}
+_TREE = """lv as (select date, sector, n_name as country, weight wp, bench_weight wb, ret r from panel join supplier on s_suppkey = bid join nation on n_nationkey = s_nationkey),
+ tr as (select date, case when grouping(country) = 1 then 1 else 2 end as level, case when grouping(country) = 1 then sector else sector || ' > ' || country end as segment, case when grouping(country) = 1 then '' else sector end as parent, sum(wp) wp, sum(wb) wb,
+  coalesce(sum(wp * r) / nullif(sum(wp), 0), 0) rp, coalesce(sum(wb * r) / nullif(sum(wb), 0), 0) rb from lv group by grouping sets ((date, sector), (date, sector, country))),
+ te as (select date, level, segment, case when level = 1 then (wp - wb) * (rb - sum(wb * rb) over w) else (wp - coalesce(wb * sum(wp) over w / nullif(sum(wb) over w, 0), 0)) * (rb - coalesce(sum(wb * rb) over w / nullif(sum(wb) over w, 0), 0)) end as allocation,
+  case when level = 2 then wb * (rp - rb) else 0 end as selection, case when level = 2 then (wp - wb) * (rp - rb) else 0 end as interaction from tr window w as (partition by date, level, parent))"""
+_metric("a7_nested_segments", _select("@date; level::bigint as level; segment; parent; ~wp; ~wb; ~rp; ~rb", "tr", more=_TREE), lambda x: attribution.nested_segments(x.nested, **_NESTED))
+_metric("a7_nested_effects", _select("@date; level::bigint as level; segment; ~allocation; ~selection; ~interaction", "te", more=_TREE), lambda x: attribution.nested_effects(attribution.nested_segments(x.nested, **_NESTED)))
+_metric("a7_nested_brinson", _select("case when grouping(segment) = 0 then any_value(level)::bigint end as level; case when grouping(segment) = 1 then 'Total' else segment end as segment; " + "; ".join(f"~sum({n} * menchero) as {n}" for n in _NAMES) + "; ~sum((allocation + selection + interaction) * menchero) as total", "te join lf using (date) group by rollup (segment)", more=f"{_LINK}, {_TREE}"), lambda x: attribution.nested_brinson(x.nested, **_NESTED, method="menchero"))
+
 # ---- risk -------------------------------------------------------------------------------------------------------------------
 
 _MODEL = {"factors": list(FACTORS), "benchmark_weight": "bench_weight"}
@@ -483,16 +557,24 @@ _metric("r3_factor_risk_contribution", _select("@date; factor; ~exposure; ~mctr;
 _metric("r3_factor_risk_contribution_grouped", _select("@date; factor; cast(null as double) as exposure; cast(null as double) as mctr; ~cctr; ~cctr / sigma as pct_of_total", "(select date, case when factor in ('F1', 'F2') then 'style' else factor end as factor, sum(x * fx / sigma) as cctr, any_value(sigma) as sigma from rk group by 1, 2 union all select date, 'specific', any_value(s2) / any_value(sigma), any_value(sigma) from rk group by date)", more=_EXP), lambda x: risk.factor_risk_contribution(x.panel, x.covariance, factor_groups={"F1": "style", "F2": "style"}, **_MODEL))
 _FR = "fr as (" + " union all ".join(f"select date, '{f}' as factor, avg({f} * ret) as f from panel group by date" for f in FACTORS) + ")"
 _metric("r4_factor_return_attribution", _select("@date; factor; ~contribution", "(select date, factor, x * f as contribution from ex join fr using (date, factor) union all select date, 'specific', sum((weight - bench_weight) * ret) from panel group by date)", more=f"{_EXP}, {_FR}"), lambda x: risk.factor_return_attribution(x.panel, x.factor_returns, specific_return="ret", **_MODEL))
+_SHOCKED = "sh as (select * from (values " + ", ".join(f"('{a}', '{b}', {v}::double)" for a, b, v in SHOCKS) + ") as s(scenario, f, shock))"
+_metric("r9_scenario_returns", _select("@date; scenario; case when grouping(f) = 1 then 'total' else f end as factor; ~sum(c) as contribution", "(select date, scenario, f, x * shock as c from ex join sh on f = factor union all select date, 'value crash', 'specific', sum((weight - bench_weight) * -0.1) from panel where bid % 7 = 0 group by date) group by grouping sets ((date, scenario, f), (date, scenario))", more=f"{_EXP}, {_SHOCKED}"), lambda x: risk.scenario_returns(x.panel, x.shocks, specific_shocks=x.specific_shocks, **_MODEL))
+_WINDOWED = "wd as (select * from (values " + ", ".join(f"('{a}', date '{b}', date '{c}')" for a, b, c in WINDOWS) + ") as w(scenario, s, e))"
+_metric("r10_historical_shocks", _select("scenario; factor; ~product(1 + f) - 1 as shock; count(f) as n_periods", "fr join wd on date between s and e where f is not null group by scenario, factor", more=f"{_FR}, {_WINDOWED}"), lambda x: risk.historical_shocks(x.factor_returns, x.windows))
 _ZS = "zs as (select date, ret, 0.01 + month(date) / 1000.0::double as p, ret / ((0.01 + month(date) / 1000.0::double) / sqrt(12)) as z from series)"
 _metric("r5_bias_statistic", _select("~stddev_samp(z) as bias_statistic; count(z) as n_periods", "zs", _SERIES, _ZS), lambda x: risk.bias_statistic(x.series, x.predicted))
 _metric("r6_rolling_bias_statistic", _select("@date; ~case when count(z) over w = 12 then stddev_samp(z) over w end as bias_statistic", "zs window w as (order by date rows 11 preceding)", _SERIES, _ZS), lambda x: risk.rolling_bias_statistic(x.series, x.predicted, 12))
 _metric("r8_realized_vs_predicted", _select("@date; ~p as predicted; ~case when count(ret) over w = 12 then stddev_samp(ret) over w * sqrt(12) end as realized; ~case when count(ret) over w = 12 then stddev_samp(ret) over w * sqrt(12) end / p as ratio", "zs window w as (order by date rows 11 preceding)", _SERIES, _ZS), lambda x: risk.realized_vs_predicted(x.series, x.predicted))
 
 
-@query("r7_bias_confidence_interval", "select 60::bigint as n, round(1 - 1.96 / sqrt(120), 9) as lower, round(1 + 1.96 / sqrt(120), 9) as upper")
+def _months(x: Demo) -> int:
+    return x.months.count()
+
+
+@query("r7_bias_confidence_interval", _select("count(*) as n; ~1 - 1.96 / sqrt(2 * count(*)) as lower; ~1 + 1.96 / sqrt(2 * count(*)) as upper", "grid"))
 def _(x: Demo) -> DataFrame:
-    lower, upper = scalars.bias_confidence_interval(60)
-    return x.spark.range(1).select(F.lit(60).cast("bigint").alias("n"), F.lit(lower).alias("lower"), F.lit(upper).alias("upper"))
+    lower, upper = scalars.bias_confidence_interval(_months(x))
+    return x.months.agg(F.count(F.lit(1)).alias("n")).withColumns({"lower": F.lit(lower), "upper": F.lit(upper)})
 
 
 # ---- stats ------------------------------------------------------------------------------------------------------------------
@@ -507,6 +589,20 @@ _ONE_BLOCK = {"block_length": 1_000_000, "n_boot": 1_200}
 _metric("t4_bootstrap_distribution_one_block", _select("i as boot_id; ~sr as value", "(select avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) as sr from series), range(1200) as r(i)", _SERIES), lambda x: stats.bootstrap_distribution(x.series, statistic="sharpe_ratio", **_ONE_BLOCK))
 _metric("t5_bootstrap_ci_one_block", _select("~avg(ret) as lower; ~avg(ret) as upper", "series", _SERIES), lambda x: stats.bootstrap_ci(x.series, **_ONE_BLOCK))
 _metric("t6_bootstrap_pvalue_one_block", _select("~case when avg(ret) = 1 then 1.0 else 0.0 end as p_value", "series", _SERIES), lambda x: stats.bootstrap_pvalue(x.series, null_value=1.0, **_ONE_BLOCK))
+_COUNTED = f"""sr as (select series, date, ret, row_number() over (partition by series order by date) - 1 as pos, count(*) over (partition by series) as n from two where ret is not null),
+ sn as (select series, any_value(n) as n, round_even(pow(any_value(n), 1.0 / 3), 0)::bigint as w from sr group by series),
+ bl as (select series, n, w, boot_id, unnest(range(0, ceil(n / w::double)::bigint)) as block from sn, (select unnest(range(0, {{n}})) as boot_id)),
+ bs as (select series, n, w, boot_id, block, ('0x' || substr(md5('{{seed}}:' || boot_id || ':' || block), 1, 15))::bigint % (n - w + 1) as start, least(w, n - block * w) as length from bl),
+ bv as (select bs.series, boot_id, ret from bs join sr on sr.series = bs.series and pos >= start and pos < start + length),
+ bd as (select series, boot_id, avg(ret) as mean, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) as sharpe from bv group by 1, 2)"""
+_COUNTER = {"stream": "counter", "by": "series"}
+_metric("t4_bootstrap_starts", _select("series; boot_id; block; start; length", "bs", _SERIES, _COUNTED.format(n=200, seed=11)), lambda x: stats.bootstrap_starts(x.two_series, n_boot=200, seed=11, by="series"))
+_metric("t4_bootstrap_distribution_counter", _select("series; boot_id; ~sharpe as value", "bd", _SERIES, _COUNTED.format(n=2000, seed=1)), lambda x: stats.bootstrap_distribution(x.two_series, statistic="sharpe_ratio", n_boot=2000, seed=1, **_COUNTER))
+_metric("t5_bootstrap_ci_counter", _select("series; ~quantile_cont(mean, 0.025) as lower; ~quantile_cont(mean, 0.975) as upper", "bd group by series", _SERIES, _COUNTED.format(n=10_000, seed=0)), lambda x: stats.bootstrap_ci(x.two_series, **_COUNTER))
+_metric("t6_bootstrap_pvalue_counter", _select("series; ~least(1, 2 * case when median(mean) > -0.0002 then count_if(mean <= -0.0002) else count_if(mean >= -0.0002) end / count(*)::double) as p_value", "bd group by series", _SERIES, _COUNTED.format(n=10_000, seed=0)), lambda x: stats.bootstrap_pvalue(x.two_series, null_value=-0.0002, **_COUNTER))
+_MONOTONE = f"""{_QR}, qf as (select * from qr where date in (select date from qr group by date having count(*) = (select count(distinct quantile) from qr))),
+ two as (select a.date, a.quantile as series, b.ret - a.ret as ret from qf a join qf b on b.date = a.date and b.quantile = a.quantile + 1)"""
+_metric("t14_monotonic_relation", _select("any_value(n) as n_periods; any_value(k) + 1 as n_labels; ~any_value(j) as statistic; ~avg((least > j)::int) as p_value", "(select boot_id, min(d.mean - m.mean) as least from bd d join me m using (series) group by boot_id), (select min(mean) as j, count(*) as k from me), (select any_value(n) as n from sn)", more=f"{_MONOTONE}, {_COUNTED.format(n=1000, seed=0)}, me as (select series, avg(ret) as mean from two group by series)"), lambda x: stats.monotonic_relation(quantile.quantile_returns(x.panel, **_QUANTILE_RETURNS)))
 _PARTS = f"pa as (select ntile(4) over (order by date) as split, date, ret from series), ps as (select split, min(date) as lo, max(date) as hi, count(*) as n, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) as s, {_T.format('ret')} as t from pa group by split)"
 _metric("t7_subsample", _select('split; @lo as start; @hi as "end"; n as n_periods; ~s as sharpe_ratio; ~t as t_stat', "ps", _SERIES, _PARTS), lambda x: stats.subsample(x.series, n_splits=4, statistic="sharpe_ratio"))
 _metric("t8_stability", _select("~count_if(sign(s) = sign(o)) / count(s)::double as sign_agreement; ~count_if(s > 0) / count(s)::double as positive_ratio; ~stddev_samp(s) / nullif(abs(avg(s)), 0) as dispersion; ~min(s) as min; ~max(s) as max", "ps, (select avg(ret) / nullif(stddev_samp(ret), 0) as o from series)", _SERIES, _PARTS), lambda x: stats.stability(x.series, statistic="sharpe_ratio"))
@@ -536,9 +632,9 @@ _TRIALS = "(select var_samp(v) from (values (-1.0::double), (-0.5), (0.1), (0.4)
 _metric("t13_deflated_sharpe_ratio", _psr("select e from em", "dsr", _expected_max(4, _TRIALS) + ", "), lambda x: stats.deflated_sharpe_ratio(x.two_series, trials=[-1.0, -0.5, 0.1, 0.4], **_BOTH))
 
 
-@query("t12_expected_max_sharpe", f"with recursive {_expected_max(100, '0.25')} select round(e, 9) + 0.0 as expected_max_sharpe from em")
+@query("t12_expected_max_sharpe", f"with recursive {_PANEL}, {_expected_max('(select count(*) from grid)', '0.25')} select round(e, 9) + 0.0 as expected_max_sharpe, (select count(*) from grid) as n_trials from em")
 def _(x: Demo) -> DataFrame:
-    return x.spark.range(1).select(F.lit(scalars.expected_max_sharpe(100, variance=0.25)).alias("expected_max_sharpe"))
+    return x.months.agg(F.count(F.lit(1)).alias("n_trials")).withColumn("expected_max_sharpe", F.lit(scalars.expected_max_sharpe(_months(x), variance=0.25)))
 
 
 # ---- chart data -------------------------------------------------------------------------------------------------------------
@@ -578,9 +674,11 @@ def _(x: Demo) -> DataFrame:
         config.set_columns(date="date", id="bid")
 
 
-@query("c2_resolve_columns", "select * from (values ('date', 'bid'), ('day', 'bid'), ('date', 'asset')) as t(date_col, id_col)")
+@query("c2_resolve_columns", _select("d as date_col; i as id_col; n", "(select 'date' as d, 'bid' as i, count(distinct date) as n from panel union all select 'day', 'bid', count(distinct date) from panel union all select 'date', 'asset', count(distinct date) from panel)"))
 def _(x: Demo) -> DataFrame:
-    return x.spark.createDataFrame([config.resolve_columns(), config.resolve_columns("day"), config.resolve_columns(id_col="asset")], "date_col string, id_col string")
+    named = [config.resolve_columns(), config.resolve_columns("day"), config.resolve_columns(id_col="asset")]
+    counts = [x.panel.withColumnsRenamed({"date": d, "bid": i}).agg(F.count_distinct(d).alias("n")).select(F.lit(d).alias("date_col"), F.lit(i).alias("id_col"), "n") for d, i in named]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2])
 
 
 def _raised(check: Callable[[], object]) -> str | None:
@@ -591,9 +689,13 @@ def _raised(check: Callable[[], object]) -> str | None:
     return None
 
 
-@query("c5_require_columns", "select * from (values ('date,bid', false), ('date,nope', true)) as t(columns, raised)")
+@query("c5_require_columns", _select("c as columns; r as raised; n", "(select 'date,bid' as c, false as r, count(*) as n from panel union all select 'date,nope', true, 0)"))
 def _(x: Demo) -> DataFrame:
-    return x.spark.createDataFrame([(names, _raised(lambda n=names: config.require_columns(x.panel, n.split(","))) is not None) for names in ("date,bid", "date,nope")], "columns string, raised boolean")
+    def rows(names: str) -> DataFrame:
+        missing = _raised(lambda: config.require_columns(x.panel, names.split(","))) is not None
+        return x.panel.where(F.lit(not missing)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(names).alias("columns"), F.lit(missing).alias("raised"), "n")
+
+    return rows("date,bid").unionAll(rows("date,nope"))
 
 
 @query("c6_check_duplicates_raises", "select sum(n)::bigint as n_rows from (select count(*) as n from lineitem group by l_orderkey) where n > 1")
@@ -608,16 +710,22 @@ def _(x: Demo) -> DataFrame:
     return panels.resolve_periods_per_year(days, 4.0).select(F.lit("given").alias("name"), "periods_per_year").unionAll(panels.resolve_periods_per_year(days).select(F.lit("inferred"), "periods_per_year"))
 
 
-@query("c9_volatility_scale", "select p::double as periods_per_year, round(sqrt(p), 9) + 0.0 as scale from (values (1), (4), (12), (52), (252)) as t(p)")
+@query("c9_volatility_scale", f"with o as (select cast(o_orderdate as date) as date from orders), l as (select last_day(cast(l_shipdate as date)) as date from lineitem), p as (select 'orders' as name, cast({_P.format('o')} as double) as p union all select 'lineitem', cast({_P.format('l')} as double)) select name, p as periods_per_year, round(sqrt(p), 9) + 0.0 as scale from p")
 def _(x: Demo) -> DataFrame:
-    return x.spark.createDataFrame([(float(p), scalars.volatility_scale(p)) for p in (1, 4, 12, 52, 252)], "periods_per_year double, scale double")
+    found = panels.infer_periods_per_year(x.table("orders").select(F.to_date("o_orderdate").alias("date"))).select(F.lit("orders").alias("name"), "periods_per_year")
+    found = found.unionAll(panels.infer_periods_per_year(x.months).select(F.lit("lineitem"), "periods_per_year"))
+    known = F.create_map(*(F.lit(v) for p in sorted({p for _, p in panels.FREQUENCIES}) for v in (p, scalars.volatility_scale(p))))
+    return found.withColumn("scale", known[F.col("periods_per_year")])
 
 
-@query("q15_quantile_labels", "select i as at, case when i = 6 then 'NA' else 'Q' || i end as label from range(1, 7) as r(i)")
+@query("q15_quantile_labels", _select("quantile as at; case when quantile = 0 then 'NA' else 'Q' || quantile end as label; count(*) as n", f"(select date, q as quantile from (select *, {_quantile('factor', missing=True)} from panel) where q is not null) group by quantile"))
 def _(x: Demo) -> DataFrame:
-    return x.spark.createDataFrame(list(enumerate(quantile.quantile_labels(5, include_missing=True), 1)), "at long, label string")
+    names = quantile.quantile_labels(5, include_missing=True)
+    label = F.element_at(F.array(*(F.lit(n) for n in names)), F.when(F.col("quantile") == 0, len(names)).otherwise(F.col("quantile")))
+    assigned = quantile.assign_quantiles(x.panel, factor="factor", missing_class=True).where("quantile is not null")
+    return assigned.groupBy("quantile").agg(F.count(F.lit(1)).alias("n")).select(F.col("quantile").alias("at"), label.alias("label"), "n")
 
 
-@query("t2_newey_west_lags", "select n::bigint as n, floor(4 * pow(n / 100.0, 2.0 / 9))::bigint as lags from (values (1), (50), (100), (120), (1000), (100000)) as t(n)")
+@query("t2_newey_west_lags", _select("count(*) as n; floor(4 * pow(count(*) / 100.0, 2.0 / 9))::bigint as lags", "grid"))
 def _(x: Demo) -> DataFrame:
-    return x.spark.createDataFrame([(n, stats.newey_west_lags(n)) for n in (1, 50, 100, 120, 1000, 100000)], "n long, lags long")
+    return x.months.agg(F.count(F.lit(1)).alias("n")).withColumn("lags", F.lit(scalars.newey_west_lags(_months(x))).cast("bigint"))
