@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.store import dropped, stored
 
-#: Words of a shard, about; a shard is closed by the first text that reaches it. More words combine more counts in a task
-#: and need more memory: about 100 bytes a word.
-SHARD_WORDS = 1 << 20
+#: Words that a task holds, about: the slice of texts that reaches it closes a shard, of the language with most of them.
+#: More words combine more counts in a task and need more memory: about 15 bytes a word held, and 100 in the shard at work.
+SHARD_WORDS = 1 << 21
 #: Bytes of texts that are cut into words at once.
 _SLICE = 8 << 20
 #: Pairs of words are told apart by so many bits of a hash when rare ones are sought: 2^27 bits are 16 MB.
@@ -39,11 +39,11 @@ _BREAK = np.isin(_BYTES, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 _INSIDE = ~(_GAP | _BREAK)
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of all words in a row, their lengths, whether a word begins a piece, its text's number) of binary texts."""
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all words in a row, their lengths, whether a word begins a piece) of binary texts."""
     bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     if bounds[0] == bounds[-1]:
-        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, bool)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
     bounds = bounds - bounds[0]
     inside = _INSIDE[data]
@@ -61,7 +61,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     breaks = np.searchsorted(np.flatnonzero(_BREAK[data]), starts)
     opens = np.ones(len(starts), bool)
     opens[1:] = (breaks[1:] != breaks[:-1]) | (text[1:] != text[:-1])
-    return _LOWER[data[inside]], lengths, opens, text
+    return _LOWER[data[inside]], lengths, opens
 
 
 def _sorted_suffixes(ids: np.ndarray, left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,94 +100,98 @@ def _intervals(order: np.ndarray, lcp: np.ndarray, left: np.ndarray, size: int)
 
 
 class _Shard:
-    """Words gathered from texts of any language."""
+    """Words gathered from texts of one language."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        self.langs: dict[str, int] = {}
-        self.n = 0
+    def __init__(self, lang: str) -> None:
+        self.lang, self.n = lang, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, texts: pa.Array, langs: list[str]) -> None:
-        data, lengths, opens, text = _words(texts)
-        codes = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs], np.int32)
-        self.parts.append((data, lengths.astype(np.int32), opens, codes[text]))
+    def add(self, texts: pa.Array) -> int:
+        data, lengths, opens = _words(texts)
+        self.parts.append((data, lengths.astype(np.int32), opens))
         self.n += len(lengths)
+        return len(lengths)
 
-    def numbered(self) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
-        """(words' numbers, the words numbered, whether a word begins a piece, its language's number); parts are let go."""
-        data, lengths, opens, lang = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+    def numbered(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(words' numbers, the words numbered, whether a word begins a piece); parts are let go."""
+        data, lengths, opens = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts = []
         offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)))
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        return words.indices.to_numpy(), words.dictionary.cast(pa.binary()), opens, lang
+        return words.indices.to_numpy(), words.dictionary.cast(pa.binary()), opens
 
 
-def _pair_buckets(number: np.ndarray, known: pa.Array, opens: np.ndarray, lang: np.ndarray, langs: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _pair_buckets(number: np.ndarray, known: pa.Array, opens: np.ndarray, lang: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(places of words that follow another in their piece, the bucket of the language and the two words)."""
     digest = xxhash.xxh3_64_intdigest
     hashes = np.fromiter(map(digest, known.to_pylist()), np.uint64, len(known))
-    seeds = np.fromiter((digest(x) for x in langs), np.uint64, len(langs))
+    firsts = (hashes + np.uint64(digest(lang))) * np.uint64(0x9E3779B97F4A7C15)
     at = np.flatnonzero(~opens)
-    x = (hashes[number[at - 1]] + seeds[lang[at]]) * np.uint64(0x9E3779B97F4A7C15) ^ hashes[number[at]]
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return at, (x >> np.uint64(64 - bits)).astype(np.int32)
+    x = firsts[number[at - 1]]
+    x ^= hashes[number[at]]
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x >>= np.uint64(64 - bits)
+    return at, x.astype(np.int32)
 
 
 def _counts(shard: _Shard, depth: int, pairs: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, n) of the shard's phrases of up to ``depth`` words, and with an empty phrase the words of a language.
+    """(lang, phrase, n) of the shard's phrases of up to ``depth`` words, and with an empty phrase the words in all.
 
     With ``pairs``, a bit for each bucket, pieces are cut between words whose pair's bit is off.
     """
-    langs = list(shard.langs)
-    number, known, opens, lang = shard.numbered()
-    named = pa.array(langs, pa.string())
-    yield _batch(named, pa.array([b""] * len(langs), pa.binary()), pa.array(np.bincount(lang, minlength=len(langs))))
-    if not len(number):
+    yield _batch(shard.lang, pa.array([b""], pa.binary()), np.array([shard.n]))
+    if not shard.n:
         return
-    ids = lang.astype(np.int64) * len(known) + number
-    single, times = np.unique(ids, return_counts=True)
-    for k in range(0, len(single), _ROWS):
-        some = single[k : k + _ROWS]
-        yield _batch(named.take(pa.array(some // len(known))), known.take(pa.array(some % len(known))), pa.array(times[k : k + _ROWS]))
+    number, known, opens = shard.numbered()
+    times = np.bincount(number, minlength=len(known))
+    for k in range(0, len(known), _ROWS):
+        yield _batch(shard.lang, known[k : k + _ROWS], times[k : k + _ROWS])
     if pairs is not None:
-        at, bucket = _pair_buckets(number, known, opens, lang, langs, len(pairs).bit_length() + 2)
+        at, bucket = _pair_buckets(number, known, opens, shard.lang, len(pairs).bit_length() + 2)
         opens[at[(pairs[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 0]] = True
+        del at, bucket
     follows = ~opens
     follows[:-1] |= ~opens[1:]  # or is followed: words alone in their piece are done
-    ids, number, lang, opens = ids[follows], number[follows], lang[follows], opens[follows]
-    if depth < 2 or not len(ids):
+    number, opens = number[follows], opens[follows]
+    if depth < 2 or not len(number):
         return
     ends = np.append(np.flatnonzero(opens)[1:], len(opens))
     left = (ends[np.cumsum(opens) - 1] - np.arange(len(opens))).astype(np.int32)
-    order, lcp = _sorted_suffixes(ids, left, depth)
+    order, lcp = _sorted_suffixes(number, left, depth)
     for size in range(2, depth + 1):
         places, times = _intervals(order, lcp, left, size)
         for k in range(0, len(places), _ROWS):
             some = places[k : k + _ROWS]
             phrase = pc.binary_join_element_wise(*(known.take(pa.array(number[some + d])) for d in range(size)), b" ")
-            yield _batch(named.take(pa.array(lang[some])), phrase, pa.array(times[k : k + _ROWS]))
+            yield _batch(shard.lang, phrase, times[k : k + _ROWS])
 
 
-def _batch(lang: pa.Array, phrase: pa.Array, n: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([lang, phrase, n.cast(pa.int64())], names=["lang", "phrase", "n"])
+def _batch(lang: str, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(phrase)), phrase, pa.array(n, pa.int64())], names=["lang", "phrase", "n"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[_Shard]:
-    """Shards of (lang, text) rows; texts are cut into words a slice of a batch at a time."""
-    shard = _Shard()
+    """Shards of (lang, text) rows; texts are cut into words a slice of a batch at a time. Once ``shard_words`` words are
+    held, the language with most of them makes a shard."""
+    held: dict[str, _Shard] = {}
+    words = 0
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1)
+        langs, texts = batch.column(0), batch.column(1)
         sizes = np.concatenate((np.zeros(1, np.int64), np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)))
         at = 0
-        while at < len(langs):
+        while at < len(texts):
             upto = max(at + 1, int(np.searchsorted(sizes, sizes[at] + _SLICE, side="right")) - 1)
-            shard.add(texts[at:upto], langs[at:upto])
+            some = langs[at:upto]
+            for lang in some.unique():
+                shard = held.setdefault(lang.as_py(), _Shard(lang.as_py()))
+                words += shard.add(texts[at:upto].filter(pc.equal(some, lang)))
             at = upto
-            if shard.n >= shard_words:
-                yield shard
-                shard = _Shard()
-    if shard.parts:
-        yield shard
+            while words >= shard_words:
+                largest = held.pop(max(held, key=lambda x: held[x].n))
+                words -= largest.n
+                yield largest
+    yield from held.values()
 
 
 def _given(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -206,8 +210,7 @@ def frequent_pairs(docs: DataFrame, min_count: int, *, bucket_bits: int = BUCKET
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, shard_words):
-            langs = list(shard.langs)
-            bucket, times = np.unique(_pair_buckets(*shard.numbered(), langs, bucket_bits)[1], return_counts=True)
+            bucket, times = np.unique(_pair_buckets(*shard.numbered(), shard.lang, bucket_bits)[1], return_counts=True)
             for k in range(0, len(bucket), _ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[k : k + _ROWS]), pa.array(times[k : k + _ROWS])], names=["bucket", "n"])
 
