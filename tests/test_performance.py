@@ -97,3 +97,19 @@ def test_summary(spark, simple):
     assert len(got) == 22 and got["n_periods"] == 6 and got["periods_per_year"] == 12 and got["max_drawdown"] == pytest.approx(-0.2)
     assert {"var_0.05", "cvar_0.05", "up_capture", "active_return"} <= set(got)
     assert len(perf.performance_summary(simple).collect()) == 15
+
+
+def test_frames_of_one_column_a_series(spark):
+    x = np.random.default_rng(8).normal(0.01, 0.05, (30, 2))
+    rows = [(month_end(k), float(a), None if k == 4 else float(b)) for k, (a, b) in enumerate(x)]
+    wide = frame(spark, "date date, `fund A` double, `b.2` double", rows)
+    alone = {n: series(spark, [r[i] for r in rows]) for i, n in ((1, "fund A"), (2, "b.2"))}
+    bench = series(spark, [0.01 * (k % 3 - 1) for k in range(30)])
+    for metric, args, more in ((perf.sharpe_ratio, (), {"risk_free": 0.01}), (perf.max_drawdown, (), {}), (perf.beta, (bench,), {}), (perf.value_at_risk, (), {"level": 0.1})):
+        got = {r["series"]: r[1] for r in perf.each_column(metric, wide, *args, **more).collect()}
+        assert got == {n: pytest.approx(one(metric(df, *args, **more))) for n, df in alone.items()}
+    table = {(r["series"], r["metric"]): r["value"] for r in perf.each_column(perf.performance_summary, wide, bench).collect()}
+    assert len(table) == 2 * 22 and table["b.2", "n_periods"] == 29
+    assert {r["series"] for r in perf.each_column(perf.drawdown_table, wide, series=["b.2"]).collect()} == {"b.2"}
+    with pytest.raises(ValidationError):
+        perf.each_column(perf.hit_rate, wide.select("date"))

@@ -6,7 +6,7 @@ aggregated by date before they come here, so a series has no more rows than the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -110,6 +110,21 @@ def _metric(name: str, build: Callable[[Column], Column], returns: DataFrame, re
     return rows.groupBy(*_keys(by)).agg(build(F.col(R)).alias(name))
 
 
+def each_column(metric: Callable[..., DataFrame], wide: DataFrame, *args, series: Sequence[str] | None = None, by: str = "series", date_col: str | None = None, **kwargs) -> DataFrame:
+    """``metric`` of every series of a frame with one column each, told apart in ``by``: any function of this module that
+    takes ``by``, with its other arguments, as in ``each_column(sharpe_ratio, wide, risk_free=0.01)``.
+
+    ``series`` names the columns; by default all but the date. A series is as long as the frame: missing returns stay.
+    """
+    date_col, _ = resolve_columns(date_col)
+    require_columns(wide, [date_col, *(series or [])], "each_column")
+    names = [c for c in wide.columns if c != date_col] if series is None else list(series)
+    if not names:
+        raise ValidationError("the frame has no column of returns")
+    long = wide.select(date_col, *(clean(F.col(f"`{c}`")).alias(c) for c in names)).unpivot([date_col], [F.col(f"`{c}`") for c in names], by, "ret")
+    return metric(long, *args, by=by, date_col=date_col, **kwargs)
+
+
 # ---- level and risk ---------------------------------------------------------------------------------------------------
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ratio
+from tidemark.sources import lineage
 from tidemark.sources.panel import date_grid
+from tidemark.streaming import calendar
 
 #: Shocks to factors, and historical windows, of the demonstration's scenarios; fixed values.
 SHOCKS = (("value crash", "F1", -0.2), ("value crash", "F2", 0.05), ("size rally", "F2", 0.1), ("size rally", "F3", -0.02))
@@ -107,6 +110,11 @@ class Demo:
         """(date, series, ret), long."""
         return self.series.select("date", F.inline(F.array(F.struct(F.lit("portfolio").alias("series"), F.col("ret")), F.struct(F.lit("benchmark").alias("series"), F.col("bench").alias("ret")))))
 
+    @cached_property
+    def wide(self) -> DataFrame:
+        """(date, portfolio, benchmark): a column a series."""
+        return self.series.select("date", F.col("ret").alias("portfolio"), F.col("bench").alias("benchmark"))
+
     @cached_property
     def benchmark(self) -> DataFrame:
         return self.series.select("date", F.col("bench").alias("ret"))
@@ -130,3 +138,14 @@ class Demo:
     def predicted(self) -> DataFrame:
         """(date, risk): a yearly risk forecast that moves with the month."""
         return self.months.select("date", (0.01 + F.month("date") / 1000.0).alias("risk"))
+
+    @cached_property
+    def streamed(self) -> DataFrame:
+        """Monthly returns by priority of orders that arrive as a stream: what is in the file, to the end."""
+        schema = self.table("orders").schema
+        # a pattern, as a stream takes a path without one for a folder
+        stream = self.spark.readStream.schema(schema).parquet(f"{self.folder}/orders.parque[t]")
+        returns = stream.select(F.to_date("o_orderdate").alias("date"), F.col("o_orderpriority").alias("series"), ((F.col("o_totalprice").cast("double") - 150000) / 1e9).alias("ret"))
+        folder = f"{lineage.folder(self.spark)}/stream-{uuid.uuid4().hex}"
+        calendar.write_period_growth(returns, f"{folder}/out", f"{folder}/state", by="series").awaitTermination()
+        return calendar.read_period_returns(self.spark, f"{folder}/out", by="series")

@@ -487,6 +487,8 @@ _UP = "(product(case when bench {0} 0 then 1 + ret end) - 1) / nullif(product(ca
 _metric("p20_capture_ratio", _versus(f"~{_UP.format('<')} as down_capture"), lambda x: performance.capture_ratio(x.series, x.benchmark, side="down"))
 _QUARTERS = "b as (select series, last_day(cast(date_trunc('quarter', date) + interval 2 month as date)) as d, product(1 + ret) - 1 as r from two group by 1, 2), sp as (select unnest(generate_series(min(date_trunc('month', d)), max(date_trunc('month', d)), interval 3 month)) as m from b), gr as (select distinct last_day(cast(m as date)) as d, series from sp, (select distinct series from two))"
 _metric("p21_aggregate_returns", _select("@d as date; series; ~coalesce(r, 0) as ret", "gr left join b using (d, series)", _SERIES, _QUARTERS), lambda x: performance.aggregate_returns(x.two_series, "quarter", **_BOTH))
+_ORDERS = "od as (select last_day(cast(o_orderdate as date)) as d, o_orderpriority as series, product(1 + (o_totalprice - 150000) / 1e9) - 1 as r from orders group by 1, 2), sp as (select distinct d from od), gr as (select d, series from sp, (select distinct series from od))"
+_metric("p21_streaming_aggregate_returns", f"with {_ORDERS} select cast(d as varchar) as date, series, round(coalesce(r, 0), 9) + 0.0 as ret from gr left join od using (d, series)", lambda x: x.streamed)
 _metric("p22_monthly_table", _select("cast(year(date) as bigint) as year; " + "; ".join(f'~max(case when month(date) = {m} then ret end) as "{m:02d}"' for m in range(1, 13)) + "; ~product(1 + ret) - 1 as year_total", "series group by year(date)", _SERIES), lambda x: performance.monthly_table(x.series))
 _ROLL = "w as (partition by series order by date rows 11 preceding)"
 _metric("p23_rolling_volatility", _select("@date; series; ~case when count(ret) over w = 12 then stddev_samp(ret) over w * sqrt(12) end as rolling_volatility", f"two window {_ROLL}", _SERIES), lambda x: performance.rolling_volatility(x.two_series, 12, **_BOTH))
@@ -505,6 +507,9 @@ _METRICS = {
 _ALL = "wl as (select *, ret - bench as a, product(1 + ret) over (order by date rows unbounded preceding) as w, quantile_cont(ret, 0.05) over () as v from series), dd as (select *, w / max(w) over (order by date rows unbounded preceding) - 1 as dd from wl)"
 _metric("p28_performance_summary", f"with {_SERIES}, {_ALL} " + " union all ".join(f"select '{n}' as metric, round({e}, 9) + 0.0 as value from dd" for n, e in _METRICS.items()), lambda x: performance.performance_summary(x.series, x.benchmark))
 
+_metric("p5_sharpe_ratio_wide", _per_series(f"~avg({_RF}) / nullif(stddev_samp({_RF}), 0) * sqrt(12) as sharpe_ratio"), lambda x: performance.each_column(performance.sharpe_ratio, x.wide, risk_free=0.01))
+_metric("p9_max_drawdown_wide", _per_series("~min(dd) as max_drawdown", "dd group by series", _DD), lambda x: performance.each_column(performance.max_drawdown, x.wide))
+
 # ---- attribution ------------------------------------------------------------------------------------------------------------
 
 _SEGMENTS = {"segment": "sector", "asset_return": "ret"}

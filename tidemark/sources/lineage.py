@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local session without it has one of its own, a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -18,8 +19,8 @@ def _folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the folder of ``spark.checkpoint.dir`` and read from there: plans stay short, and a
-    lost executor costs no recomputation. Where it is unset, a local session uses a folder of its own; a cluster's is refused."""
-    path = f"{_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    lost executor costs no recomputation."""
+    path = f"{folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_at = path
