@@ -3,6 +3,10 @@
 import math
 import re
 import textwrap
+import time
+from pathlib import Path
+
+import pytest
 
 from tidemark.llm import licenses
 
@@ -74,6 +78,59 @@ def test_standard_files_and_headers(spark):
     assert got == {1: ("MIT", "own", 1), 2: ("MIT", "inherited", 1), 3: ("BSD-3-Clause", "own", 3), 4: ("BSD-3-Clause", "inherited", 3), 5: ("MIT", "own", 5), 6: ("Apache-2.0", "own", 6), 7: (None, "none", None)}
 
 
+#: Whole texts of licences, where the system keeps them.
+TEXTS = Path("/usr/share/common-licenses")
+WHOLE = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not all((TEXTS / n).exists() for n in WHOLE), reason="no licence texts here")
+def test_whole_texts_are_named_right_and_long_ones_take_their_length(spark):
+    files = [(i, f"d{i}/LICENSE", (TEXTS / n).read_text()) for i, n in enumerate(WHOLE)]
+    got = {r["doc_id"]: (r["license"], r["how"]) for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == {i: (name, "own") for i, name in enumerate(WHOLE.values())}
+    text = (TEXTS / "GPL-3").read_text()
+    sizes = {}
+    for times in (1, 8):
+        made = licenses.blocks(spark.createDataFrame([(1, text * times)], "row long, text string")).selectExpr("sum(length(block))").first()[0]
+        sizes[times] = made / (len(text) * times)
+    assert sizes[8] <= 35 and sizes[8] <= 1.1 * sizes[1]
+    began = time.time()
+    assert licenses.scan(spark.createDataFrame([(1, "a/COPYING", text * 8)], "doc_id long, path string, text string")).first()["license"] == "GPL-3.0"
+    assert time.time() - began < 60  # it took longer than that for half of this text once
+
+
+def test_expressions_of_several_licences(spark):
+    lines = {"SPDX-License-Identifier: Apache-2.0 OR MIT": "Apache-2.0 OR MIT", "// SPDX-License-Identifier:  (GPL-2.0-only WITH  Linux-syscall-note) OR BSD-3-Clause": "(GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause", "spdx-license-identifier: ISC and Zlib": "ISC and Zlib", "Dual licensed under the MIT or GPL Version 2 licenses.": "MIT OR GPL-2.0", "# SPDX-License-Identifier: MIT": "MIT"}
+    files = [(i, f"p{i}/x", f"int a;\n{line}\nint b;") for i, line in enumerate(lines)]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == dict(enumerate(lines.values()))
+
+
+def plain_spans(at, size):
+    """(start, n) of the blocks around the lines ``at`` by plain loops."""
+    regions, out = [], set()
+    for x in at:
+        if regions and x - regions[-1][1] <= licenses.GAP:
+            regions[-1][1] = x
+        else:
+            regions.append([x, x])
+        out |= {(x, 1), (x, 2), (x - 1, 2)}
+    for first, last in regions:
+        long = last - first >= licenses.REGION
+        out |= {(s, n) for s in range(first - 2, (first + licenses.HEAD - 1 if long else last) + 1) for n in licenses.SPANS}
+        out |= {(s, n) for n in licenses.STRIDED for s in range(first, last + 1, max(n // 4, 1)) if long}
+    return {(max(s, 0), min(n, size - max(s, 0))) for s, n in out if max(s, 0) < size}
+
+
+@pytest.mark.parametrize(("at", "size"), [([0], 1), ([0, 1, 5, 9], 12), ([3, 4, 20], 300), (list(range(2, 60, 3)), 61), ([*range(0, 34)], 40), ([*range(5, 40), 99], 100)])
+def test_blocks_are_those_of_plain_loops(spark, at, size):
+    text = "\n".join(f"license {i}" if i in at else f"line {i}" for i in range(size))
+    got = licenses.blocks(spark.createDataFrame([(7, text)], "row long, text string")).collect()
+    lines = text.split("\n")
+    assert sorted((r["start"], r["n"]) for r in got) == sorted(plain_spans(at, size))
+    assert all(r["block"] == " ".join(lines[r["start"] : r["start"] + r["n"]]) for r in got)
+
+
 def test_every_template_has_a_marker():
     assert all(re.search(r"(?i)(?<![^\W_])(?:" + "|".join(licenses.MARKERS) + r")(?![^\W_])", t) for _, t in licenses.TEMPLATES)
 

@@ -21,6 +21,24 @@ _NAMED = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "The MIT License (MIT)"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT OR GPL-2.0", "Dual licensed under the MIT or GPL Version 2 licenses."),
+)
+#: Titles, by which whole texts of licences are told apart.
+_TITLES = (
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Artistic-1.0", 'The "Artistic License" Preamble'),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
 _GNU = "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General Public License as published by the Free Software Foundation{1} either version {3} of the License, or (at your option) any later version."
 _GNU_WARRANTY = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details."
@@ -43,6 +61,7 @@ _SPDX = ("0BSD", "AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-
 #: (short name, text): each text is compared on its own, so a licence with several has several.
 TEMPLATES = (
     *_NAMED,
+    *_TITLES,
     *((name, f"SPDX-License-Identifier: {name}{form}") for name in _SPDX for form in (("", "-only", "-or-later") if "GPL" in name else ("",))),
     *((name, _GNU.format(thing, mark, kind, version)) for name, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")) for thing, mark in (("program", ":" if version == "3" else ";"), ("library", ";"))),
     *((name, _GNU.format("program", ":", kind, version) + " " + _GNU_WARRANTY.format("program", kind)) for name, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3"))),
@@ -62,12 +81,18 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", _CC.format("Attribution-NonCommercial", "by-nc")),
 )
 #: Blocks are looked for around a line with one of these words; every template has one, wherever its lines are cut.
-MARKERS = ("licence", "licenced", "license", "licensed", "licenses", "spdx-license-identifier", "permission", "permissions", "permit", "permitted", "redistribute", "redistribution", "redistributions", "sublicense", "copyright", "waived", "warranty", "warranties", "merchantability", "liable", "liability", "gnu", "mozilla", "domain", "as-is")
+MARKERS = ("licence", "licenced", "license", "licensed", "licenses", "spdx-license-identifier", "permission", "permissions", "permit", "permitted", "redistribute", "redistribution", "redistributions", "sublicense", "copyright", "waived", "warranty", "warranties", "merchantability", "liable", "liability", "gnu", "mozilla", "domain", "as-is", "cc0")
 MARKER = rf"(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(MARKERS)})(?:[^\p{{L}}\p{{N}}]|$)"
-#: A block: so many lines from the line with the marker, or from one of the two before it.
-SPANS, BEFORE = (1, 2, 3, 4, 5, 6, 8, 10, 13, 17, 21, 27, 34), (0, 1, 2)
-#: Words of the longest template over the squared cosine: a block of more distinct words can't come near.
+#: Markers at most so many lines apart are of one region. In regions of up to REGION lines a block begins at any line, or
+#: at one of the two before them, and has any of SPANS lines. In longer ones (licences' whole texts) that holds for the
+#: first HEAD lines; beyond, blocks of STRIDED lines begin at each quarter of their length. Markers' lines are blocks, too,
+#: alone and with a neighbour. So a text's blocks together are about 35 times as long as it is, at most.
+GAP, REGION, HEAD = 12, 34, 6
+SPANS, STRIDED = (3, 4, 5, 6, 8, 10, 13, 17, 21, 27, 34), (5, 8, 13, 21, 34)
+#: Blocks of more than one line and of more distinct words are left out: the longest template has a third of them.
 MAX_WORDS = 600
+#: Licences joined by operators, as SPDX writes them.
+SPDX_EXPRESSION = r"(?i)SPDX-License-Identifier:[\x20\t]*(\(?[A-Z0-9.+-]+\)?(?:[\x20\t]+(?:OR|AND|WITH)[\x20\t]+\(?[A-Z0-9.+-]+\)?)+)"
 MIN_COSINE = 0.75
 #: Files of these names are licence files if they match at all.
 FILE_NAMES = r"(?i)^(?:licen[cs]es?|copying|unlicense|notice)(?:[.-][^/]*)?$"
@@ -90,16 +115,41 @@ def lines_of(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.;!?])[\x20\t]+", "$1\n"), "\r?\n")
 
 
+def _spans(at: Column, size: Column) -> Column:
+    """Distinct (start, n) of the blocks around the lines ``at``, which are in order, of a text of ``size`` lines."""
+    heads = F.filter(at, lambda x, i: (i == 0) | (x - F.get(at, i - 1) > GAP))
+    tails = F.filter(at, lambda x, i: (i == F.size(at) - 1) | (F.get(at, i + 1) - x > GAP))
+    span = lambda start, n: F.struct(F.greatest(start, F.lit(0)).cast("int").alias("start"), n.cast("int").alias("n"))
+    few = F.flatten(F.transform(at, lambda x: F.array(span(x, F.lit(1)), span(x, F.lit(2)), span(x - 1, F.lit(2)))))
+
+    def every(first: Column, last: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(first, last), lambda s: F.array(*(span(s, F.lit(n)) for n in SPANS))))
+
+    def spaced(first: Column, last: Column, n: int) -> Column:
+        return F.transform(F.sequence(first, last, F.lit(max(n // 4, 1))), lambda s: span(s, F.lit(n)))
+
+    def strided(first: Column, last: Column) -> Column:
+        return F.concat(*(spaced(first, last, n) for n in STRIDED))
+
+    def near(first: Column, last: Column) -> Column:
+        return F.when(last - first < REGION, every(first - 2, last)).otherwise(F.concat(every(first - 2, first + (HEAD - 1)), strided(first, last)))
+
+    regions = F.flatten(F.zip_with(heads, tails, near))
+    inside = F.filter(F.concat(few, regions), lambda s: s["start"] < size)
+    return F.array_distinct(F.transform(inside, lambda s: span(s["start"], F.least(s["n"], size - s["start"]))))
+
+
 def blocks(texts: DataFrame) -> DataFrame:
-    """(row, start, n, block) of ``texts`` (row, text): the blocks of lines near a marker, joined by spaces."""
+    """(row, start, n, block) of ``texts`` (row, text): the blocks of lines near a marker, joined by spaces.
+
+    All of a text's blocks are cut out where it lies: neither it nor its lines are copied for each block or shuffled.
+    """
     marked = texts.where(F.col("text").rlike(MARKER)).select("row", lines_of(F.col("text")).alias("lines"))
-    near = marked.select("row", "lines", F.explode(F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(MARKER), i)), lambda i: i.isNotNull())).alias("at"))
-    starts = near.select("row", "lines", F.explode(F.array(*(F.greatest(F.col("at") - b, F.lit(0)) for b in BEFORE))).alias("start"), "at")
-    spans = starts.select("row", "lines", "start", "at", F.explode(F.array(*(F.lit(n) for n in SPANS))).alias("n"))
-    inside = (F.col("at") < F.col("start") + F.col("n")) & ((F.col("n") == 1) | (F.col("start") + F.col("n") <= F.size("lines")) | (F.col("start") == 0))
-    held = spans.where(inside).select("row", "start", F.least("n", F.size("lines") - F.col("start")).alias("n"), "lines").dropDuplicates(["row", "start", "n"])
-    made = held.select("row", "start", "n", F.concat_ws(" ", F.slice("lines", F.col("start") + 1, F.col("n"))).alias("block"))
-    return made.where((F.col("n") == 1) | (F.regexp_count("block", F.lit(_COUNT)) <= MAX_WORDS))
+    placed = marked.select("row", "lines", F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(MARKER), i)), lambda i: i.isNotNull()).alias("at"))
+    spanned = placed.select("row", "lines", _spans(F.col("at"), F.size("lines")).alias("spans"))
+    cut = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), F.concat_ws(" ", F.slice("lines", s["start"] + 1, s["n"])).alias("block")))
+    made = spanned.select("row", F.explode(cut).alias("b")).select("row", "b.start", "b.n", "b.block")
+    return made.where((F.col("n") == 1) | (F.size(F.array_distinct(words(F.col("block")))) <= MAX_WORDS))
 
 
 def score_blocks(units: DataFrame) -> DataFrame:
@@ -108,7 +158,8 @@ def score_blocks(units: DataFrame) -> DataFrame:
     ``u1`` and ``u2`` are two hashes of the block, by which blocks are told apart.
 
     Weights are tf * idf. idf is taken over the templates and all distinct blocks of the corpus, in which a text repeated
-    by a thousand files counts once; terms of no template add to a block's length only.
+    by a thousand files counts once; terms of no template add to a block's length only. A block that states several
+    licences as SPDX does (``OR``, ``AND``, ``WITH``) has that expression, with a cosine of 1.
     """
     spark = units.sparkSession
     kinds = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(TEMPLATES)], "template int, license string, block string")
@@ -128,7 +179,10 @@ def score_blocks(units: DataFrame) -> DataFrame:
     dot = each.select("u1", "u2", "w", F.explode("ts").alias("t")).groupBy("u1", "u2", "t.template").agg(F.sum(F.col("w") * F.col("t.v")).alias("dot"))
     near = dot.join(F.broadcast(sizes), "template").join(length, ["u1", "u2"]).withColumn("cosine", F.col("dot") / (F.col("size") * F.col("length"))).where(F.col("cosine") >= MIN_COSINE)
     best = F.min_by(F.struct("license", "cosine"), F.struct(-F.round("cosine", 9), F.col("license")))
-    found = near.join(F.broadcast(kinds.select("template", "license")), "template").groupBy("u1", "u2").agg(best.alias("b"))
+    stated = F.regexp_replace(F.regexp_extract("block", SPDX_EXPRESSION, 1), r"[\x20\t]+", " ")
+    exact = keyed.select("u1", "u2", stated.alias("license"), F.lit(1.0).alias("cosine")).where("license <> ''")
+    named = near.join(F.broadcast(kinds.select("template", "license")), "template").select("u1", "u2", "license", "cosine")
+    found = named.unionAll(exact).groupBy("u1", "u2").agg(best.alias("b"))
     return keyed.join(small(stored(found.select("u1", "u2", "b.license", "b.cosine"), "license-near")), ["u1", "u2"]).select("u1", "u2", "block", "license", "cosine")
 
 

@@ -153,10 +153,13 @@ _KINDS = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i,
 _OP9 = rf"""
 with f as (select row_number() over () r, doc_id id, concat_ws('/', source, lang, cast(floor(doc_id / 64) as bigint)::varchar, doc_id::varchar) path, coalesce(text, '') t from documents),
 m as (select r, string_split_regex(regexp_replace(t, '([.;!?])[\x20\t]+', '\1' || chr(10), 'g'), '\r?\n') l from f where regexp_matches(t, '{licenses.MARKER}')),
-hit as (select r, l, unnest(list_filter(range(0, len(l)), lambda i: regexp_matches(l[i + 1], '{licenses.MARKER}'))) a from m),
-win as (select distinct r, l, greatest(a - b, 0) s, least(n, len(l) - greatest(a - b, 0)) n from hit, (select unnest({list(licenses.BEFORE)}) b), (select unnest({list(licenses.SPANS)}) n)
- where a < greatest(a - b, 0) + n and (n = 1 or greatest(a - b, 0) + n <= len(l) or greatest(a - b, 0) = 0)),
-blk as (select * from (select r, s, n, array_to_string(l[s + 1:s + n], ' ') block from win) where n = 1 or len(regexp_extract_all(block, '{_WORD}')) <= {licenses.MAX_WORDS}),
+hit as (select r, len(l) size, unnest(list_filter(range(0, len(l)), lambda i: regexp_matches(l[i + 1], '{licenses.MARKER}'))) a from m),
+reg as (select r, size, min(a) f, max(a) e from (select *, sum(h) over (partition by r order by a) g from (select *, case when a - lag(a) over (partition by r order by a) <= {licenses.GAP} then 0 else 1 end h from hit)) group by r, size, g),
+win as (select r, size, a s, 1 n from hit union all select r, size, a, 2 from hit union all select r, size, a - 1, 2 from hit
+ union all select r, size, unnest(range(f - 2, case when e - f < {licenses.REGION} then e else f + {licenses.HEAD} - 1 end + 1)) s, n from reg, (select unnest({list(licenses.SPANS)}) n)
+ union all select r, size, unnest(range(f, e + 1, greatest(n // 4, 1))) s, n from reg, (select unnest({list(licenses.STRIDED)}) n) where e - f >= {licenses.REGION}),
+cut as (select distinct r, greatest(s, 0) s, least(n, size - greatest(s, 0)) n from win where greatest(s, 0) < size),
+blk as (select * from (select r, s, n, array_to_string(l[s + 1:s + n], ' ') block from cut join m using (r)) where n = 1 or len(list_distinct(regexp_extract_all(block, '{_WORD}'))) <= {licenses.MAX_WORDS}),
 u as (select distinct block from blk),
 kinds as (select * from (values {_KINDS}) k(template, license, block)),
 bag as (select block, term, count(*) tf from (select block, unnest({_TERMS.format("block")}) term from u) group by all),
@@ -165,7 +168,8 @@ idf as (select term, ln((select count(*) + {len(licenses.TEMPLATES)} + 1 from u)
 b as (select block, term, tf * idf w from bag join idf using (term)),
 v as (select template, license, term, tf * idf v from known join idf using (term)),
 n as (select b.block, v.template, any_value(v.license) license, sum(w * v) / (any_value(s.size) * any_value(h.len)) c from b join v using (term) join (select template, sqrt(sum(v * v)) size from v group by 1) s on s.template = v.template join (select block, sqrt(sum(w * w)) len from b group by 1) h on h.block = b.block group by 1, 2),
-scored as (select block, license, c from n where c >= {licenses.MIN_COSINE} qualify row_number() over (partition by block order by round(c, 9) desc, license) = 1),
+spdx as (select block, regexp_replace(regexp_extract(block, '{licenses.SPDX_EXPRESSION}', 1), '[\x20\t]+', ' ', 'g') license from u),
+scored as (select block, license, c from (select block, license, c from n where c >= {licenses.MIN_COSINE} union all select block, license, 1.0::double from spdx where license <> '') qualify row_number() over (partition by block order by round(c, 9) desc, license) = 1),
 hits as (select blk.*, license, c from blk join scored using (block)),
 cover as (select r, sum(len(regexp_extract_all(l[p + 1], '{_WORD}'))) words from (select distinct r, unnest(range(s, s + n)) p from hits) join m using (r) group by r),
 own as (select r, license, c, words from hits join cover using (r) qualify row_number() over (partition by r order by round(c, 9) desc, license) = 1),
