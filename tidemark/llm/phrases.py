@@ -217,11 +217,12 @@ def frequent_pairs(docs: DataFrame, min_count: int, *, bucket_bits: int = BUCKET
     found = _given(docs, lang_col, text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     block = F.shiftright("bucket", _BLOCK_BITS)
     # positions in a bitmap of Spark's begin at the lowest bit of the first byte
-    bits = found.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(F.col("bucket").bitwiseAND((1 << _BLOCK_BITS) - 1)).alias("bits"))
+    bits = stored(found.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(F.col("bucket").bitwiseAND((1 << _BLOCK_BITS) - 1)).alias("bits")), "pair-bits")
     out = np.zeros(1 << (bucket_bits - 3), np.uint8)
     for row in bits.toLocalIterator():
         at = row["block"] << (_BLOCK_BITS - 3)
         out[at : at + (1 << (_BLOCK_BITS - 3))] = np.frombuffer(row["bits"], np.uint8)
+    dropped(bits)
     return out
 
 
