@@ -44,3 +44,9 @@ def test_same_as_all_pairs(spark):
 
 def test_empty_table(spark):
     assert chat.render(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
+
+
+def test_a_missing_text_equals_no_text(spark):
+    rows = [(i, 0, "user", t) for i, t in enumerate([None, "", "\0", None])] + [(10, 0, None, "a"), (11, 0, "", "a"), (12, 0, "\0", "a")]
+    got = chat.render(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
+    assert sorted(r["conv_id"] for r in got) == [0, 1, 2, 10, 11, 12]

@@ -15,7 +15,8 @@ OPEN, CLOSE = "<|", "|>\n"
 
 def _turn_hash(seed: int) -> Column:
     """Of a turn with its place: the XOR over turns 1..n then stands for the ordered prefix of n turns."""
-    return F.xxhash64(F.lit(seed), "pos", F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0")))
+    marked = [x for c in ("role", "text") for x in (F.isnull(c), F.coalesce(c, F.lit("")))]  # no text equals a missing one
+    return F.xxhash64(F.lit(seed), "pos", *marked)
 
 
 def prefixes(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:

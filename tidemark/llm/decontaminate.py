@@ -29,7 +29,8 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, id
 
     Shingles are distinct runs of five lower-cased words; a text under five words is one shingle. Null and empty texts
     have none and match nothing. Rows equal in id and text give one row; of items repeated under one id, each text
-    counts for itself. Null ids are kept. Empty tables give no rows; other columns are ignored.
+    counts for itself. Null ids are kept. Texts of any length are taken whole; their shingles are rows. Empty tables give
+    no rows; other columns are ignored.
     """
     lower, at = F.lower(F.col(text_col)), mark()
     bench = items.select(F.col(item_col).alias("item_id"), F.xxhash64(item_text, item_col).alias("item_key"), words(F.lower(F.col(item_text))).alias("w")).dropDuplicates(["item_key"])

@@ -253,7 +253,8 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
 def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row of ``docs``.
 
-    Null and empty texts are one piece of length 1; repeated rows are packed each; a null id stays null; an empty table
+    Null and empty texts are one piece of length 1; texts of any length are taken whole, by the task that has the row;
+    repeated rows are packed each; a null id stays null; an empty table
     gives no rows; other columns are ignored. Ties are ordered by id, piece and content.
     """
     cut = stored(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")

@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id in the component. Every input row gives one row: repeated rows and equal texts share
     a fingerprint; null and empty texts have fingerprint 0 and link like others; a null id is never smallest, and where
-    a component has no other, its component_id is null. An empty table gives an empty result; other columns are ignored.
+    a component has no other, its component_id is null. A text of any length is read whole, by the task that has its row, and
+    is not shuffled. An empty table gives an empty result; other columns are ignored.
     """
     per_doc = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     return _named(per_doc, bits).withColumnRenamed("id", id_col)

@@ -172,7 +172,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, anchor: int = ANCHOR, id_c
 
     A window of ``window`` words is repeated if its words also start anywhere else, in the same document too; windows
     are judged on the input. Repeated rows count as places of their own, so both lose what they share. Null and empty
-    texts, and texts shorter than a window, lose nothing. A null id stays null; an empty table gives no rows; other
+    texts, and texts shorter than a window, lose nothing. A text of any length is taken whole, by one task at a time, with
+    some forty bytes a word. A null id stays null; an empty table gives no rows; other
     columns are ignored.
     """
     every, cut = repeated_windows(docs, window, anchor, id_col, text_col)
