@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Used only where a local session names no folder, as in tests.
+DEFAULT_DIR = "/tmp/checkpoints/tidemark"
+
 
 def folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local session without it has one of its own, a cluster is refused."""
+    """The folder of ``spark.checkpoint.dir``; a local session without it uses ``DEFAULT_DIR``, a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (found or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    return (found or DEFAULT_DIR).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:

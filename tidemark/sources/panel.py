@@ -123,3 +123,20 @@ def on_grid(data: DataFrame, *, date_col: str | None = None) -> DataFrame:
     date_col, _ = resolve_columns(date_col)
     dated = data.withColumn(date_col, F.to_date(date_col))
     return dated.join(date_grid(dated, date_col=date_col), date_col)
+
+
+def store_panel(data: DataFrame, table: str, *, buckets: int, mode: str = "error", date_col: str | None = None, id_col: str | None = None) -> DataFrame:
+    """Write a panel as the table ``table`` in ``buckets`` buckets by date, sorted by date and id, and read it.
+
+    Windows, ranks and sums by date then read whole dates from their buckets: their plans have no exchange (and, by
+    date alone, no sort). A date's rows lie in one file, so take buckets of a size that a task holds; lags by asset are
+    still shuffled. Rows without a date are kept.
+    """
+    date_col, id_col = resolve_columns(date_col, id_col)
+    require_columns(data, [date_col, id_col], "store_panel")
+    if buckets < 1:
+        raise ValidationError(f"buckets must be at least 1, not {buckets}")
+    dated = data.withColumn(date_col, F.to_date(date_col))
+    # dealt by the buckets' own hash: one file a bucket, not one for each task and bucket
+    dated.repartition(buckets, date_col).write.bucketBy(buckets, date_col).sortBy(date_col, id_col).mode(mode).saveAsTable(table)
+    return data.sparkSession.table(table)
