@@ -87,7 +87,7 @@ def models(counts: DataFrame) -> DataFrame:
 
 
 def scored(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", rejected: Column | None = None) -> DataFrame:
-    """(id, host, path, rule, said, seed, rejected, held, held_score, score) of every row, stored.
+    """(id, host, path, rule, said, seed, rejected, accepted, held, held_score, score) of every row, stored.
 
     ``held_score`` comes from models of the hosts that are not held out (a fifth is, by hash), ``score`` from models of all.
     """
@@ -96,11 +96,13 @@ def scored(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col
     split = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), seed.alias("seed"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     marked = split.select("id", "host", "path", rule.alias("rule"), said.alias("said"), "seed", _grams(F.col("url")).alias("g"), (F.pmod(F.xxhash64("host", F.lit(5)), F.lit(5)) == 0).alias("held"))
-    bad = (F.coalesce("said", F.lit("")) == "block") | (F.col("seed") & F.col("said").isNull())
-    rows = stored(marked.withColumn("rejected", bad).withColumn("row", F.monotonically_increasing_id()), "urls")
+    bad = F.col("seed") & F.col("said").isNull()
+    good = ~bad & (F.coalesce("said", F.lit("allow")) == "allow")
+    rows = stored(marked.withColumn("rejected", bad).withColumn("accepted", good).withColumn("row", F.monotonically_increasing_id()), "urls")
 
-    each = rows.select("row", "rejected", "held", F.explode("g.at").alias("at"), "g.s").select("row", "rejected", "held", F.substring("s", F.col("at"), F.lit(_WIDTH * (ORDER + 1))).alias("gram"))
-    is_of = (~F.col("held") & ~F.col("rejected"), ~F.col("held") & F.col("rejected"), ~F.col("rejected"), F.col("rejected"))
+    classes = ["row", "rejected", "accepted", "held"]
+    each = rows.select(*classes, F.explode("g.at").alias("at"), "g.s").select(*classes, F.substring("s", F.col("at"), F.lit(_WIDTH * (ORDER + 1))).alias("gram"))
+    is_of = (~F.col("held") & F.col("accepted"), ~F.col("held") & F.col("rejected"), F.col("accepted"), F.col("rejected"))
     counts = stored(each.groupBy("gram").agg(*(F.count_if(x).alias(f"n_{c}") for c, x in zip(_CLASSES, is_of, strict=True))), "url-counts")
     ratios = models(counts).select("gram", F.log(F.col("p_fit_rejected") / F.col("p_fit_accepted")).alias("held_ratio"), F.log(F.col("p_rejected") / F.col("p_accepted")).alias("ratio"))
     table = stored(ratios, "url-ratios")
@@ -112,21 +114,26 @@ def scored(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col
 
 
 def threshold(rows: DataFrame) -> float:
-    """The score above which a URL is rejected: no less than 0, and above all but ``MAX_LOSS`` of held-out accepted URLs."""
-    found = rows.where("held and not rejected").agg(F.percentile_approx("held_score", F.lit(1 - MAX_LOSS), F.lit(10_000))).first()[0]
-    return max(0.0, found or 0.0)
+    """The score above which a URL is rejected: no less than 0, and above all but ``MAX_LOSS`` of held-out accepted URLs.
+
+    Without a rejected example nothing is rejected: the threshold is infinite.
+    """
+    accepted = F.when(F.col("held") & F.col("accepted"), F.col("held_score"))
+    found = rows.agg(F.percentile_approx(accepted, F.lit(1 - MAX_LOSS), F.lit(10_000)).alias("limit"), F.count_if("rejected").alias("n")).first()
+    return max(0.0, found["limit"] or 0.0) if found["n"] else float("inf")
 
 
 def held_out_report(rows: DataFrame, limit: float) -> DataFrame:
-    """(rejected, seed, n, blocked) over the held-out hosts: how many URLs of each kind there are, and are blocked."""
-    return rows.where("held").groupBy("rejected", "seed").agg(F.count("*").alias("n"), F.count_if(F.col("held_score") > limit).alias("blocked"))
+    """(rejected, seed, n, blocked) over the held-out hosts' examples: how many URLs of each kind there are, and are blocked."""
+    return rows.where("held and (rejected or accepted)").groupBy("rejected", "seed").agg(F.count("*").alias("n"), F.count_if(F.col("held_score") > limit).alias("blocked"))
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", rejected: Column | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, score): the longest rule's verdict, else the models'.
 
-    Rejected examples: URLs that a rule blocks, and of those no rule fits the ones that ``rejected`` marks (by default: a
-    seed word); accepted ones: all others. Two pairs of models are counted over all URLs: one without the held-out hosts,
+    Examples are of what the models decide. Rejected ones: of URLs that no rule fits, those that ``rejected`` marks (by
+    default: a seed word). URLs that a rule blocks are in neither class: rules block folders of good hosts, so that they
+    would outnumber the rest and teach the models to repeat the rules. Accepted ones: all others. Two pairs of models are counted over all URLs: one without the held-out hosts,
     which sets the threshold, and one of all hosts, which judges. A score is the mean log ratio per symbol. Of rules that
     tie in length a block precedes an allow. Each row gives one row, repeated ones too; a null URL has an empty host and
     path and is scored as empty; a very long URL is scored whole; an empty table gives no rows; other columns are
