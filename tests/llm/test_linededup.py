@@ -133,6 +133,39 @@ def test_hot_bucket(spark, monkeypatch):
     assert got <= want and len(got) >= 0.97 * len(want) > 100
 
 
+def test_template_lines(spark, monkeypatch):
+    """Hundreds of lines of one template in one bucket, few of them similar: split by rare shingles or not, no link is lost."""
+    rng = random.Random(14)
+    free = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    template, docs = "this notice was posted by the member whose number follows: ", []
+    for i in range(350):
+        line = template + free(20)
+        docs += [(2 * i, line), (2 * i + 1, line[:-2] + free(2) if i % 3 == 0 else template + free(20))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    dropped = lambda: {(r["id"], i) for r in linededup.repeated_lines(df).collect() for i in r["dropped"]}
+    calls, rarest = [], nearsets.rarest
+    monkeypatch.setattr(nearsets, "rarest", lambda *a: calls.append(1) or rarest(*a))
+    monkeypatch.setattr(nearsets, "LARGE", 20)
+    got = dropped()
+    assert calls
+    monkeypatch.setattr(nearsets, "LARGE", 10_000)
+    assert got == dropped() and len(calls) == 1
+    want = {(key, i) for key, _, i in brute(docs)[0]}
+    assert got <= want and len(got) >= 0.97 * len(want) > 90
+
+
+def test_similar_texts_share_a_rarest_shingle(spark):
+    rng = random.Random(15)
+    lines = ["".join(rng.choices("abc", k=4)) + "-the-template-that-all-of-these-lines-have-" + "".join(rng.choices("ab", k=rng.randint(0, 9))) for _ in range(150)] + ["", "x", "abc"]
+    df = spark.createDataFrame(list(enumerate(lines)), "uid long, text string").repartition(3)
+    found = {i: set() for i in range(len(lines))}
+    for r in nearsets.rarest(df, nearsets.of_characters, 0.8).collect():
+        found[r["uid"]].add(r["s"])
+    near = [(i, j) for i in range(len(lines)) for j in range(i) if len(grams(lines[i]) & grams(lines[j])) >= 0.8 * len(grams(lines[i]) | grams(lines[j]))]
+    assert len(near) > 20 and all(found[i] & found[j] for i, j in near)
+    assert all(len(found[i]) == len(grams(x)) - -(-len(grams(x)) * 4 // 5) + 1 for i, x in enumerate(lines))
+
+
 def test_parity_bits_bound_the_difference():
     rng = random.Random(12)
     lines = ["".join(rng.choices("abcdef ", k=rng.randint(5, 900))) for _ in range(60)]

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidemark.llm.store import dropped, stored
-from tidemark.llm.text import small
+from tidemark.llm.text import BROADCAST_ROWS, small
 
 #: Minima of a text: a square of so many by so many. Each row and each column of it is a band.
 SIDE = 6
 BANDS = 2 * SIDE
 #: Bucket size up to which every two texts of a bucket are paired.
 SMALL = 4
+#: Texts of a bucket up to which each may meet all others; a larger one is split by the rarest shingles of its texts.
+LARGE = 256
 #: Longs that hold the parity bits of a text's shingle set.
 PARITY = 16
 #: Characters worked on at once, so that their shingles stay in a core's cache.
@@ -171,6 +173,38 @@ def _compared(pairs: DataFrame, shingler: Shingler) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, similarity double")
 
 
+def _shingles(texts: DataFrame, shingler: Shingler) -> DataFrame:
+    """(uid, s) of the distinct shingles of (uid, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids, at = np.asarray(batch.column("uid")), 0
+            for some in _chunks(batch.column("text").to_pylist()):
+                every, n = _sets(some, shingler)
+                hashes = (every & np.uint64((1 << 48) - 1)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(uids[at : at + len(some)], n)), pa.array(hashes)], names=["uid", "s"])
+                at += len(some)
+
+    return texts.mapInArrow(run, "uid long, s long")
+
+
+def rarest(texts: DataFrame, shingler: Shingler, jaccard: float) -> DataFrame:
+    """(uid, s): as many of the rarest shingles of each of (uid, text) as two texts of that similarity must share one of.
+
+    Such texts share ``jaccard`` of the larger set at least, so that the sets without all but one of these overlap. Any one
+    order of the shingles gives this; the rarest first make few others meet. Frequent shingles, of which there are at most
+    ``BROADCAST_ROWS`` as they hold that share of all, come last by count; the others by hash.
+    """
+    each = stored(_shingles(texts, shingler), "near-shingles")
+    least = max(2, -(-each.count() // BROADCAST_ROWS))
+    frequent = stored(each.groupBy("s").agg(F.count("*").alias("f")).where(F.col("f") >= least), "near-frequent")
+    ranked = each.join(small(frequent), "s", "left").select("uid", F.struct(F.coalesce("f", F.lit(0)).alias("f"), "s").alias("x"))
+    kept = F.size("all") - F.ceil(F.size("all") * F.lit(jaccard) - F.lit(1e-9)).cast("int") + 1
+    out = stored(ranked.groupBy("uid").agg(F.array_sort(F.collect_list("x")).alias("all")).select("uid", F.explode(F.slice("all", F.lit(1), kept)).alias("x")).select("uid", "x.s"), "near-rarest")
+    dropped(each, frequent)
+    return out
+
+
 def _bands() -> Column:
     """A text's bands as longs, its number above each band's bits."""
     return F.array(*(F.shiftleft(F.lit(i).cast("bigint"), 32).bitwiseOR(F.col(f"b{i}").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))) for i in range(BANDS)))
@@ -192,7 +226,8 @@ def links(unique: DataFrame, texts: DataFrame, shingler: Shingler, jaccard: floa
     Buckets of up to ``SMALL`` texts pair every two. In larger ones all texts meet the one that occurs most often, as
     copies with small changes do with their original. Pairs are then taken, in the first bucket they share, only of
     those that aren't similar to one same line, and that two bounds let be near: the triangle over the most frequent line
-    and the differing parities of their sets.
+    and the differing parities of their sets. In buckets of over ``LARGE`` texts, as templates make them, pairs also share
+    one of their rarest shingles (:func:`rarest`), which loses none that is similar.
     """
     banded = unique.select("uid", F.posexplode(_bands()).alias("at", "band"))
     sizes = stored(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("uid").alias("a"), F.max("uid").alias("b")).where("n > 1"), "near-bands")
@@ -223,20 +258,32 @@ def links(unique: DataFrame, texts: DataFrame, shingler: Shingler, jaccard: floa
     under = first.where(F.col("similarity") >= jaccard).groupBy(F.col("b").alias("uid")).agg(F.min("a").alias("under"))
     placed = star.join(first.select(F.col("a").alias("head"), F.col("b").alias("uid"), "similarity"), ["head", "uid"]).select("band", "uid", "similarity")
     around = stored(inside.join(placed, ["band", "uid"]).join(under, "uid", "left"), "near-around")
-    slack = 1 - jaccard
+    made, slack = [], 1 - jaccard
     cell = F.floor((1 - F.col("similarity")) / slack)
     parity = [f"x{k}" for k in range(PARITY)]
     columns = ["uid", "at", "bands", "len", *parity, "similarity", "under"]
-    here = around.where(F.col("similarity") < jaccard).select("band", F.struct(*columns).alias("a"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    there = around.select("band", F.struct(*columns).alias("b"), cell.alias("cell"))
+    large = stored(around.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("similarity") < jaccard).alias("apart")).where((F.col("n") > LARGE) & (F.col("apart") > 0)).select("band"), "near-large")
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in parity))
     near = (F.abs(F.col("a.similarity") - F.col("b.similarity")) <= slack + 1e-9) & (differ <= (F.col("a.len") + F.col("b.len")) * F.lit(slack / (1 + jaccard) + 1e-9))
     apart = F.col("a.under").isNull() | F.col("b.under").isNull() | (F.col("a.under") != F.col("b.under"))
     once = (F.col("a.uid") < F.col("b.uid")) | ((F.col("a.uid") != F.col("b.uid")) & (F.col("b.similarity") >= jaccard))  # two that aren't similar to the head would come from both sides
     earlier = F.arrays_overlap(F.slice("a.bands", F.lit(1), F.col("a.at")), F.slice("b.bands", F.lit(1), F.col("b.at")))
-    rest = here.join(there, ["band", "cell"]).where(once & near & apart & ~F.coalesce(earlier, F.lit(False))).select(F.least("a.uid", "b.uid").alias("a"), F.greatest("a.uid", "b.uid").alias("b"))
+
+    def met(rows: DataFrame, *keys: str) -> DataFrame:
+        """Pairs of the rows, one of them not similar to its bucket's head, that share the keys and lie in cells side by side."""
+        here = rows.where(F.col("similarity") < jaccard).select(*keys, F.struct(*columns).alias("a"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+        there = rows.select(*keys, F.struct(*columns).alias("b"), cell.alias("cell"))
+        both = here.join(there, [*keys, "cell"]).where(once & near & apart & ~F.coalesce(earlier, F.lit(False)))
+        return both.select(F.least("a.uid", "b.uid").alias("a"), F.greatest("a.uid", "b.uid").alias("b"))
+
+    rest = met(around.join(small(large), "band", "left_anti"), "band")
+    if not large.isEmpty():
+        split = stored(around.join(small(large), "band"), "near-split")
+        rare = rarest(sets.join(split.select("uid").distinct(), "uid").select("uid", "text"), shingler, jaccard)
+        made += [split, rare]
+        rest = rest.unionAll(met(split.join(rare, "uid"), "band", "s"))
     found = stored(verified(close.unionAll(rest), jaccard), "near-pairs")
     edges = stored(first.unionAll(found).where(F.col("similarity") >= jaccard).select("a", "b"), "near-edges")
-    for table in (sizes, members, close, wanted, sets, inside, heads, first, around, found):
+    for table in (sizes, members, close, wanted, sets, inside, heads, first, around, large, *made, found):
         dropped(table)
     return edges
