@@ -56,6 +56,20 @@ def test_rank_error_of_operators(large, accuracy):
     assert (exact["p01"], exact["p50"], exact["p99"]) == pytest.approx(tuple(np.quantile(values, [0.01, 0.5, 0.99])))
 
 
+@pytest.mark.parametrize("accuracy", [1, 50, 1000])
+def test_winsorize_clips_at_the_exact_rank(spark, large, accuracy):
+    got = {r["date"]: tuple(r)[1:] for r in signals.winsorize(large, factor="x", lower=0.05, upper=0.95, accuracy=accuracy).groupBy("date").agg(F.min("x_winsorized"), F.max("x_winsorized"), F.count("*")).collect()}
+    assert got[month_end(2)] == (None, None, 2)
+    for m in range(2):
+        values = np.sort([r[0] for r in large.where((F.col("date") == F.lit(month_end(m))) & F.col("x").isNotNull()).select("x").collect()])
+        low, high = (values[-(-len(values) * p // 100) - 1] for p in (5, 95))
+        assert got[month_end(m)] == (low, high, 60_000)
+    rows = [(month_end(0), "g" if i % 2 else None, str(i), float(i // 2)) for i in range(200)] + [(month_end(1), None, "a", 3.0)]
+    small = signals.winsorize(frame(spark, "date date, sector string, bid string, x double", rows), factor="x", group="sector", lower=0.07, upper=0.95, accuracy=accuracy)
+    ends = small.groupBy("date", "sector").agg(F.min("x_winsorized").alias("low"), F.max("x_winsorized").alias("high")).collect()
+    assert {tuple(r) for r in ends} == {(month_end(0), None, 6.0, 94.0), (month_end(0), "g", 6.0, 94.0), (month_end(1), None, 3.0, 3.0)}
+
+
 def test_partial_sums_come_before_the_shuffle(large):
     for df in (sketches.quantile_sketches(large, value="x"), signals.distribution_summary(large, factor="x", accuracy=100).select("date", "p50")):
         plan = df._jdf.queryExecution().executedPlan().toString()

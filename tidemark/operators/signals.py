@@ -6,6 +6,7 @@ Preprocessing appends a column; ``group`` cuts the cross-section further, and ro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -32,14 +33,40 @@ def _clipped(x: Column, low: Column, high: Column) -> Column:
     return F.when(x < low, low).when(x > high, high).otherwise(x)
 
 
+def _ranked_values(data: DataFrame, keys: Sequence[str], x: Column, at: Sequence[float], accuracy: int) -> DataFrame:
+    """(_k0, ..., _bounds): by ``keys``, the values of rank ceil(q n), 1 at least, for each q of ``at``; no row without values.
+
+    Summaries of bounded size, merged before the shuffle, enclose each between two values twice their error away. A second
+    pass counts the values below and each one in between, of which there are about 4 n / accuracy and ties.
+    """
+    rows = data.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), x.alias("_x")).where("_x is not null")
+    k = [f"_k{i}" for i in range(len(keys))]
+    points = [min(max(q + side * 2 / accuracy, 0.0), 1.0) for q in at for side in (-1, 1)]
+    near = rows.groupBy(*(F.col(c).alias(f"{c}_") for c in k)).agg(F.percentile_approx("_x", points, accuracy).alias("ends"), F.min("_x").alias("least"), F.max("_x").alias("most"), F.count("*").alias("n"))
+    end = lambda j: F.col("least") if points[j] == 0 else F.col("most") if points[j] == 1 else F.get("ends", F.lit(j))
+    ranks = (F.greatest(F.ceil(F.lit(Decimal(str(q))) * F.col("n")).cast("bigint"), F.lit(1)) for q in at)  # in decimals: 0.95 n may be whole
+    each = F.array(*(F.struct(F.lit(i).alias("i"), end(2 * i).alias("low"), end(2 * i + 1).alias("high"), r.alias("rank")) for i, r in enumerate(ranks)))
+    met = rows.join(near.select(*(f"{c}_" for c in k), each.alias("each")), [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in k])
+    met = met.select(*k, "_x", F.explode(F.filter("each", lambda e: F.col("_x") <= e["high"])).alias("e"))
+    counts = met.groupBy(*k, "e.i", "e.rank", F.when(F.col("_x") >= F.col("e.low"), F.col("_x")).alias("v")).agg(F.count("*").alias("m"))
+    upto = counts.withColumn("upto", F.sum("m").over(Window.partitionBy(*k, "i").orderBy(F.asc_nulls_first("v"))))
+    found = upto.groupBy(*k, "i").agg(F.min(F.when(F.col("upto") >= F.col("rank"), F.struct("upto", "v")))["v"].alias("v"))
+    one = lambda i: F.max(F.when(F.col("i") == i, F.col("v")))
+    missed = F.raise_error(F.lit("a summary missed a rank")).cast("double")
+    return found.groupBy(*k).agg(F.array(*(F.coalesce(one(i), missed) for i in range(len(at)))).alias("_bounds"))
+
+
 def winsorize(data: DataFrame, *, factor: str, lower: float = 0.01, upper: float = 0.99, group: str | None = None, accuracy: int | None = None, output: str | None = None, date_col: str | None = None) -> DataFrame:
-    """Clip at linearly interpolated quantiles of the date (and group), or with ``accuracy`` at values whose rank is off by
-    count / accuracy at most, from summaries of bounded size."""
+    """Clip at linearly interpolated quantiles of the date (and group), or with ``accuracy`` at the values of rank ceil(q n):
+    summaries of bounded size narrow the ranks down to about 4 n / accuracy values, and a second pass counts these out."""
     if not 0 <= lower < upper <= 1:
         raise ValidationError(f"0 <= lower < upper <= 1 is needed, not {lower}, {upper}")
     keys, x = _keys(data, factor, group, date_col), clean(F.col(factor))
     # counts of values combine before the shuffle, and one row a date (and group) is joined back
-    bounds = data.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(quantiles(x, [lower, upper], accuracy).alias("_bounds"))
+    if accuracy is None:
+        bounds = data.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(quantiles(x, [lower, upper]).alias("_bounds"))
+    else:
+        bounds = _ranked_values(data, keys, x, [lower, upper], accuracy)
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     joined = data.join(bounds, same, "left").withColumn(output or f"{factor}_winsorized", _clipped(x, F.get("_bounds", F.lit(0)), F.get("_bounds", F.lit(1))))
     return joined.drop("_bounds", *(f"_k{i}" for i in range(len(keys))))
@@ -188,7 +215,8 @@ def coverage(data: DataFrame, *, factor: str, universe: DataFrame | None = None,
 
 
 def distribution_summary(data: DataFrame, *, factor: str, accuracy: int | None = None, date_col: str | None = None) -> DataFrame:
-    """Per date: mean, std, skew, kurtosis, min, p01, p50, p99, max; ``accuracy`` as in :func:`winsorize`."""
+    """Per date: mean, std, skew, kurtosis, min, p01, p50, p99, max; with ``accuracy`` the ranks of the
+    quantiles are off by count / accuracy at most, from summaries of bounded size."""
     date_col, _ = resolve_columns(date_col)
     require_columns(data, [date_col, factor], "distribution_summary")
     x = clean(F.col(factor))
