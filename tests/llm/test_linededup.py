@@ -154,6 +154,35 @@ def test_template_lines(spark, monkeypatch):
     assert got <= want and len(got) >= 0.97 * len(want) > 90
 
 
+def test_large_buckets_join_a_text_once(spark, monkeypatch):
+    """In the buckets of one head a text is one row, and so are its rarest shingles: no rows by bucket and shingle are joined."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    base = [word() for _ in range(40)]
+    lines = [" ".join(base)] * 3
+    for i in range(90):
+        words = list(base)
+        for at in rng.sample(range(40), i % 8):
+            words[at] = word()
+        lines.append(" ".join(words))
+    docs, rows, stored = list(enumerate(lines)), {}, nearsets.stored
+
+    def kept(df, name):
+        out = stored(df, name)
+        if name in ("near-around", "near-split", "near-shared"):
+            rows[name] = out.collect()
+        return out
+
+    monkeypatch.setattr(nearsets, "stored", kept)
+    monkeypatch.setattr(nearsets, "LARGE", 20)
+    got = {(r["id"], i) for r in linededup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() for i in r["dropped"]}
+    want = {(key, i) for key, _, i in brute(docs)[0]}
+    assert got <= want and len(got) >= 0.97 * len(want) > 40
+    places = [(r["head"], r["uid"]) for r in rows["near-split"]]
+    assert len(places) == len(set(places)) < len(rows["near-around"]) / 2
+    assert len(rows["near-shared"]) == len({r["uid"] for r in rows["near-shared"]}) <= len({uid for _, uid in places})
+
+
 def test_similar_texts_share_a_rarest_shingle(spark):
     rng = random.Random(15)
     lines = ["".join(rng.choices("abc", k=4)) + "-the-template-that-all-of-these-lines-have-" + "".join(rng.choices("ab", k=rng.randint(0, 9))) for _ in range(150)] + ["", "x", "abc"]

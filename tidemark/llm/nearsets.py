@@ -227,7 +227,8 @@ def links(unique: DataFrame, texts: DataFrame, shingler: Shingler, jaccard: floa
     copies with small changes do with their original. Pairs are then taken, in the first bucket they share, only of
     those that aren't similar to one same line, and that two bounds let be near: the triangle over the most frequent line
     and the differing parities of their sets. In buckets of over ``LARGE`` texts, as templates make them, pairs also share
-    one of their rarest shingles (:func:`rarest`), which loses none that is similar.
+    one of their rarest shingles (:func:`rarest`), which loses none that is similar. A text stands there once for all
+    buckets of one most frequent line, and only with shingles that another text has among its rarest too.
     """
     banded = unique.select("uid", F.posexplode(_bands()).alias("at", "band"))
     sizes = stored(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("uid").alias("a"), F.max("uid").alias("b")).where("n > 1"), "near-bands")
@@ -256,7 +257,7 @@ def links(unique: DataFrame, texts: DataFrame, shingler: Shingler, jaccard: floa
 
     first = stored(verified(star.select(F.col("head").alias("a"), F.col("uid").alias("b")), 0.0), "near-star")
     under = first.where(F.col("similarity") >= jaccard).groupBy(F.col("b").alias("uid")).agg(F.min("a").alias("under"))
-    placed = star.join(first.select(F.col("a").alias("head"), F.col("b").alias("uid"), "similarity"), ["head", "uid"]).select("band", "uid", "similarity")
+    placed = star.join(first.select(F.col("a").alias("head"), F.col("b").alias("uid"), "similarity"), ["head", "uid"]).select("band", "uid", "head", "similarity")
     around = stored(inside.join(placed, ["band", "uid"]).join(under, "uid", "left"), "near-around")
     made, slack = [], 1 - jaccard
     cell = F.floor((1 - F.col("similarity")) / slack)
@@ -270,18 +271,22 @@ def links(unique: DataFrame, texts: DataFrame, shingler: Shingler, jaccard: floa
     earlier = F.arrays_overlap(F.slice("a.bands", F.lit(1), F.col("a.at")), F.slice("b.bands", F.lit(1), F.col("b.at")))
 
     def met(rows: DataFrame, *keys: str) -> DataFrame:
-        """Pairs of the rows, one of them not similar to its bucket's head, that share the keys and lie in cells side by side."""
+        """Pairs of the rows, one of them not similar to its bucket's head, that share the keys and a bucket and lie in cells side by side."""
         here = rows.where(F.col("similarity") < jaccard).select(*keys, F.struct(*columns).alias("a"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
         there = rows.select(*keys, F.struct(*columns).alias("b"), cell.alias("cell"))
         both = here.join(there, [*keys, "cell"]).where(once & near & apart & ~F.coalesce(earlier, F.lit(False)))
+        both = both if "band" in keys else both.where(F.arrays_overlap("a.bands", "b.bands"))
         return both.select(F.least("a.uid", "b.uid").alias("a"), F.greatest("a.uid", "b.uid").alias("b"))
 
     rest = met(around.join(small(large), "band", "left_anti"), "band")
     if not large.isEmpty():
-        split = stored(around.join(small(large), "band"), "near-split")
+        # a text stands here once for a head, not for each bucket of it; shingles that are one text's alone meet nothing
+        split = stored(around.join(small(large), "band").drop("band").withColumn("at", F.lit(0)).dropDuplicates(["head", "uid"]), "near-split")
         rare = rarest(sets.join(split.select("uid").distinct(), "uid").select("uid", "text"), shingler, jaccard)
-        made += [split, rare]
-        rest = rest.unionAll(met(split.join(rare, "uid"), "band", "s"))
+        common = stored(rare.groupBy("s").agg(F.count("*").alias("f")).where("f > 1").select("s"), "near-common")
+        lists = stored(rare.join(small(common), "s", "left_semi").groupBy("uid").agg(F.collect_list("s").alias("all")), "near-shared")
+        made += [split, rare, common, lists]
+        rest = rest.unionAll(met(split.join(lists, "uid").withColumn("s", F.explode("all")).drop("all"), "head", "s"))
     found = stored(verified(close.unionAll(rest), jaccard), "near-pairs")
     edges = stored(first.unionAll(found).where(F.col("similarity") >= jaccard).select("a", "b"), "near-edges")
     for table in (sizes, members, close, wanted, sets, inside, heads, first, around, large, *made, found):
