@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.nearsets import BANDS, links, of_characters, with_bands
+from tidemark.llm.nearsets import links, of_characters, with_character_bands
 from tidemark.llm.store import dropped, stored
 from tidemark.llm.text import document_keys, keyed, unkeyed
 
@@ -27,9 +27,10 @@ def repeated_lines(docs: DataFrame, jaccard: float = 0.8, id_col: str = "doc_id"
     document; a null id comes first; null and empty texts have no lines and no row; an empty table gives no rows; a very
     long line is one line like any other; other columns are ignored, whatever their names.
     """
-    flat = stored(with_bands(_lines(docs, id_col, text_col), "line", of_characters), "lines")
-    unique = stored(flat.groupBy("h1", "h2").agg(*(F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)), F.count("*").alias("n")).withColumn("uid", F.monotonically_increasing_id()), "unique-lines")
+    flat = stored(_lines(docs, id_col, text_col).drop("line"), "lines")
     texts = _lines(docs, id_col, text_col).select("h1", "h2", F.col("line").alias("text"))
+    distinct = texts.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    unique = stored(with_character_bands(distinct).withColumn("uid", F.monotonically_increasing_id()), "unique-lines")
     parts = connected_components(links(unique, texts, of_characters, jaccard)).withColumnRenamed("node", "uid")
     again = stored(unique.select("uid", "h1", "h2", "n").join(parts, "uid", "left").where("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "uid").alias("group")), "repeated-lines")
     dropped(unique)

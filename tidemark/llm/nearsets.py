@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tidemark.llm.store import dropped, stored
-from tidemark.llm.text import BROADCAST_ROWS, small
+from tidemark.llm.text import BROADCAST_ROWS, let, small
 
 #: Minima of a text: a square of so many by so many. Each row and each column of it is a band.
 SIDE = 6
@@ -30,6 +30,13 @@ _MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 32, (SIDE * SIDE, 2), n
 #: Characters or words that a shingle runs on after its first one: shingles have five.
 INTO = 4
 
+#: Points, each in a sixty-fourth of its own, whose nearest shingle hashes are the minima of characters' bands.
+_POINTS = [int(x) - (1 << 63) for x in (np.arange(SIDE * SIDE, dtype=np.uint64) * np.uint64(37) % np.uint64(64) << np.uint64(58)) | np.random.default_rng(7).integers(0, 1 << 58, SIDE * SIDE, np.uint64)]
+#: Shingles of a text that one row of :func:`with_character_bands` holds.
+_STEP = 8
+#: Bytes of a character in UTF-32.
+_WIDE = 4
+
 #: From texts to the 64-bit hashes of all their shingles, text after text with repeats, and how many each has (one at least).
 Shingler = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -54,6 +61,26 @@ def of_characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _rolled(codes, counts), counts
 
 
+def _codes(text: Column) -> Column:
+    """UTF-32 of a text, filled up to a shingle with bytes of no code."""
+    missing = F.lit(_WIDE * (INTO + 1)) - _WIDE * F.length(text)
+    return F.concat(F.encode(text, "UTF-32"), F.when(missing > 0, F.substring(F.lit(b"\xff" * _WIDE * (INTO + 1)), F.lit(1), missing)).otherwise(F.lit(b"")))
+
+
+def _shingle(codes: Column, at: Column) -> Column:
+    """Hash of the shingle whose first byte is the one at ``at``, from 1."""
+    return F.xxhash64(F.substring(codes, at, F.lit(_WIDE * (INTO + 1))))
+
+
+def _last(codes: Column) -> Column:
+    return F.octet_length(codes) - (_WIDE * (INTO + 1) - 1)
+
+
+def character_set(text: Column) -> Column:
+    """The distinct 64-bit hashes of the shingles of :func:`of_characters`, in built-in functions."""
+    return F.array_distinct(let(_codes(text), lambda c: F.transform(F.sequence(F.lit(1), _last(c), F.lit(_WIDE)), lambda at: _shingle(c, at))))
+
+
 def of_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """A shingle at every word, A-Z lower-cased; a text of fewer is one shingle, filled up with a code of no word."""
     tokens = [x.encode("utf-8", "surrogatepass").lower().split() for x in texts]
@@ -122,6 +149,25 @@ def with_bands(texts: DataFrame, column: str, shingler: Shingler) -> DataFrame:
     return texts.mapInArrow(run, StructType([*kept, *(StructField(f"b{i}", IntegerType()) for i in range(BANDS))]))
 
 
+#: Shinglers whose sets built-in functions make as well; for these, no Python runs on the executors.
+BUILT_IN: dict[Shingler, Callable[[Column], Column]] = {of_characters: character_set}
+
+
+def with_character_bands(lines: DataFrame) -> DataFrame:
+    """(h1, h2, n, b0, b1, ...) of the distinct texts (h1, h2, n, text), in built-in functions.
+
+    A minimum is the shingle whose hash comes first once a point's bits are flipped in all of them, the nearest to that
+    point: for each point, two sets agree with the probability of their similarity. The rows of a text lie in one task
+    if ``lines`` are dealt by (h1, h2), and hold ``_STEP`` shingles each; the last one is repeated to fill the last row.
+    """
+    at, codes, last = F.col("at"), F.col("codes"), _last(F.col("codes"))
+    rows = lines.select("h1", "h2", "n", _codes(F.col("text")).alias("codes")).select("h1", "h2", "n", "codes", F.explode(F.sequence(F.lit(1), last, F.lit(_WIDE * _STEP))).alias("at"))
+    hashed = rows.select("h1", "h2", "n", *(_shingle(codes, F.least(at + _WIDE * j, last)).alias(f"s{j}") for j in range(_STEP)))
+    minima = hashed.groupBy("h1", "h2", "n").agg(*(F.min(F.least(*(F.col(f"s{j}").bitwiseXOR(F.lit(p)) for j in range(_STEP)))).alias(f"m{i}") for i, p in enumerate(_POINTS)))
+    square = [[SIDE * i + j for j in range(SIDE)] for i in range(SIDE)]
+    return minima.select("h1", "h2", "n", *(F.hash(*(f"m{i}" for i in band)).alias(f"b{k}") for k, band in enumerate([*square, *zip(*square, strict=True)])))
+
+
 def parities(every: np.ndarray, n_texts: int) -> np.ndarray:
     """(text, long): for each of 64 ``PARITY`` classes of shingles, whether a text of :func:`_sets` holds an odd number."""
     classes = np.uint64(64 * PARITY)
@@ -129,10 +175,15 @@ def parities(every: np.ndarray, n_texts: int) -> np.ndarray:
     return np.packbits(met.astype(np.uint8) & 1, bitorder="little").view(np.int64).reshape(n_texts, PARITY)
 
 
-def _with_sizes(texts: DataFrame, shingler: Shingler) -> DataFrame:
-    """(uid, text) with the size of the shingle set and its parity bits: two sets differ in at least as many elements as
-    their bits differ."""
+def _sizes(texts: DataFrame, shingler: Shingler) -> DataFrame:
+    """(uid, len, x0, x1, ...) of (uid, text): the size of the shingle set and its parity bits. Two sets differ in at least
+    as many elements as their bits differ."""
     names = ["len", *(f"x{k}" for k in range(PARITY))]
+    if shingler in BUILT_IN:
+        low = F.col("s").bitwiseAND(F.lit(64 * PARITY - 1))
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(F.lit(63)).cast("int"))
+        each = _shingles(texts, shingler).select("uid", F.shiftright(low, 6).alias("word"), bit.alias("bit"))
+        return each.groupBy("uid").agg(F.count("*").alias("len"), *(F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"x{k}") for k in range(PARITY)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,9 +193,9 @@ def _with_sizes(texts: DataFrame, shingler: Shingler) -> DataFrame:
                 bits.append(parities(every, len(some)))
                 sizes.append(n)
             x = np.concatenate(bits)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sizes)), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(PARITY))], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(np.concatenate(sizes)), *(pa.array(np.ascontiguousarray(x[:, k])) for k in range(PARITY))], names=["uid", *names])
 
-    return texts.mapInArrow(run, StructType([*texts.schema, *(StructField(n, LongType()) for n in names)]))
+    return texts.select("uid", "text").mapInArrow(run, StructType([StructField(n, LongType()) for n in ["uid", *names]]))
 
 
 def similarities(one: list[str], two: list[str], shingler: Shingler) -> np.ndarray:
@@ -164,6 +215,10 @@ def similarities(one: list[str], two: list[str], shingler: Shingler) -> np.ndarr
 
 def _compared(pairs: DataFrame, shingler: Shingler) -> DataFrame:
     """(a, b, similarity) of (a, b, text_a, text_b)."""
+    if built_in := BUILT_IN.get(shingler):
+        sets = pairs.select("a", "b", built_in(F.col("text_a")).alias("x"), built_in(F.col("text_b")).alias("y"))
+        counts = sets.select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("shared"))
+        return counts.select("a", "b", (F.col("shared") / (F.col("sum") - F.col("shared"))).alias("similarity"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,6 +230,8 @@ def _compared(pairs: DataFrame, shingler: Shingler) -> DataFrame:
 
 def _shingles(texts: DataFrame, shingler: Shingler) -> DataFrame:
     """(uid, s) of the distinct shingles of (uid, text)."""
+    if built_in := BUILT_IN.get(shingler):
+        return texts.select("uid", F.explode(built_in(F.col("text"))).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,23 +296,21 @@ def links(unique: DataFrame, texts: DataFrame, shingler: Shingler, jaccard: floa
 
     named = close.select(F.col("a").alias("uid")).unionAll(close.select(F.col("b").alias("uid"))).select("uid", F.lit(0).alias("wide")).unionAll(wide.select("uid", F.lit(1)))
     wanted = stored(named.groupBy("uid").agg(F.max("wide").alias("wide")).join(unique.select("uid", "h1", "h2", F.col("n").alias("occurs"), _bands().alias("bands")), "uid"), "near-candidates")
-    named = texts.select("h1", "h2", "text").join(small(wanted.select("uid", "h1", "h2")), ["h1", "h2"])
-    sets = stored(_with_sizes(named.groupBy("uid").agg(F.min("text").alias("text")), shingler), "near-sets")
+    named = texts.select("h1", "h2", "text").join(small(wanted.select("uid", "h1", "h2", "wide")), ["h1", "h2"])
+    sets = stored(named.groupBy("uid").agg(F.min("text").alias("text"), F.max("wide").alias("wide")), "near-sets")
 
-    marks = wanted.where("wide = 1").select("uid", "occurs", "bands").join(sets.drop("text"), "uid")
+    marks = wanted.where("wide = 1").select("uid", "occurs", "bands").join(_sizes(sets.where("wide = 1").select("uid", "text"), shingler), "uid")
     inside = stored(wide.join(marks, "uid"), "near-wide")
     heads = stored(inside.groupBy("band").agg(F.max_by("uid", F.struct("occurs", -F.col("uid"))).alias("head")), "near-heads")
     star = inside.select("uid", "band").join(small(heads), "band").where("uid <> head")
 
-    def verified(pairs: DataFrame, least: float) -> DataFrame:
-        """The pairs whose similarity their sizes let reach ``least``, with their similarity."""
-        one = sets.select(F.col("uid").alias("a"), F.col("text").alias("text_a"), F.col("len").alias("len_a"))
-        two = sets.select(F.col("uid").alias("b"), F.col("text").alias("text_b"), F.col("len").alias("len_b"))
-        both = pairs.distinct().join(one, "a").join(two, "b")
-        alike = F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * F.lit(least - 1e-9)
-        return _compared(both.where(alike).select("a", "b", "text_a", "text_b"), shingler)
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs with their similarity."""
+        one = sets.select(F.col("uid").alias("a"), F.col("text").alias("text_a"))
+        two = sets.select(F.col("uid").alias("b"), F.col("text").alias("text_b"))
+        return _compared(pairs.distinct().join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), shingler)
 
-    first = stored(verified(star.select(F.col("head").alias("a"), F.col("uid").alias("b")), 0.0), "near-star")
+    first = stored(verified(star.select(F.col("head").alias("a"), F.col("uid").alias("b"))), "near-star")
     under = first.where(F.col("similarity") >= jaccard).groupBy(F.col("b").alias("uid")).agg(F.min("a").alias("under"))
     placed = star.join(first.select(F.col("a").alias("head"), F.col("b").alias("uid"), "similarity"), ["head", "uid"]).select("band", "uid", "head", "similarity")
     around = stored(inside.join(placed, ["band", "uid"]).join(under, "uid", "left"), "near-around")
@@ -287,7 +342,7 @@ def links(unique: DataFrame, texts: DataFrame, shingler: Shingler, jaccard: floa
         lists = stored(rare.join(small(common), "s", "left_semi").groupBy("uid").agg(F.collect_list("s").alias("all")), "near-shared")
         made += [split, rare, common, lists]
         rest = rest.unionAll(met(split.join(lists, "uid").withColumn("s", F.explode("all")).drop("all"), "head", "s"))
-    found = stored(verified(close.unionAll(rest), jaccard), "near-pairs")
+    found = stored(verified(close.unionAll(rest)), "near-pairs")
     edges = stored(first.unionAll(found).where(F.col("similarity") >= jaccard).select("a", "b"), "near-edges")
     for table in (sizes, members, close, wanted, sets, inside, heads, first, around, large, *made, found):
         dropped(table)
